@@ -25,6 +25,12 @@ CHARS_PER_TOKEN = 4
 ID_SEPARATOR = "\x1f"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once. An expression used inside a lambda is
+    otherwise computed again for every element the lambda visits."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Removes leading and trailing whitespace. A character-set trim is linear in the text;
     an anchored regular expression would rescan every inner run of blanks."""
@@ -68,10 +74,13 @@ def greedy_starts(lengths: Column, limit: int, separator: int) -> Column:
 
 def joined_groups(items: Column, starts: Column, separator: str) -> Column:
     """Texts of the groups that begin at ``starts``."""
-    def text(start, i):
-        end = F.coalesce(F.get(starts, i + 1), F.size(items))
-        return F.array_join(F.slice(items, start + 1, end - start), separator)
-    return F.transform(starts, text)
+    def groups(begin):
+        def text(start, i):
+            end = F.coalesce(F.get(begin, i + 1), F.size(items))
+            return F.array_join(F.slice(items, start + 1, end - start), separator)
+        return F.transform(begin, text)
+
+    return let(starts, groups)
 
 
 def hard_slices(text: Column, width: int) -> Column:
