@@ -490,6 +490,7 @@ def seat_org_admins(commands: DataFrame, state: AccessState) -> DataFrame:
     j = with_org_status(j, state.organizations).join(person, "_email", "left").join(operators, "_operator", "left")
     j = _with_held_role(j, state)
     rules = [
+        (~V.valid_uuid(F.col("org_id")), INPUT, "--org must be the organization's id (a UUID)"),
         (~V.valid_email(F.col("user_email")), INPUT, "not a plain email address"),
         (F.col("operator_id").isNull(), PRIVILEGE, "--as is not an active platform admin"),
         (~V.valid_job_reason(F.col("reason")), INPUT, "--reason must be a short sentence"),

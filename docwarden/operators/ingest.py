@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docwarden.functions.vectors import EMBEDDING_DIM, invalid_vector_reason
 from docwarden.operators.chunking import chunk_problem
@@ -65,7 +65,7 @@ def embed_changed(
                 yield part
 
     order = [f.name for f in ready.schema.fields if f.name != "error"]
-    schema = ready.select(*order).schema.add("embedding", "array<float>").add("error", "string")
+    schema = ready.select(*order).schema.add("embedding", T.ArrayType(T.FloatType())).add("error", T.StringType())
     # Field order of the frames handed back must match the schema.
     def ordered(frames):
         for part in run(frames):
