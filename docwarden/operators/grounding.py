@@ -185,7 +185,9 @@ def citation_overlap(pairs: DataFrame, answer: str, chunk_text: str, stopwords:
 def lookup_citations(answers: DataFrame, chunks: DataFrame, key: str = "query_id") -> DataFrame:
     """One row per citation with the attributes of its chunk, in the order cited (``position``).
     Ids that are gone from the store are skipped."""
-    cited = answers.select(key, F.posexplode("citations").alias("position", "chunk_id"))
+    # The outer form: see chunking.group_documents.
+    cited = answers.select(key, F.posexplode_outer("citations").alias("position", "chunk_id"))
+    cited = cited.where(F.col("chunk_id").isNotNull())
     wanted = chunks.select("chunk_id", "doc_type", "section_label", "source_url", "published_date")
     return cited.withColumn("position", F.col("position").cast("long")).join(wanted, "chunk_id")
 

@@ -62,7 +62,7 @@ def pdf_pages(spark, sf):
     lines = read(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
     starts = F.sequence(F.lit(1), F.size("lines"), F.lit(10))
     pages = F.transform(starts, lambda i: F.array_join(F.slice("lines", i, 10), "\n"))
-    rows = lines.select("doc_id", F.posexplode(pages).alias("page", "text"))
+    rows = lines.select("doc_id", F.posexplode_outer(pages).alias("page", "text"))
     fitting, _ = files.fitting_documents(rows, "doc_id")
     joined = files.join_pages(fitting, "doc_id")
     return joined.select("doc_id", F.length("text").cast("long").alias("n_chars"), X.content_hash(F.col("text")).alias("text_hash"))
@@ -600,7 +600,7 @@ def citation_lookup(spark, sf):
     """The store has lost every second passage; citations of those are skipped."""
     answers = G.validate_replies(_replies(spark, sf)).select("doc_id", "citations")
     docs = read(spark, sf, "documents")
-    numbered = docs.select("doc_id", "lang", "source", F.posexplode(X.paragraphs(F.col("text"), LINES)).alias("i", "t"))
+    numbered = docs.select("doc_id", "lang", "source", F.posexplode_outer(X.paragraphs(F.col("text"), LINES)).alias("i", "t"))
     store = numbered.where((F.col("i") + 1) % 2 == 1).select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), (F.col("i") + 1).cast("string")).alias("chunk_id"),
         F.col("lang").alias("doc_type"), F.col("source").alias("section_label"),
