@@ -228,7 +228,8 @@ def call_model(rows: DataFrame, model: Callable[[list[dict]], str], policy: Retr
                     errors.append(f"{type(exc).__name__}: {exc}")
             yield frame.assign(content=content, call_error=errors)
 
-    return rows.mapInPandas(run, rows.schema.add("content", "string").add("call_error", "string"))
+    added = [T.StructField("content", T.StringType()), T.StructField("call_error", T.StringType())]
+    return rows.mapInPandas(run, T.StructType(rows.schema.fields + added))
 
 
 def _message(role: str, content: Column) -> Column:

@@ -64,12 +64,14 @@ def embed_changed(
                 part["embedding"], part["error"] = vectors, errors
                 yield part
 
-    order = [f.name for f in ready.schema.fields if f.name != "error"]
-    schema = ready.select(*order).schema.add("embedding", T.ArrayType(T.FloatType())).add("error", T.StringType())
-    # Field order of the frames handed back must match the schema.
+    fields = [f for f in ready.schema.fields if f.name != "error"]
+    order = [f.name for f in fields] + ["embedding", "error"]
+    added = [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())]
+    schema = T.StructType(fields + added)
+
     def ordered(frames):
         for part in run(frames):
-            yield part[order + ["embedding", "error"]]
+            yield part[order]
 
     embedded = ready.mapInPandas(ordered, schema)
     checked = embedded.withColumn("error", F.coalesce("error", invalid_vector_reason(F.col("embedding"), dim)))
