@@ -246,6 +246,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Marks ``df``, a narrow materialised table, for broadcast if its rows are counted to be few, so
+    that the large table it selects from is not shuffled. Beyond that the join is left to Spark."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def generate_answers(
     questions: DataFrame,
     model: Callable[[list[dict]], str],
@@ -290,11 +296,12 @@ def answer_questions(retrieved: DataFrame, questions: DataFrame, passages: DataF
     """Retrieval results to answers: gathers each question's passages in rank order and generates.
     ``retrieved`` comes from :func:`docwarden.operators.retrieval.retrieve`; ``passages(chunk_id,
     chunk_text)``."""
-    text = retrieved.where(F.col("chunk_id").isNotNull()).select("query_id", "rank", "chunk_id").join(passages, "chunk_id")
+    wanted = durable(retrieved.where(F.col("chunk_id").isNotNull()).select("query_id", "rank", "chunk_id"))
+    text = passages.join(broadcast_if_small(wanted), "chunk_id")
     ordered = F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "chunk_text")))
     packed = text.groupBy("query_id").agg(
         F.transform(ordered, lambda c: F.struct(c["chunk_id"].cast("string").alias("chunk_id"), c["chunk_text"].alias("chunk_text"))).alias("chunks")
     )
     asked = questions.join(packed, "query_id", "left")
     empty = F.array().cast("array<struct<chunk_id: string, chunk_text: string>>")
-    return generate_answers(asked.withColumn("chunks", F.coalesce("chunks", empty)), model, **options)
+    return generate_answers(durable(asked.withColumn("chunks", F.coalesce("chunks", empty))), model, **options)

@@ -40,43 +40,42 @@ def embed_changed(
     batch_size: int = 64,
 ) -> DataFrame:
     """Embeds the chunks that are new or changed. ``embed`` maps texts to vectors and runs in the
-    tasks; what it raises for a batch marks that batch's rows, and a vector of the wrong shape its
-    own row. Adds ``embedding`` and ``error``; rows with an error become ``failed``.
+    tasks, on up to ``batch_size`` texts at once; if it raises, each text of the batch is tried by
+    itself, so that one bad text fails alone. Adds ``embedding`` and ``error``; rows with an error,
+    or with a vector of the wrong shape, become ``failed``.
 
     A task that is run again calls ``embed`` again. Write the result, or checkpoint it, before
     anything else reads it, so that a paid model is not called once per use."""
     todo = classified.where(F.col("outcome") != "skipped").withColumn("error", chunk_problem(F.col("chunk_text")))
-    ready = todo.where(F.col("error").isNull())
-    refused = todo.where(F.col("error").isNotNull()).withColumn("embedding", F.lit(None).cast("array<float>"))
+
+    def vectors_of(texts: list[str]) -> list[tuple]:
+        try:
+            vectors = list(embed(texts))
+            if len(vectors) != len(texts):
+                raise ValueError(f"expected {len(texts)} embeddings, got {len(vectors)}")
+            return [(v, None) for v in vectors]
+        except Exception as exc:
+            if len(texts) == 1:
+                return [(None, f"{type(exc).__name__}: {exc}")]
+            return [vectors_of([t])[0] for t in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at:at + batch_size].copy()
-                vectors, errors = [None] * len(part), [None] * len(part)
-                try:
-                    vectors = list(embed(part["chunk_text"].tolist()))
-                    if len(vectors) != len(part):
-                        raise ValueError(f"expected {len(part)} embeddings, got {len(vectors)}")
-                except Exception as exc:
-                    vectors = [None] * len(part)
-                    errors = [f"{type(exc).__name__}: {exc}"] * len(part)
-                part["embedding"], part["error"] = vectors, errors
-                yield part
-
-    fields = [f for f in ready.schema.fields if f.name != "error"]
+            for start in range(0, len(frame), batch_size):
+                part = frame.iloc[start:start + batch_size].copy()
+                fit = part["error"].isna().to_numpy()
+                done = iter(vectors_of(part["chunk_text"][fit].tolist()) if fit.any() else ())
+                results = [next(done) if ok else (None, error) for ok, error in zip(fit, part["error"])]
+                part["embedding"], part["error"] = [v for v, _ in results], [e for _, e in results]
+                yield part[order]
+
+    fields = [f for f in todo.schema.fields if f.name != "error"]
     order = [f.name for f in fields] + ["embedding", "error"]
     added = [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())]
-    schema = T.StructType(fields + added)
-
-    def ordered(frames):
-        for part in run(frames):
-            yield part[order]
-
-    embedded = ready.mapInPandas(ordered, schema)
-    checked = embedded.withColumn("error", F.coalesce("error", invalid_vector_reason(F.col("embedding"), dim)))
-    done = checked.unionByName(refused.select(checked.columns))
-    return done.withColumn("outcome", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("outcome")))
+    embedded = todo.mapInPandas(run, T.StructType(fields + added))
+    error = F.coalesce("error", invalid_vector_reason(F.col("embedding"), dim))
+    checked = embedded.withColumn("error", error)
+    return checked.withColumn("outcome", F.when(F.col("error").isNotNull(), "failed").otherwise(F.col("outcome")))
 
 
 def outcome_counts(classified: DataFrame, by: list[str] | None = None) -> DataFrame:

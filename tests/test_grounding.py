@@ -139,3 +139,21 @@ def test_citation_lookup_keeps_order_and_skips_missing(spark):
                                    "chunk_id string, doc_type string, section_label string, source_url string, published_date date")
     got = G.lookup_citations(answers, chunks).orderBy("position").collect()
     assert [(r.query_id, r.position, r.chunk_id) for r in got] == [(1, 0, "b"), (1, 2, "a")]
+
+
+def test_answering_end_to_end(spark):
+    from docwarden.operators import retrieval as R
+
+    corpus = spark.createDataFrame([("a", [1.0, 0.0], 5, "alpha text"), ("b", [0.9, 0.1], 5, "beta text"), ("c", [0.0, 1.0], 5, "gamma text")],
+                                   "chunk_id string, embedding array<float>, est_tokens long, chunk_text string")
+    questions = spark.createDataFrame([(1, "first", [1.0, 0.0]), (2, "nothing near", [-1.0, -1.0])], "query_id int, question string, embedding array<double>")
+    found = R.retrieve(questions, corpus.drop("chunk_text"), dedup_threshold=2.0)
+
+    def model(messages):
+        assert messages[1]["content"] == "QUESTION:\nfirst\n\nREFERENCE MATERIAL:\nchunk_id=a\nalpha text\n\n---\n\nchunk_id=b\nbeta text\n"
+        return reply("ok", ["b", "a"])
+
+    out = G.answer_questions(found, questions.drop("embedding"), corpus.select("chunk_id", "chunk_text"), model, system_prompt="s")
+    got = {r.query_id: r for r in out.collect()}
+    assert got[1].status == "ok" and got[1].citations == ["b", "a"]
+    assert got[2].status == "not_in_corpus" and got[2].answer == G.NOT_IN_CORPUS_ANSWER

@@ -38,7 +38,7 @@ def test_one_bad_item_fails_alone(spark):
 
     new = incoming(spark, ("a", "fine", None), ("b", "bad", None), ("c", "fine too", None), ("d", "short", None), ("e", "z" * 24_001, None), ("f", " ", None))
     empty = new.limit(0)
-    done = I.embed_changed(I.classify_changes(new, empty), embed, dim=2, batch_size=1)
+    done = I.embed_changed(I.classify_changes(new, empty), embed, dim=2)
     got = {r.chunk_id: r for r in done.collect()}
     assert {k: r.outcome for k, r in got.items()} == {"a": "inserted", "b": "failed", "c": "inserted", "d": "failed", "e": "failed", "f": "failed"}
     assert got["b"].error == "ValueError: refused" and got["d"].error == "expected 2 values, got 1"
