@@ -29,6 +29,9 @@ MAX_CONTEXT_TOKENS = 6000
 # Rows of the question side sent to tasks at once: 4,096 vectors of 1,536 doubles are 50 MB.
 MAX_QUERY_ROWS = 4096
 
+# Parts into which one question's winners are split before the last merge.
+MAX_SALTS = 1024
+
 # Rounding head-room between the matrix product, which picks candidates, and the ordered sum
 # that ranks them.
 _SLACK = 1e-9
@@ -58,7 +61,7 @@ def top_k(
         local = part if local is None else local.unionByName(part)
 
     best = [F.col("similarity").desc_nulls_last(), F.col("chunk_id")]
-    salts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = min(MAX_SALTS, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = local.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
     merged = _first_k(salted, Window.partitionBy("query_id", "_salt").orderBy(*best), k).drop("_salt", "rank")
     final = _first_k(merged, Window.partitionBy("query_id").orderBy(*best), k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docwarden.functions import text as X, validation as V, vectors
-from docwarden.operators import chunking as C, grounding as G, ingest as I, outcomes as O, retrieval as R
+from docwarden.operators import chunking as C, grounding as G, ingest as I, outcomes as O, retrieval as R, vector_index as VI
 from docwarden.plans.registry import query
 from docwarden.sources import files, snapshots
 from docwarden.sources.derived import INGESTED_AT, derive, read, with_tables
@@ -382,6 +382,17 @@ def top_k(spark, sf):
     return hits.select("query_id", "rank", "chunk_id", F.round("similarity", 9).alias("similarity"))
 
 
+@query("t3_indexed_hits", f"""
+    WITH {_RANKED} select query_id, rank, chunk_id, round(similarity, 9) as similarity from pool where similarity >= {THRESHOLD}""")
+def indexed_hits(spark, sf):
+    """The relevant part of the top-K, through the cell index."""
+    corpus = _corpus(spark, sf)
+    centroids = VI.train_centroids(corpus, 8)
+    assigned = VI.assign_cells(corpus, centroids)
+    hits = VI.relevant_hits(_questions(spark, sf), assigned, centroids, VI.cell_widths(assigned), threshold=THRESHOLD)
+    return hits.select("query_id", "rank", "chunk_id", F.round("similarity", 9).alias("similarity"))
+
+
 @query("d1_deduplicated", f"WITH RECURSIVE {_DEDUPED} select query_id, rank, chunk_id, round(similarity, 9) as similarity from kept")
 def deduplicated(spark, sf):
     hits = R.top_k(_questions(spark, sf), _corpus(spark, sf), keep_vectors_from=THRESHOLD)
