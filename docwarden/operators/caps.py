@@ -42,36 +42,42 @@ def rolling_counts(events: DataFrame, key: str, ts: str, span_hours: int = CAP_H
     is put together from three windows whose groups are bounded by the calendar, not by the data:
     microseconds of a second, seconds of an hour, hours of a key. ``before`` is the difference of
     the running total at two times; the earlier ones enter as rows that count nothing."""
-    at_time = events.groupBy(key, F.col(ts).alias("t")).agg(F.count("*").alias("n"))
     step = hours(span_hours)
-    probes = at_time.select(key, (F.col("t") - step).alias("t"), F.lit(0).cast("long").alias("n"))
-    points = at_time.unionByName(probes).groupBy(key, "t").agg(F.sum("n").alias("n"))
-    second = _whole_seconds(points)
-    points = points.withColumns({"_second": second, "_hour": F.floor(second / 3600)})
 
     def running(partition: list[str], order: str, value: str) -> Column:
         w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return F.sum(value).over(w)
 
-    per_second = points.groupBy(key, "_hour", "_second").agg(F.sum("n").alias("n"))
-    per_hour = per_second.groupBy(key, "_hour").agg(F.sum("n").alias("n"))
-    hour_base = per_hour.withColumn("_hours_before", running([key], "_hour", "n") - F.col("n")).drop("n")
-    second_base = (
-        per_second.withColumn("_seconds_before", running([key, "_hour"], "_second", "n") - F.col("n"))
-        .drop("n")
-        .join(hour_base, [key, "_hour"])
-        .select(key, "_second", (F.col("_hours_before") + F.col("_seconds_before")).alias("_base"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    marks = F.array(
+        F.struct(F.col(ts).alias("t"), one.alias("n")), F.struct((F.col(ts) - step).alias("t"), none.alias("n"))
     )
-    total = (
-        points.withColumn("_within", running([key, "_second"], "t", "n"))
-        .join(second_base, [key, "_second"])
-        .select(key, "t", "n", (F.col("_base") + F.col("_within")).alias("total"))
+    timed = events.where(F.col(ts).isNotNull())
+    points = timed.select(key, F.explode(marks).alias("p")).groupBy(key, F.col("p.t").alias("t")).agg(F.sum("p.n").alias("n"))
+    second = _whole_seconds(points)
+    points = points.withColumns({"_second": second, "_hour": F.floor(second / 3600)})
+
+    # Each level's totals are read off the level below, already partitioned as needed.
+    fine = points.withColumn("_within", running([key, "_second"], "t", "n"))
+    seconds = fine.groupBy(key, "_hour", "_second").agg(F.max("_within").alias("n"))
+    seconds = seconds.withColumn("_within_hour", running([key, "_hour"], "_second", "n"))
+    hourly = seconds.groupBy(key, "_hour").agg(F.max("_within_hour").alias("n"))
+    hourly = hourly.select(key, "_hour", (running([key], "_hour", "n") - F.col("n")).alias("_hours_before"))
+    base = seconds.join(hourly, [key, "_hour"]).select(
+        key, "_second", (F.col("_hours_before") + F.col("_within_hour") - F.col("n")).alias("_base")
+    )
+    total = fine.join(base, [key, "_second"]).select(key, "t", "n", (F.col("_base") + F.col("_within")).alias("total"))
+
+    # The total at a time serves the events then and those a span later; meet them by time.
+    unknown = F.lit(None).cast("long")
+    served = F.array(
+        F.struct("t", F.col("n").alias("n"), (F.col("total") - F.col("n")).alias("upto"), unknown.alias("then")),
+        F.struct((F.col("t") + step).alias("t"), none.alias("n"), unknown.alias("upto"), F.col("total").alias("then")),
     )
-    now = total.where(F.col("n") > 0).select(key, "t", F.col("n").alias("at_time"), (F.col("total") - F.col("n")).alias("_upto"))
-    then = total.select(key, (F.col("t") + step).alias("t"), F.col("total").alias("_then"))
-    return now.join(then, [key, "t"]).select(
-        key, F.col("t").alias(ts), "at_time", (F.col("_upto") - F.col("_then")).alias("before")
+    met = total.select(key, F.explode(served).alias("s")).groupBy(key, F.col("s.t").alias(ts)).agg(
+        F.max("s.n").alias("at_time"), F.max("s.upto").alias("_upto"), F.max("s.then").alias("_then")
     )
+    return met.where(F.col("at_time") > 0).select(key, ts, "at_time", (F.col("_upto") - F.col("_then")).alias("before"))
 
 
 def _whole_seconds(df: DataFrame) -> Column:
