@@ -36,6 +36,9 @@ MAX_SALTS = 1024
 # that ranks them.
 _SLACK = 1e-9
 
+# Size of the score matrix (questions x rows) held at once by a task: 16 MB of doubles.
+_SCORES_AT_ONCE = 2_000_000
+
 
 def top_k(
     queries: DataFrame,
@@ -101,88 +104,129 @@ def _score(corpus: DataFrame, block: pa.Table, query_field: T.StructField, k: in
         names, vectors = shipped.value
         best = _PartitionBest(vectors, k)
         for batch in batches:
-            best.add(batch)
-        if best.rows is not None and len(names):
-            yield from best.result(names, keep_from)
+            if len(names):
+                best.add(batch)
+        yield from best.result(names, keep_from)
 
     return corpus.mapInArrow(run, schema)
 
 
 class _PartitionBest:
-    """Best ``k`` rows per question among the batches of one task."""
+    """Best ``k`` rows per question among the batches of one task. Each row is stored once, however
+    many questions it serves."""
 
     def __init__(self, vectors: np.ndarray, k: int):
         self.k = k
         self.vectors = vectors
-        self.squares = _ordered_dot(vectors, vectors)
+        self.columns = np.ascontiguousarray(vectors.T)
+        every = np.arange(len(vectors))
+        self.squares = _ordered_dot(self.columns, every, self.columns, every)
         norms = np.sqrt(self.squares)
         self.unit = np.divide(vectors, norms[:, None], out=np.zeros_like(vectors), where=norms[:, None] > 0)
         self.floor = np.full(len(vectors), -np.inf)
-        self.rows = None
+        self.tables: list[pa.Table] = []
+        self.ids = np.empty(0)
         self.query = np.empty(0, dtype=np.int64)
+        self.row = np.empty(0, dtype=np.int64)
         self.sim = np.empty(0)
 
     def add(self, batch: pa.RecordBatch) -> None:
+        step = max(1, _SCORES_AT_ONCE // max(1, len(self.vectors)))
+        for start in range(0, batch.num_rows, step):
+            self._add(batch.slice(start, step))
+
+    def _add(self, batch: pa.RecordBatch) -> None:
         n, width = batch.num_rows, self.vectors.shape[1]
-        if n == 0:
-            return
-        flat = batch.column("embedding").flatten()
         lengths = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
         if (lengths != width).any():
             raise ValueError(f"corpus vector length differs from the query length {width}")
-        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, width)
+        stored = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+        x = stored.astype(np.float64)
         norms = np.sqrt(np.einsum("ij,ij->i", x, x))
         unit = np.divide(x, norms[:, None], out=np.zeros_like(x), where=norms[:, None] > 0)
         approx = self.unit @ unit.T
         approx[~np.isfinite(approx)] = -2.0
         floor = self.floor
         if n > self.k:
-            own = np.partition(approx, n - self.k, axis=1)[:, n - self.k]
-            floor = np.maximum(floor, own)
+            floor = np.maximum(floor, np.partition(approx, n - self.k, axis=1)[:, n - self.k])
         q, r = np.nonzero(approx >= (floor - _SLACK)[:, None])
-
-        squares = _ordered_dot(x[r], x[r])
+        if len(q) == 0:
+            return
+        if len(q) > n:
+            wanted = self._first_copies(batch, stored)[r]
+            q, r = q[wanted], r[wanted]
+
+        used, position = np.unique(r, return_inverse=True)
+        columns = np.ascontiguousarray(x[used].T)
+        every = np.arange(len(used))
+        squares = _ordered_dot(columns, every, columns, every)
         with np.errstate(divide="ignore", invalid="ignore"):
-            sim = _ordered_dot(self.vectors[q], x[r]) / np.sqrt(self.squares[q] * squares)
+            sim = _ordered_dot(self.columns, q, columns, position) / np.sqrt(self.squares[q] * squares[position])
         sim[~np.isfinite(sim)] = -np.inf
 
-        taken = pa.Table.from_batches([batch]).take(pa.array(r))
-        rows = taken if self.rows is None else pa.concat_tables([self.rows, taken])
-        query = np.concatenate([self.query, q])
-        sim = np.concatenate([self.sim, sim])
-
-        ids = np.array(rows.column("chunk_id").to_pylist())
-        order = np.lexsort((ids, -sim, query))
-        sorted_query = query[order]
-        first = np.searchsorted(sorted_query, sorted_query, side="left")
-        kept = order[(np.arange(len(order)) - first) < self.k]
-
-        self.rows = rows.take(pa.array(kept)).combine_chunks()
-        self.query, self.sim = query[kept], sim[kept]
-        count = np.bincount(self.query, minlength=len(self.vectors))
+        taken = pa.Table.from_batches([batch]).take(pa.array(used))
+        new_ids = np.array(taken.column("chunk_id").to_pylist())
+        self.row = np.concatenate([self.row, len(self.ids) + position])
+        self.ids = np.concatenate([self.ids, new_ids]) if len(self.ids) else new_ids
+        self.tables.append(taken)
+        self.query = np.concatenate([self.query, q])
+        self.sim = np.concatenate([self.sim, sim])
+        self._trim()
+        if len(self.ids) > 4 * len(np.unique(self.row)) + 1000:
+            self._compact()
+
+    def _first_copies(self, batch: pa.RecordBatch, stored: np.ndarray) -> np.ndarray:
+        """Marks the ``k`` lowest ids of each distinct vector. Further copies tie with these and
+        lose, so a corpus full of copies costs no more than one without."""
+        whole = np.ascontiguousarray(stored).view(np.dtype((np.void, stored.dtype.itemsize * stored.shape[1]))).ravel()
+        _, vector = np.unique(whole, return_inverse=True)
+        ids = np.array(batch.column("chunk_id").to_pylist())
+        marked = np.zeros(len(ids), dtype=bool)
+        marked[_first_of_each(vector, (ids,), self.k)] = True
+        return marked
+
+    def _trim(self) -> None:
+        kept = _first_of_each(self.query, (self.ids[self.row], -self.sim), self.k)
+        self.query, self.row, self.sim = self.query[kept], self.row[kept], self.sim[kept]
+        full = np.bincount(self.query, minlength=len(self.vectors)) >= self.k
         low = np.full(len(self.vectors), np.inf)
         np.minimum.at(low, self.query, self.sim)
         # A floor of -inf would let every later row through; -2 lies below every similarity.
-        self.floor = np.where(count >= self.k, np.maximum(low, -2.0), -np.inf)
+        self.floor = np.where(full, np.maximum(low, -2.0), -np.inf)
+
+    def _compact(self) -> None:
+        used, self.row = np.unique(self.row, return_inverse=True)
+        self.tables = [pa.concat_tables(self.tables).take(pa.array(used)).combine_chunks()]
+        self.ids = self.ids[used]
 
     def result(self, names: pa.Array, keep_from: float | None) -> Iterator[pa.RecordBatch]:
-        rows = self.rows
+        if not self.tables:
+            return
+        rows = pa.concat_tables(self.tables).take(pa.array(self.row))
         if keep_from is not None:
             wanted = pa.array(np.arange(len(self.sim)), mask=~(self.sim >= keep_from))
             at = rows.schema.get_field_index("embedding")
-            rows = rows.set_column(at, "embedding", rows.column("embedding").take(wanted))
+            rows = rows.set_column(at, "embedding", rows.column("embedding").combine_chunks().take(wanted))
         unknown = np.isneginf(self.sim)
         rows = rows.add_column(0, "similarity", pa.array(np.where(unknown, 0.0, self.sim), mask=unknown))
         rows = rows.add_column(0, "query_id", names.take(pa.array(self.query)))
         yield from rows.combine_chunks().to_batches()
 
 
-def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise dot product added up from the first component on, so that equal vectors score
-    equally in whichever batch they stand."""
-    total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += a[:, j] * b[:, j]
+def _first_of_each(group: np.ndarray, order: tuple, k: int) -> np.ndarray:
+    """Positions of the ``k`` first members of each group; ``order`` is least significant first."""
+    at = np.lexsort((*order, group))
+    grouped = group[at]
+    return at[np.arange(len(at)) - np.searchsorted(grouped, grouped, side="left") < k]
+
+
+def _ordered_dot(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of the vectors ``i`` of ``a`` with the vectors ``j`` of ``b``, both stored by
+    component. They are added up from the first component on, so that equal vectors score equally
+    in whichever batch they stand."""
+    total = np.zeros(len(i))
+    for x, y in zip(a, b):
+        total += x[i] * y[j]
     return total
 
 

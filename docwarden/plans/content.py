@@ -630,13 +630,14 @@ def two_pass_answers(spark, sf):
             when kind = 8 and n = 1 then [id1] when kind = 8 then [id1, idn] else [] end) as chunk_id from out),
     pos AS (select doc_id, chunk_id, row_number() over (partition by doc_id order by cast(split_part(chunk_id, ':', 2) as int)) - 1 as position from cited)
     select p.doc_id, position, chunk_id, d.lang as doc_type, d.source as section_label, 'upload://' || p.doc_id as source_url
-    from pos p join documents d on d.doc_id = p.doc_id where cast(split_part(chunk_id, ':', 2) as int) % 2 = 1""")
+    from pos p join documents d on d.doc_id = p.doc_id join lines l on l.doc_id = p.doc_id
+    where length(l.items[cast(split_part(chunk_id, ':', 2) as int)]) >= 80""")
 def citation_lookup(spark, sf):
-    """The store has lost every second passage; citations of those are skipped."""
+    """The store holds passages of 80 characters and more; citations of others are skipped."""
     answers = G.validate_replies(_replies(spark, sf)).select("doc_id", "citations")
     docs = read(spark, sf, "documents")
     numbered = docs.select("doc_id", "lang", "source", F.posexplode_outer(X.paragraphs(F.col("text"), LINES)).alias("i", "t"))
-    store = numbered.where((F.col("i") + 1) % 2 == 1).select(
+    store = numbered.where(F.length("t") >= 80).select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), (F.col("i") + 1).cast("string")).alias("chunk_id"),
         F.col("lang").alias("doc_type"), F.col("source").alias("section_label"),
         F.concat(F.lit("upload://"), F.col("doc_id").cast("string")).alias("source_url"), F.lit(None).cast("date").alias("published_date"),
