@@ -222,6 +222,14 @@ def list_open_invitations(state: AccessState, as_of) -> DataFrame:
     )
 
 
+def readable_by(listing: DataFrame, state: AccessState, user_id: str, roles=ADMIN) -> DataFrame:
+    """Rows of a listing of all organizations that one person may read: those of organizations
+    where they hold one of ``roles``. An organization that does not exist and one of others look
+    the same."""
+    own = active_memberships(state).where((F.col("user_id") == user_id) & F.col("role").isin(*roles))
+    return listing.join(own.select("org_id"), "org_id", "left_semi")
+
+
 def list_my_invitations(state: AccessState, as_of) -> DataFrame:
     """Invitations that wait for a person, in active organizations, newest first."""
     opened = state.invitations.where(invitation_is_open(as_of))

@@ -17,7 +17,7 @@ def pytest_collection_modifyitems(items):
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", cpus=4, memory="6g")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session = local_session("tests", cpus=8, memory="6g")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()

@@ -207,6 +207,12 @@ def test_stale_flag_and_lists(spark):
     assert [(r.email, r.role) for r in A.list_members(s).collect()] == [("a@example.org", "org_admin"), ("b@example.org", "point_person")]
 
 
+def test_reading_needs_a_role(spark):
+    s = world(spark, [("o1", "a", "org_admin"), ("o1", "b", "point_person"), ("o2", "a", "org_admin")])
+    count = lambda who, roles: A.readable_by(A.list_members(s), s, who, roles).count()
+    assert (count("a", A.ADMIN), count("b", A.ADMIN), count("b", A.INVITERS), count("c", A.INVITERS)) == (2, 0, 2, 0)
+
+
 def test_first_wave(spark):
     c = spark.createDataFrame([(1, "k"), (2, "k"), (3, "j")], "seq int, key string")
     first, rest = K.first_wave(c, ["key"], "seq")
