@@ -250,7 +250,7 @@ def orphaned_references(spark, sf):
 
 @query("a3_cap_usage", f"""
     {with_tables('invitations')}, r AS (select * from invitations where invited_at > {_NOW} - interval 24 hour and invited_at <= {_NOW})
-    select 'org' as scope, org_id as scope_id, count(*) as recent, 20 as cap, count(*) >= 20 as reached from r group by org_id
+    select 'org' as scope, org_id as scope_id, count(*) as recent, cast(20 as bigint) as cap, count(*) >= 20 as reached from r group by org_id
     union all select 'sender', invited_by, count(*), 10, count(*) >= 10 from r group by invited_by
     union all select 'global', 'all', count(*), 30, count(*) >= 30 from r having count(*) > 0""")
 def cap_usage(spark, sf):
@@ -423,7 +423,7 @@ def _revocations(spark, sf) -> DataFrame:
     s AS (select case when actor is null then 403 when not found then 404 when revoked_at is not null then 409
         when not job and not (boss or coalesce(member = actor and me_active, false)) then 403
         when not job and role = 'org_admin' and other_admins = 0 then 409 else 204 end as http_status from j)
-    select http_status, count(*) as commands from s group by http_status""")
+    select cast(http_status as bigint) as http_status, count(*) as commands from s group by http_status""")
 def refusal_status(spark, sf):
     done = _revocations(spark, sf).withColumn("http_status", O.refusal_status(F.col("refusal_code")))
     return done.groupBy("http_status").agg(F.count("*").alias("commands"))

@@ -251,7 +251,7 @@ def chunks(spark, sf):
 
 @query("c3_oversize_split", f"""
     WITH RECURSIVE {_GROUPS}, {_PIECES}
-    select doc_id, cast(grp as bigint) as group_index, max(n) as pieces, max(length(piece_text)) as longest, sum(length(piece_text)) as total
+    select doc_id, cast(grp as bigint) as group_index, max(n) as pieces, max(length(piece_text)) as longest, cast(sum(length(piece_text)) as bigint) as total
     from pieces group by doc_id, grp""")
 def oversize_split(spark, sf):
     groups = C.group_documents(_documents_as_files(spark, sf).select("doc_id", "sections"))
@@ -311,7 +311,7 @@ def empty_documents(spark, sf):
 
 
 @query("c11_token_estimates", """
-    select source, sum(greatest(1, length(text) // 4)) as tokens, max(greatest(1, length(text) // 4)) as largest from documents group by source""")
+    select source, cast(sum(greatest(1, length(text) // 4)) as bigint) as tokens, max(greatest(1, length(text) // 4)) as largest from documents group by source""")
 def token_estimates(spark, sf):
     tokens = X.estimated_tokens(F.col("text"))
     return read(spark, sf, "documents").groupBy("source").agg(F.sum(tokens).alias("tokens"), F.max(tokens).alias("largest"))
@@ -592,7 +592,7 @@ def reply_validation(spark, sf):
 
 @query("g8_p20_answer_outcomes", f"""
     {_REPLY_SQL}, s AS (select {_STATUS_SQL} as status from out)
-    select status, case status when 'invalid' then 502 else 200 end as http_status, count(*) as replies,
+    select status, cast(case status when 'invalid' then 502 else 200 end as bigint) as http_status, count(*) as replies,
         count(*) filter (where status in ('not_in_corpus', 'ungrounded')) as told_not_in_corpus
     from s group by status""")
 def answer_outcomes(spark, sf):
@@ -719,7 +719,7 @@ def upload_ledger(spark, sf):
 @query("u5_attempt_responses", f"""
     {with_tables('attempts')}, s AS (select file_hash, min(attempt_id) as settled from attempts where outcome = 'completed' group by file_hash)
     select attempt_id, case when attempt_id > settled then 'completed' else 'processing' end as response,
-        case when attempt_id > settled then 200 else 202 end as http_status
+        cast(case when attempt_id > settled then 200 else 202 end as bigint) as http_status
     from attempts a left join s on s.file_hash = a.file_hash""")
 def attempt_responses(spark, sf):
     return I.attempt_responses(derive(spark, sf, "attempts")).select("attempt_id", "response", "http_status")
@@ -731,7 +731,7 @@ def attempt_responses(spark, sf):
     led AS (select l.doc_id, case when l.toxic = 1 then 'failed' when l.quality = 1 then 'completed' else 'processing' end as status from labels l)
     select w.id as doc_id, case when led.status = 'completed' then 'completed' else 'processing' end as status,
         case when led.status = 'failed' then 'earlier ' || w.id end as previous_failure_reason,
-        case when led.status = 'completed' then 200 else 202 end as http_status
+        cast(case when led.status = 'completed' then 200 else 202 end as bigint) as http_status
     from wave w left join led on led.doc_id = w.id""")
 def begin_attempts(spark, sf):
     """One upload per distinct file, against a ledger that knows the labelled ones."""
