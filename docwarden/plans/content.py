@@ -10,7 +10,7 @@ from docwarden.functions import text as X, validation as V, vectors
 from docwarden.operators import chunking as C, grounding as G, ingest as I, outcomes as O, retrieval as R, vector_index as VI
 from docwarden.plans.registry import query
 from docwarden.sources import files, snapshots
-from docwarden.sources.derived import INGESTED_AT, derive, read, with_tables
+from docwarden.sources.derived import INGESTED_AT, derive, read, read_spread, with_tables
 from docwarden.functions.temporal import at
 
 # Paragraphs of the given documents end at single line breaks.
@@ -172,7 +172,7 @@ def _paragraph_sql(pattern: str) -> str:
     select doc_id, len(a) as by_blank_line, len(b) as by_line, sha256(array_to_string(b, '|')) as line_hash
     from (select doc_id, {_paragraph_sql(_BLANK_LINE_SQL)} as a, {_paragraph_sql(LINES)} as b from documents)""")
 def paragraphs(spark, sf):
-    split = read(spark, sf, "documents").select("doc_id", X.paragraphs(F.col("text")).alias("a"), X.paragraphs(F.col("text"), LINES).alias("b"))
+    split = read_spread(spark, sf, "documents", "doc_id").select("doc_id", X.paragraphs(F.col("text")).alias("a"), X.paragraphs(F.col("text"), LINES).alias("b"))
     return split.select(
         "doc_id", F.size("a").cast("long").alias("by_blank_line"), F.size("b").cast("long").alias("by_line"),
         X.content_hash(F.array_join("b", "|")).alias("line_hash"),
@@ -191,7 +191,7 @@ _GROUPS = _groups_sql(LINES, X.TARGET_CHARS)
 
 
 def _documents_as_files(spark, sf) -> DataFrame:
-    docs = read(spark, sf, "documents")
+    docs = read_spread(spark, sf, "documents", "doc_id")
     return docs.select(
         F.col("doc_id"),
         X.content_hash(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text"))).alias("file_hash"),
@@ -272,7 +272,7 @@ def oversize_split(spark, sf):
     from pieces""")
 def default_chunks(spark, sf):
     """Default paragraphs and sizes."""
-    docs = read(spark, sf, "documents").select(
+    docs = read_spread(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").alias("file_hash"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename"),
         C.whole_text_section(F.col("text")).alias("sections"),
     )
@@ -482,7 +482,7 @@ _LINE_CHUNKS = f"""
 
 def _passages(spark, sf) -> DataFrame:
     """Documents as questions with their lines as retrieved passages."""
-    split = read(spark, sf, "documents").select("doc_id", X.paragraphs(F.col("text"), LINES).alias("items"))
+    split = read_spread(spark, sf, "documents", "doc_id").select("doc_id", X.paragraphs(F.col("text"), LINES).alias("items"))
     passages = F.transform("items", lambda t, i: F.struct(
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), (i + 1).cast("string")).alias("chunk_id"), t.alias("chunk_text")
     ))
@@ -514,7 +514,7 @@ def _tokens_sql(text: str) -> str:
     from (select doc_id, {_tokens_sql("text || ' The Council approved Funding for energy'")} as t from documents)""")
 def salient_tokens(spark, sf):
     text = F.concat("text", F.lit(" The Council approved Funding for energy"))
-    tokens = read(spark, sf, "documents").select("doc_id", G.salient_tokens(text).alias("t"))
+    tokens = read_spread(spark, sf, "documents", "doc_id").select("doc_id", G.salient_tokens(text).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("long").alias("tokens"), X.content_hash(F.array_join(F.array_sort("t"), " ")).alias("token_hash"))
 
 
@@ -635,7 +635,7 @@ def two_pass_answers(spark, sf):
 def citation_lookup(spark, sf):
     """The store holds passages of 80 characters and more; citations of others are skipped."""
     answers = G.validate_replies(_replies(spark, sf)).select("doc_id", "citations")
-    docs = read(spark, sf, "documents")
+    docs = read_spread(spark, sf, "documents", "doc_id")
     numbered = docs.select("doc_id", "lang", "source", F.posexplode_outer(X.paragraphs(F.col("text"), LINES)).alias("i", "t"))
     store = numbered.where(F.length("t") >= 80).select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), (F.col("i") + 1).cast("string")).alias("chunk_id"),
