@@ -6,6 +6,8 @@ state written in between. Each evaluator joins the facts its rules need and appl
 order; the first that matches is the refusal. Results carry ``accepted``, ``refusal_code`` and
 ``refusal_reason``.
 
+The wording of the refusals is fixed, as it is part of the results.
+
 Commands name their actor and, for privileged changes, the reason in ``system_job``; nothing
 depends on hidden session state."""
 

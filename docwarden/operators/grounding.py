@@ -241,7 +241,8 @@ def durable(df: DataFrame) -> DataFrame:
     repeated by a second consumer or a lost executor."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docwarden-")
+        # A machine-local folder only serves local runs; a cluster names a shared one.
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docwarden-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 
