@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docwarden.llm import substring_dedup
+from docwarden.llm import jaccard_join, substring_dedup
 from docwarden.llm.registry import query, table
 
 
@@ -10,3 +10,8 @@ from docwarden.llm.registry import query, table
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return substring_dedup.remove_repeats(docs).drop("kept_text")
+
+
+@query("op9_jaccard_join")
+def op9(spark, sf_dir):
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
