@@ -1,19 +1,22 @@
 """Removal of passages that an earlier document already has.
 
 The suffixes of all documents (one per word, to a depth of ``depth`` words) form one truncated suffix
-tree, which is never held as a whole. It is split by prefixes of two lengths:
+tree, which is never held as a whole. It is split by prefixes of three lengths, each used only for the
+suffixes that the shorter one leaves open:
 
 1. A suffix's short prefix is the smallest hash among the ``depth // 2``-word runs that start in its
    first ``depth - depth // 2 + 1`` words. It is decided by the suffix's words alone, so equal suffixes
-   fall under equal prefixes, and neighbouring suffixes mostly share theirs: about one row per
-   ``depth / 4`` words describes them all. A prefix that only one document has is a leaf edge; no
-   repeat lies below it and its suffixes go no further.
-2. Suffixes below a shared prefix get their long prefix, all ``depth`` words, as two hashes of half
-   the words (128 bits). A node at that depth with leaves in two documents is a deep internal node:
-   everything above it is a repeat. Nodes are sums over leaves, so a node with a third of all leaves
-   is combined in the tasks that hold them and never gathered.
-
-A leaf is removed when its node has a leaf in a document with a smaller id.
+   fall under equal prefixes, and neighbouring suffixes mostly share theirs: one row per run of such
+   neighbours, about four per ``depth`` words, describes them all. A prefix that only one document has
+   is a leaf edge; no repeat lies below it and its suffixes go no further.
+2. Below a shared prefix, runs are told apart by all the words that their suffixes cover. A run whose
+   words an earlier document has too is a maximal repeat of the whole run: all its suffixes go.
+3. Where one short prefix has runs of different words (at the borders of a passage, at edits), their
+   suffixes get the long prefix of ``depth`` words, for one run of each kind. A node at that depth with
+   leaves in two documents is a deep internal node: everything above it is a repeat.
+
+Nodes are minima over leaves, so a node with a third of all leaves is combined in the tasks that hold
+them and never gathered. A leaf is removed when its node has a leaf in a document with a smaller id.
 """
 
 from __future__ import annotations
@@ -26,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docwarden.llm.words import bits_to_long, blocks, record_batch, windows
+from docwarden.llm.durable import written
+from docwarden.llm.words import bits_to_long, blocks, joined, record_batch, windows, word_hashes
 
 DEPTH = 50
 
-_RUNS = pa.schema([("doc_id", pa.int64()), ("prefix", pa.int64()), ("first", pa.int32()), ("suffixes", pa.int32())])
+_RUNS = pa.schema([
+    ("doc_id", pa.int64()), ("prefix", pa.int64()), ("first", pa.int32()), ("suffixes", pa.int32()), ("head", pa.int64()), ("tail", pa.int64()),
+])
+_RUNS_DDL = "doc_id long, prefix long, first int, suffixes int, head long, tail long"
 _LEAVES = pa.schema([("doc_id", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("place", pa.int32())])
 _KEPT = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()),
@@ -47,29 +54,32 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _prefix_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    from docwarden.llm.words import word_hashes
-
     short = depth // 2
     for block in blocks(batches):
         starts = block.window_starts(depth)
         if not len(starts):
             continue
-        prefix = _sliding_min(windows(word_hashes(block.words), short), depth - short + 1)[starts]
+        grams = windows(word_hashes(block.words), short)
+        prefix = _sliding_min(grams, depth - short + 1)[starts]
         owner = block.owners()[starts]
         new = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (owner[1:] != owner[:-1])])
+        length = np.diff(np.r_[new, len(prefix)])
+        # Short runs of words that together cover the words of a run, hashed in two ways.
+        low, high = starts[new], starts[new] + length - 1 + depth - short
+        low_half, high_half = low + (length - 1 + depth - short) // 2, low + (length + depth - short) // 2
+        head = joined(joined(grams[low], grams[high]), length.astype(np.uint64))
+        tail = joined(joined(grams[high], grams[low_half]), grams[high_half])
         ids = np.array([-1 if k[0] is None else k[0] for k in block.keys], np.int64)
         known = np.array([k[0] is not None for k in block.keys])[owner[new]]
         place = (starts - block.starts[owner])[new]
-        length = np.diff(np.r_[new, len(prefix)])
         yield record_batch(
-            _RUNS, ids[owner[new]][known], bits_to_long(prefix[new])[known], place[known].astype(np.int32), length[known].astype(np.int32)
+            _RUNS, ids[owner[new]][known], bits_to_long(prefix[new])[known], place[known].astype(np.int32), length[known].astype(np.int32),
+            bits_to_long(head)[known], bits_to_long(tail)[known],
         )
 
 
 def _leaves(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
     """Suffixes, with their long prefix, of the runs listed beside each text."""
-    from docwarden.llm.words import word_hashes
-
     short = depth // 2
     for block in blocks(batches):
         runs = windows(word_hashes(block.words), short)
@@ -90,10 +100,11 @@ def _without(batches: Iterator[pa.RecordBatch], depth: int, with_text: bool) ->
             words = block.words[block.starts[i] : block.ends[i]]
             if places:
                 edge = np.zeros(len(words) + 1, np.int64)
-                at = np.array(places)
-                at = at[at + depth <= len(words)]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + depth, -1)
+                low = np.array([r["first"] for r in places])
+                high = np.minimum(low + np.array([r["suffixes"] for r in places]) - 1 + depth, len(words))
+                fits = low + depth <= len(words)
+                np.add.at(edge, low[fits], 1)
+                np.add.at(edge, high[fits], -1)
                 kept = [words[j] for j in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
             else:
                 kept = words
@@ -110,20 +121,26 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, with_text: bool = False)
     are not smaller than each other, so repeated rows spare each other; rows that share an id share
     their removals. A null id is nobody's smaller id and loses nothing."""
     texts = docs.select("doc_id", "text")
-    runs = texts.mapInArrow(lambda it: _prefix_runs(it, depth), "doc_id long, prefix long, first int, suffixes int")
+    runs = texts.mapInArrow(lambda it: _prefix_runs(it, depth), _RUNS_DDL)
     shared = (
         runs.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("prefix")
     )
-    below = (
-        runs.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set(F.struct("first", "suffixes")).alias("runs"))
+    below = written(runs.join(shared, "prefix"), "runs")
+    kinds = below.groupBy("prefix", "suffixes", "head", "tail").agg(F.min("doc_id").alias("low"))
+    told = below.join(kinds, ["prefix", "suffixes", "head", "tail"])
+    open_prefixes = kinds.groupBy("prefix").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("prefix")
+    listed = (
+        told.filter("doc_id = low").join(open_prefixes, "prefix").groupBy("doc_id").agg(F.collect_set(F.struct("first", "suffixes")).alias("runs"))
     )
-    leaves = texts.join(below, "doc_id").mapInArrow(lambda it: _leaves(it, depth), "doc_id long, head long, tail long, place int")
+    leaves = written(texts.join(listed, "doc_id").mapInArrow(lambda it: _leaves(it, depth), "doc_id long, head long, tail long, place int"), "leaves")
     nodes = (
         leaves.groupBy("head", "tail").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
         .select("head", "tail", "low")
     )
     removed = (
-        leaves.join(nodes, ["head", "tail"]).filter("doc_id > low").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+        told.filter("doc_id > low").select("doc_id", "first", "suffixes")
+        .union(leaves.join(nodes, ["head", "tail"]).filter("doc_id > low").select("doc_id", F.col("place").alias("first"), F.lit(1)))
+        .groupBy("doc_id").agg(F.collect_set(F.struct("first", "suffixes")).alias("places"))
     )
     return texts.join(removed, "doc_id", "left").mapInArrow(
         lambda it: _without(it, depth, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
