@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docwarden.llm import jaccard_join, substring_dedup
+from docwarden.llm import jaccard_join, packing, substring_dedup
 from docwarden.llm.registry import query, table
 
 
@@ -15,3 +15,10 @@ def op2(spark, sf_dir):
 @query("op9_jaccard_join")
 def op9(spark, sf_dir):
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
+@query("op7_packing")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
