@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docwarden.llm import jaccard_join, packing, substring_dedup
+from docwarden.llm import jaccard_join, language_id, packing, substring_dedup
 from docwarden.llm.registry import query, table
 
 
@@ -22,3 +22,9 @@ def op7(spark, sf_dir):
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
