@@ -31,14 +31,13 @@ from pyspark.sql import functions as F
 
 from docwarden.llm.components import components
 from docwarden.llm.durable import written
+from docwarden.llm.filters import bit_filter, passes
 from docwarden.llm.words import Block, bits_to_long, blocks, mixed, record_batch, windows, word_hashes
 
 SHINGLE = 5
 SLACK = 3
 #: Text bytes of the sample that orders the bits, and the documents of it that make a bit frequent.
 SAMPLE_BYTES, FREQUENT = 16_000_000, 4
-#: Size of the filter of candidate ids: 2**26 bits, whatever the input.
-FILTER_BITS = 26
 
 _SIGNATURE = pa.schema([
     ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sum_hash", pa.int64()), ("xor_hash", pa.int64()),
@@ -138,9 +137,8 @@ def _sets_of(batches, shingle: int, listed: np.ndarray) -> Iterator[pa.RecordBat
     """The sets of the documents whose slot is in the filter."""
     def wanted():
         for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = (listed[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
+            hit = passes(listed, batch.column(2).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(hit)).select([0, 1])
 
     for block in blocks(wanted(), split=_lower_split):
         yield record_batch(_SET, [k[0] for k in block.keys], [s.tobytes() for s in _sets(block, shingle)])
@@ -163,13 +161,9 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, shingle
     side = lambda x: signatures.select(
         F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     near = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near_sketches, "a long, b long"), "near")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select("b")).select((slot + 1).alias("slot"))
-    listed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for part in ids.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toLocalIterator():
-        at = (part["part"] - 1) * 4096
-        listed[at : at + 4096] = np.frombuffer(part["bits"], np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(listed)
+    slot = F.xxhash64("doc_id")
+    found = bit_filter(near.select(F.col("a").alias("doc_id")).union(near.select("b")).select(slot))
+    shared = texts.sparkSession.sparkContext.broadcast(found)
     sets = written(
         texts.select("doc_id", "text", slot.alias("slot")).filter("doc_id is not null")
         .mapInArrow(lambda it: _sets_of(it, shingle, shared.value), "doc_id long, shingles binary"), "sets",

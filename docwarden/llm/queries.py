@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docwarden.llm import jaccard_join, language_id, packing, substring_dedup
+from docwarden.llm import decontaminate, jaccard_join, language_id, packing, substring_dedup
 from docwarden.llm.registry import query, table
 
 
@@ -28,3 +28,8 @@ def op7(spark, sf_dir):
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
+
+
+@query("op8_decontamination")
+def op8(spark, sf_dir):
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
