@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docwarden.llm import decontaminate, jaccard_join, language_id, packing, substring_dedup
+from docwarden.llm import decontaminate, jaccard_join, language_id, packing, quality, substring_dedup
 from docwarden.llm.registry import query, table
 
 
@@ -33,3 +33,8 @@ def op1(spark, sf_dir):
 @query("op8_decontamination")
 def op8(spark, sf_dir):
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_quality_rules")
+def op5(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"))
