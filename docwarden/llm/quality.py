@@ -28,7 +28,7 @@ from docwarden.llm.words import blocks, record_batch, windows, word_hashes
 LEAST_WORDS, MOST_REPEATS = 50, 50
 SUB, SPREAD, LEAST = 32, 6, 100
 #: Rates in thousandths (of words; of lines; of characters) with the floors of their fences.
-FLOORS = {"symbol_rate": 40, "repeat_rate": 400, "line_rate": 300, "length_rate": 9_000}
+FLOORS = {"symbol_rate": 40, "repeat_rate": 400, "line_rate": 500, "length_rate": 9_000}
 
 _MEASURES = pa.schema([
     ("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
