@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docwarden.llm import decontaminate, jaccard_join, language_id, packing, quality, substring_dedup
+from docwarden.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, substring_dedup
 from docwarden.llm.registry import query, table
 
 
@@ -38,3 +38,8 @@ def op8(spark, sf_dir):
 @query("op5_quality_rules")
 def op5(spark, sf_dir):
     return quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op3_html_extraction")
+def op3(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
