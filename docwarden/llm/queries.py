@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docwarden.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, substring_dedup
+from docwarden.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup
 from docwarden.llm.registry import query, table
 
 
@@ -43,3 +43,8 @@ def op5(spark, sf_dir):
 @query("op3_html_extraction")
 def op3(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_secret_scan", secret_scan.oracle_sql())
+def op4(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
