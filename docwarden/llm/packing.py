@@ -29,7 +29,9 @@ from docwarden.llm.words import record_batch
 
 LENGTH, END, STEP = 2048, 1, 16
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: A special token of the tokenizer that stands between words encoded together.
+SEPARATOR = "<|endoftext|>"
 #: Pieces of one class that are numbered together.
 BUCKET = 65_536
 
@@ -44,25 +46,46 @@ _PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 
 class _Ids:
     """Ids of space-separated words. White space ends a pre-token of the tokenizer, so that a text's
-    ids are those of its words on end; only words that are new are given to the tokenizer."""
+    ids are those of its words on end; only words that are new are given to the tokenizer, many in one
+    text with a special token between them. Words are remembered in two generations: when the young one
+    is full it becomes the old one, and words still in use move back."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.mark = self.tokenizer.token_to_id(SEPARATOR)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == self.mark) if self.mark is not None else []
+        if len(cuts) != len(words) - 1:  # a word holds the separator, or the tokenizer has none
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [raw[low:high] for low, high in zip([0, *(c + 4 for c in ends[:-1])], ends)]
 
     def of(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words) - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = list(set().union(*words) - self.known.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        young, old = self.young, self.old
+        missing = set().union(*words)
+        missing.difference_update(young)
+        new = []
+        for word in missing:
+            if word in old:
+                young[word] = old[word]
+            else:
+                new.append(word)
+        for low in range(0, len(new), 512):
+            part = new[low : low + 512]
+            young.update(zip(part, self._encoded(part)))
+        get = young.__getitem__
+        found = [b"".join(map(get, w)) for w in words]
+        if len(young) > REMEMBERED:
+            self.young, self.old = {}, young
+        return found
 
 
 _tokenizers: dict[str, _Ids] = {}

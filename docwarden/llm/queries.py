@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docwarden.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, secret_scan, substring_dedup
+from docwarden.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, secret_scan, sharding, substring_dedup, url_filter
 from docwarden.llm.registry import query, table
 
 
@@ -48,3 +48,15 @@ def op3(spark, sf_dir):
 @query("op4_secret_scan", secret_scan.oracle_sql())
 def op4(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_sharding")
+def op10(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op6_url_filter", url_filter.oracle_sql())
+def op6(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.selectExpr("page_id", "url", "cast((page_id * 7919) % 365 as int) as day")
+    return url_filter.judged(captures, url_filter.log_of(pages))
