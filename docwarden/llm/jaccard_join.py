@@ -222,3 +222,13 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     whole = components(stars.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).union(more))
     return signatures.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each component the smallest document
+    stays, of rows that share an id the first by text. Rows without an id stay."""
+    first = similarity_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
+    known = docs.filter("doc_id is not null").join(first, F.col("doc_id") == F.col("first_id"), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
+    alone = known.select("*", F.row_number().over(order).alias("place_in_id")).filter("place_in_id = 1").drop("place_in_id")
+    return alone.union(docs.filter("doc_id is null"))

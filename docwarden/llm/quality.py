@@ -31,11 +31,11 @@ SUB, SPREAD, LEAST = 32, 6, 100
 FLOORS = {"symbol_rate": 40, "repeat_rate": 400, "line_rate": 500, "length_rate": 9_000}
 
 _MEASURES = pa.schema([
-    ("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
+    ("row_key", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
     ("n_symbols", pa.int64()), ("n_lines", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
 ])
 _MEASURES_DDL = (
-    "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+    "row_key long, doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 )
 _SYMBOLS = b"#*$%&|<>"
 _CONTINUED = bytes(range(0x80, 0xC0))  # bytes that do not begin a code point
@@ -77,9 +77,14 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(_MEASURES, *map(list, zip(*rows)))
 
 
+def _row_key():
+    """The same for equal rows only; rows may share an id, or have none."""
+    return F.xxhash64("doc_id", "lang", "source", "text")
+
+
 def measures(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: the base measures and rates beside doc_id, lang and source."""
-    found = docs.select("doc_id", "lang", "source", "text").mapInArrow(_measures, _MEASURES_DDL)
+    """One row per row of ``docs``: the base measures and rates beside row_key, doc_id, lang and source."""
+    found = docs.select(_row_key().alias("row_key"), "doc_id", "lang", "source", "text").mapInArrow(_measures, _MEASURES_DDL)
     per = lambda part, whole: F.expr(f"1000L * {part} div {whole}")
     return found.withColumns({
         "symbol_rate": per("n_symbols", "greatest(word_chars, 1L)"),
@@ -131,7 +136,7 @@ def fences(sketch: DataFrame, *groups: str) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang, source): the base measures, base_failed, kept, and
+    """One row per row of ``docs`` (doc_id, text, lang, source): row_key, the base measures, base_failed, kept, and
     the fences that applied. A null language or source is a group of its own, as in GROUP BY. Null and
     blank texts have no words and fail the base rules. Repeated rows count as often as they occur. Extra
     columns are ignored; with no row that passes the base rules there are no fences and nothing is kept."""
@@ -150,4 +155,10 @@ def judged(docs: DataFrame) -> DataFrame:
         measured = measured.withColumn(n, F.expr(f"case when docs_0 >= {LEAST} then {n}_0 when docs_1 >= {LEAST} then {n}_1 else {n}_2 end"))
     inside = " and ".join(f"{r} <= {r}_fence" for r in FLOORS)
     return measured.withColumn("kept", F.expr(f"coalesce(not base_failed and {inside}, false)")).select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *names)
+        "row_key", "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *names)
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that are kept. Repeated rows stay repeated."""
+    kept = judged(docs).filter("kept").select(F.col("row_key").alias("kept_key")).distinct()
+    return docs.join(kept, _row_key() == F.col("kept_key"), "left_semi")

@@ -37,7 +37,7 @@ def op8(spark, sf_dir):
 
 @query("op5_quality_rules")
 def op5(spark, sf_dir):
-    return quality.judged(table(spark, sf_dir, "documents"))
+    return quality.judged(table(spark, sf_dir, "documents")).drop("row_key")
 
 
 @query("op3_html_extraction")
