@@ -160,5 +160,5 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept. Repeated rows stay repeated."""
-    kept = judged(docs).filter("kept").select(F.col("row_key").alias("kept_key")).distinct()
-    return docs.join(kept, _row_key() == F.col("kept_key"), "left_semi")
+    kept = judged(docs).filter("kept").select(F.col("row_key").alias("__kept_key")).distinct()
+    return docs.join(kept, _row_key() == F.col("__kept_key"), "left_semi")

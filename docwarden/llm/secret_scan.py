@@ -88,10 +88,11 @@ def _gathered(docs: DataFrame) -> DataFrame:
     return spans.groupBy("doc_id", "text_key").agg(ordered.alias("spans"))
 
 
-def _with_spans(docs: DataFrame, *columns: str) -> DataFrame:
-    found = _gathered(docs).select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "spans")
-    keyed = docs.select(*columns, F.xxhash64("text").alias("text_key"))
-    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "left").drop("of_id", "of_key", "text_key")
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """(given, spans): the rows of ``docs`` as structs, which keeps their names apart, and their spans."""
+    found = _gathered(docs)
+    keyed = docs.select(F.struct("*").alias("given"), F.col("doc_id").alias("of_id"), F.xxhash64("text").alias("of_key"))
+    return keyed.join(found, F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_key") == F.col("text_key")), "left").select("given", "spans")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -99,10 +100,10 @@ def scan(docs: DataFrame) -> DataFrame:
     digest, and all reported spans as ``kind:start:end`` (code points, end exclusive) in order. A null or
     empty text has none. Repeated rows give repeated results."""
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
-    found = _with_spans(docs, "doc_id").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
+    found = _with_spans(docs.select("doc_id", "text")).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return found.select(
-        "doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(BASE)], F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
+        "given.doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(BASE)], F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
     )
 
@@ -110,17 +111,16 @@ def scan(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every reported span, overlapping ones as one, replaced by ``mark`` in the text. All
     columns and rows stay."""
-    if "spans" in docs.columns:
-        raise ValueError("a column named spans would be overwritten")
+    text = F.col("given.text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("upto"))
     def step(acc, s):
         fresh = s["start"] >= acc["upto"]
-        cut = F.substring("text", (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int"))
+        cut = F.substring(text, (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int"))
         return F.struct(F.when(fresh, F.concat(acc["out"], cut, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["upto"], s["end"]).alias("upto"))
     done = F.aggregate("spans", start, step)
-    clean = F.concat(done["out"], F.substring("text", (done["upto"] + 1).cast("int"), F.length("text")))
-    found = _with_spans(docs, *docs.columns)
-    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.concat(done["out"], F.substring(text, (done["upto"] + 1).cast("int"), F.length(text)))
+    return _with_spans(docs).withColumn("clean", F.when(F.size("spans") > 0, clean).otherwise(text)).select(
+        *[F.col("clean" if c == "text" else f"given.`{c}`").alias(c) for c in docs.columns])
 
 
 def oracle_sql() -> str:
