@@ -87,7 +87,7 @@ def create_organizations(commands: DataFrame, state: AccessState, as_of) -> Data
     rules = [
         (F.col("actor").isNull(), PRIVILEGE, NO_ACTOR),
         (~job & ~F.col("_me_platform"), PRIVILEGE, "only a platform admin can create an organization"),
-        (F.btrim("legal_name") == "", CHECK, "legal name must not be blank"),
+        (F.coalesce(F.btrim("legal_name"), F.lit("")) == "", CHECK, "legal name must not be blank"),
         (job & ~F.col("status").isin("active", "suspended", "closed"), CHECK, "unknown status"),
     ]
     return _only(
@@ -126,8 +126,8 @@ def update_organizations(commands: DataFrame, state: AccessState) -> DataFrame:
         (ordinary & rename & ~F.col("_me_admin"), PRIVILEGE, "only an org admin can rename the organization"),
         (ordinary & _changed("new_billing_account_id", "_billing_account_id"),
          PRIVILEGE, "billing can only be changed by the privileged path"),
-        (F.btrim("new_legal_name") == "", CHECK, "legal name must not be blank"),
-        (~F.col("new_status").isin("active", "suspended", "closed"), CHECK, "unknown status"),
+        (F.coalesce(F.btrim("new_legal_name"), F.lit("")) == "", CHECK, "legal name must not be blank"),
+        (~F.coalesce(F.col("new_status").isin("active", "suspended", "closed"), F.lit(False)), CHECK, "unknown status"),
     ]
     return _only(decide(j, rules), commands)
 
@@ -237,8 +237,8 @@ def grant_support(commands: DataFrame, state: AccessState, as_of) -> DataFrame:
         (~F.col("_me_admin"), PRIVILEGE, "only an org admin can grant support access"),
         (F.col("support_user_id") == F.col("actor"), PRIVILEGE, "you cannot grant support access to yourself"),
         (~F.col("_staff_platform"), CHECK, "support access can only go to an active platform admin"),
-        (F.btrim("reason") == "", CHECK, "a reason is required"),
-        ((F.col("expires_at") <= starts) | (F.col("expires_at") > starts + days(MAX_GRANT_DAYS)),
+        (F.coalesce(F.btrim("reason"), F.lit("")) == "", CHECK, "a reason is required"),
+        (F.col("expires_at").isNull() | (F.col("expires_at") <= starts) | (F.col("expires_at") > starts + days(MAX_GRANT_DAYS)),
          CHECK, "support access lasts at most 14 days"),
     ]
     done = decide(j.withColumn("starts_at_effective", starts), rules)
@@ -489,10 +489,11 @@ def seat_org_admins(commands: DataFrame, state: AccessState) -> DataFrame:
         "_email": V.normalized_email(F.col("user_email")), "_operator": V.normalized_email(F.col("operator_email")),
         "role": F.lit("org_admin"),
     })
+    j = j.withColumn("_given_id", F.col("org_id")).withColumn("org_id", F.lower(F.btrim("org_id")))
     j = with_org_status(j, state.organizations).join(person, "_email", "left").join(operators, "_operator", "left")
-    j = _with_held_role(j, state)
+    j = _with_held_role(j, state).withColumn("_seat_id", F.col("org_id")).withColumn("org_id", F.col("_given_id"))
     rules = [
-        (~V.valid_uuid(F.col("org_id")), INPUT, "--org must be the organization's id (a UUID)"),
+        (~F.coalesce(V.valid_uuid(F.col("_seat_id")), F.lit(False)), INPUT, "--org must be the organization's id (a UUID)"),
         (~V.valid_email(F.col("user_email")), INPUT, "not a plain email address"),
         (F.col("operator_id").isNull(), PRIVILEGE, "--as is not an active platform admin"),
         (~V.valid_job_reason(F.col("reason")), INPUT, "--reason must be a short sentence"),

@@ -241,18 +241,13 @@ def durable(df: DataFrame) -> DataFrame:
     repeated by a second consumer or a lost executor."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        # A machine-local folder only serves local runs; a cluster names a shared one.
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docwarden-")
-        context.setCheckpointDir(folder)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docwarden-"))
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Marks ``df``, a narrow materialised table, for broadcast if its rows are counted to be few, so
-    that the large table it selects from is not shuffled. Beyond that the join is left to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def generate_answers(
     questions: DataFrame,
     model: Callable[[list[dict]], str],
@@ -298,7 +293,7 @@ def answer_questions(retrieved: DataFrame, questions: DataFrame, passages: DataF
     ``retrieved`` comes from :func:`docwarden.operators.retrieval.retrieve`; ``passages(chunk_id,
     chunk_text)``."""
     wanted = durable(retrieved.where(F.col("chunk_id").isNotNull()).select("query_id", "rank", "chunk_id"))
-    text = passages.join(broadcast_if_small(wanted), "chunk_id")
+    text = passages.join(wanted, "chunk_id")
     ordered = F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "chunk_text")))
     packed = text.groupBy("query_id").agg(
         F.transform(ordered, lambda c: F.struct(c["chunk_id"].cast("string").alias("chunk_id"), c["chunk_text"].alias("chunk_text"))).alias("chunks")

@@ -51,7 +51,7 @@ def top_k(
     """The ``k`` nearest corpus rows of every question by cosine similarity.
 
     ``queries(query_id, embedding)``, ``corpus(chunk_id, embedding, *carry)``; rows without an
-    embedding are not candidates. Ties go to the lower ``chunk_id``; a zero vector has NULL
+    embedding are not candidates, and a question without one has no hits. Ties go to the lower ``chunk_id``; a zero vector has NULL
     similarity and ranks last. With ``keep_vectors_from``, rows below that similarity travel
     without their vector, as no later step looks at it.
 
@@ -59,7 +59,7 @@ def top_k(
     """
     corpus = corpus.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *carry)
     local = None
-    for block in _query_blocks(queries.select("query_id", "embedding")):
+    for block in _query_blocks(queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")):
         part = _score(corpus, block, queries.schema["query_id"], k, keep_vectors_from)
         local = part if local is None else local.unionByName(part)
 
@@ -90,7 +90,7 @@ def _score(corpus: DataFrame, block: pa.Table, query_field: T.StructField, k: in
     ids = block.column("query_id").combine_chunks()
     if len(ids.unique()) != len(ids):
         raise ValueError("query_id must be unique")
-    matrix = np.array(block.column("embedding").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+    matrix = np.array(block.column("embedding").to_pylist(), dtype=np.float64).reshape(len(ids), -1 if len(ids) else 0)
     shipped = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
 
     fields = [
@@ -102,10 +102,11 @@ def _score(corpus: DataFrame, block: pa.Table, query_field: T.StructField, k: in
 
     def run(batches):
         names, vectors = shipped.value
+        if not len(names):
+            return
         best = _PartitionBest(vectors, k)
         for batch in batches:
-            if len(names):
-                best.add(batch)
+            best.add(batch)
         yield from best.result(names, keep_from)
 
     return corpus.mapInArrow(run, schema)

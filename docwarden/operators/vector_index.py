@@ -18,21 +18,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from docwarden.operators import retrieval as R
 
 MAX_CELLS = 4096
-TRAINING_ROWS = 100_000
 
 # Added to every angle bound, in radians, so that rounding cannot exclude a row.
 _SLACK = 1e-6
 
 
-def train_centroids(corpus: DataFrame, cells: int, *, rows: int | None = None, seed: int = 7) -> np.ndarray:
-    """Centroids from a sample of the corpus; ``rows`` is its (approximate) size, counted if not given."""
+def train_centroids(corpus: DataFrame, cells: int, *, seed: int = 7) -> np.ndarray:
+    """Centroids of the whole corpus."""
     if not 1 < cells <= MAX_CELLS:
         raise ValueError(f"between 2 and {MAX_CELLS} cells")
     usable = F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: ~F.isnan(x))
     vectors = corpus.where(usable).select("embedding")
-    total = vectors.count() if rows is None else rows
-    if total > TRAINING_ROWS:
-        vectors = vectors.sample(TRAINING_ROWS / total, seed=seed)
     features = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=5, distanceMeasure="cosine").fit(features)
     return np.array(model.clusterCenters())

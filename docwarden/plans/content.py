@@ -10,7 +10,7 @@ from docwarden.functions import text as X, validation as V, vectors
 from docwarden.operators import chunking as C, grounding as G, ingest as I, outcomes as O, retrieval as R, vector_index as VI
 from docwarden.plans.registry import query
 from docwarden.sources import files, snapshots
-from docwarden.sources.derived import INGESTED_AT, derive, read, read_spread, with_tables
+from docwarden.sources.derived import INGESTED_AT, derive, read, with_tables
 from docwarden.functions.temporal import at
 
 # Paragraphs of the given documents end at single line breaks.
@@ -65,8 +65,7 @@ def pdf_pages(spark, sf):
     starts = F.sequence(F.lit(1), F.size("lines"), F.lit(10))
     pages = F.transform(starts, lambda i: F.array_join(F.slice("lines", i, 10), "\n"))
     rows = lines.select("doc_id", F.posexplode_outer(pages).alias("page", "text"))
-    fitting, _ = files.fitting_documents(rows, "doc_id")
-    joined = files.join_pages(fitting, "doc_id")
+    joined = files.join_pages(rows, "doc_id")
     return joined.select("doc_id", F.length("text").cast("long").alias("n_chars"), X.content_hash(F.col("text")).alias("text_hash"))
 
 
@@ -118,8 +117,7 @@ def docx_sections(spark, sf):
     """Conversations as styled paragraphs: each user turn is a heading."""
     style = F.when(F.col("role") == "user", "Heading 1").otherwise("Normal")
     rows = read(spark, sf, "conversations").select("conv_id", F.col("turn").alias("pos"), "text", style.alias("style"))
-    fitting, _ = files.fitting_documents(rows, "conv_id")
-    docs = files.docx_sections(fitting, "conv_id").select(
+    docs = files.docx_sections(rows, "conv_id").select(
         X.content_hash(F.col("conv_id").cast("string")).alias("file_hash"),
         F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit(".docx")).alias("filename"),
         "sections",
@@ -172,7 +170,7 @@ def _paragraph_sql(pattern: str) -> str:
     select doc_id, len(a) as by_blank_line, len(b) as by_line, sha256(array_to_string(b, '|')) as line_hash
     from (select doc_id, {_paragraph_sql(_BLANK_LINE_SQL)} as a, {_paragraph_sql(LINES)} as b from documents)""")
 def paragraphs(spark, sf):
-    split = read_spread(spark, sf, "documents", "doc_id").select("doc_id", X.paragraphs(F.col("text")).alias("a"), X.paragraphs(F.col("text"), LINES).alias("b"))
+    split = read(spark, sf, "documents").select("doc_id", X.paragraphs(F.col("text")).alias("a"), X.paragraphs(F.col("text"), LINES).alias("b"))
     return split.select(
         "doc_id", F.size("a").cast("long").alias("by_blank_line"), F.size("b").cast("long").alias("by_line"),
         X.content_hash(F.array_join("b", "|")).alias("line_hash"),
@@ -191,7 +189,7 @@ _GROUPS = _groups_sql(LINES, X.TARGET_CHARS)
 
 
 def _documents_as_files(spark, sf) -> DataFrame:
-    docs = read_spread(spark, sf, "documents", "doc_id")
+    docs = read(spark, sf, "documents")
     return docs.select(
         F.col("doc_id"),
         X.content_hash(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text"))).alias("file_hash"),
@@ -272,7 +270,7 @@ def oversize_split(spark, sf):
     from pieces""")
 def default_chunks(spark, sf):
     """Default paragraphs and sizes."""
-    docs = read_spread(spark, sf, "documents", "doc_id").select(
+    docs = read(spark, sf, "documents").select(
         F.col("doc_id").alias("file_hash"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename"),
         C.whole_text_section(F.col("text")).alias("sections"),
     )
@@ -350,16 +348,21 @@ def _questions(spark, sf) -> DataFrame:
     return first.select(F.col("label").cast("long").alias("query_id"), "embedding")
 
 
+def _vectors(spark, sf) -> DataFrame:
+    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
 def _corpus(spark, sf) -> DataFrame:
+    """All vectors; one without a document counts as the smallest text."""
     texts = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), X.estimated_tokens(F.col("text")).alias("est_tokens"))
-    return read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(texts, "chunk_id")
+    return _vectors(spark, sf).join(texts, "chunk_id", "left").withColumn("est_tokens", F.coalesce("est_tokens", F.lit(1)))
 
 
 _SIM = "list_dot_product(q.v, c.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(c.v, c.v))"
 _RANKED = f"""
     e AS (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
     q AS (select cast(label as bigint) as query_id, arg_min(v, vec_id) as v from e group by label),
-    c AS (select vec_id as chunk_id, v, greatest(1, length(text) // 4) as est_tokens from e join documents d on d.doc_id = e.vec_id),
+    c AS (select vec_id as chunk_id, v, greatest(1, coalesce(length(text), 0) // 4) as est_tokens from e left join documents d on d.doc_id = e.vec_id),
     scored AS (select query_id, chunk_id, {_SIM} as similarity, c.v, est_tokens from q, c),
     pool AS (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from scored qualify rank <= 40),
     above AS (select *, row_number() over (partition by query_id order by rank) as pos from pool where similarity >= {THRESHOLD})"""
@@ -380,7 +383,7 @@ _BUDGETED = f"""{_DEDUPED},
 
 @query("t1_top_k", f"WITH {_RANKED} select query_id, rank, chunk_id, round(similarity, 9) as similarity from pool")
 def top_k(spark, sf):
-    hits = R.top_k(_questions(spark, sf), _corpus(spark, sf))
+    hits = R.top_k(_questions(spark, sf), _vectors(spark, sf))
     return hits.select("query_id", "rank", "chunk_id", F.round("similarity", 9).alias("similarity"))
 
 
@@ -388,7 +391,7 @@ def top_k(spark, sf):
     WITH {_RANKED} select query_id, rank, chunk_id, round(similarity, 9) as similarity from pool where similarity >= {THRESHOLD}""")
 def indexed_hits(spark, sf):
     """The relevant part of the top-K, through the cell index."""
-    corpus = _corpus(spark, sf)
+    corpus = _vectors(spark, sf)
     centroids = VI.train_centroids(corpus, 8)
     assigned = VI.assign_cells(corpus, centroids)
     hits = VI.relevant_hits(_questions(spark, sf), assigned, centroids, VI.cell_widths(assigned), threshold=THRESHOLD)
@@ -397,7 +400,7 @@ def indexed_hits(spark, sf):
 
 @query("d1_deduplicated", f"WITH RECURSIVE {_DEDUPED} select query_id, rank, chunk_id, round(similarity, 9) as similarity from kept")
 def deduplicated(spark, sf):
-    hits = R.top_k(_questions(spark, sf), _corpus(spark, sf), keep_vectors_from=THRESHOLD)
+    hits = R.top_k(_questions(spark, sf), _vectors(spark, sf), keep_vectors_from=THRESHOLD)
     near = hits.where(R.relevant(F.col("similarity"), THRESHOLD))
     return R.deduplicate(near, DEDUP).select("query_id", "rank", "chunk_id", F.round("similarity", 9).alias("similarity"))
 
@@ -482,7 +485,7 @@ _LINE_CHUNKS = f"""
 
 def _passages(spark, sf) -> DataFrame:
     """Documents as questions with their lines as retrieved passages."""
-    split = read_spread(spark, sf, "documents", "doc_id").select("doc_id", X.paragraphs(F.col("text"), LINES).alias("items"))
+    split = read(spark, sf, "documents").select("doc_id", X.paragraphs(F.col("text"), LINES).alias("items"))
     passages = F.transform("items", lambda t, i: F.struct(
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), (i + 1).cast("string")).alias("chunk_id"), t.alias("chunk_text")
     ))
@@ -514,7 +517,7 @@ def _tokens_sql(text: str) -> str:
     from (select doc_id, {_tokens_sql("text || ' The Council approved Funding for energy'")} as t from documents)""")
 def salient_tokens(spark, sf):
     text = F.concat("text", F.lit(" The Council approved Funding for energy"))
-    tokens = read_spread(spark, sf, "documents", "doc_id").select("doc_id", G.salient_tokens(text).alias("t"))
+    tokens = read(spark, sf, "documents").select("doc_id", G.salient_tokens(text).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("long").alias("tokens"), X.content_hash(F.array_join(F.array_sort("t"), " ")).alias("token_hash"))
 
 
@@ -635,7 +638,7 @@ def two_pass_answers(spark, sf):
 def citation_lookup(spark, sf):
     """The store holds passages of 80 characters and more; citations of others are skipped."""
     answers = G.validate_replies(_replies(spark, sf)).select("doc_id", "citations")
-    docs = read_spread(spark, sf, "documents", "doc_id")
+    docs = read(spark, sf, "documents")
     numbered = docs.select("doc_id", "lang", "source", F.posexplode_outer(X.paragraphs(F.col("text"), LINES)).alias("i", "t"))
     store = numbered.where(F.length("t") >= 80).select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), (F.col("i") + 1).cast("string")).alias("chunk_id"),

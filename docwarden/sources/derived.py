@@ -152,14 +152,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table for heavy work per row: rows are dealt out by ``key``, which is unique, only if the
-    file has fewer splits than there are cores. A large table has enough and is not shuffled."""
-    df = read(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = SQL[name]
     return spark.sql(text, **{t: read(spark, sf_dir, t) for t in sorted(set(_SOURCE.findall(text)))})
