@@ -6,18 +6,20 @@ bits that are set. Two sketches differ in at most as many bits as the two sets d
 difference. Folded to a few bits per shingle (halves XORed), the sketch bounds it too, in a few words.
 
 *Pigeonhole.* Sets of sizes m and n with similarity 3/4 or more differ in at most D = (m + n) // 7
-shingles. Take any common order of the bits: if i and j set bits come before the first shared one, the
-Hamming distance is i + j or more, so i + j <= D; and only sizes with 4 * min >= 3 * max can meet. The
-document alone loses at most a quarter of its shingles, so its first n // 4 + SLACK bits suffice as
-join keys; SLACK covers shingles of one document that toggle the same of 2^48 bits. The order puts
-frequent bits last (document counts in a bounded sample; the order alone depends on it, never the
-result), which keeps shared passages out of the keys.
+shingles, and only sizes with 4 * min >= 3 * max can meet. Take any common order of the bits. Before the
+first shared bit a sketch has bits of its own only; the two numbers of own bits differ by m - n and their
+sum is the Hamming distance, so the larger document has (D + m - n) / 2 before it at most. Whatever the
+partner, that is less than a quarter of a document's bits, so its first n // 4 + SLACK bits suffice as join
+keys (SLACK allows two shingles of a document to toggle the same of 2^48 bits), and a key joins two
+documents only if the sizes and places of both fit. The order puts
+frequent bits last, which keeps shared passages out of the keys. (Frequency is counted in every eighth
+document and kept in bit filters of a fixed size; the order alone depends on it, never the result.)
 
 *Verify.* Pairs are tested on the folded sketches, then on the sets themselves (64-bit hashes).
 
-Pairs of a key are not all made: documents first meet only the smallest document of their most
-frequent key group (one candidate each); verified links are contracted to components; then the keys
-that still hold two components give the remaining pairs, all of them, across components only.
+Pairs of a key are not all made. In STAR_ROUNDS rounds a document meets only the few documents of other
+components that most of its keys offer; verified links are contracted to components. Then the keys that
+still hold two components give the remaining pairs, all of them, across components only.
 """
 
 from __future__ import annotations
@@ -35,9 +37,11 @@ from docwarden.llm.filters import bit_filter, passes
 from docwarden.llm.words import Block, bits_to_long, blocks, mixed, record_batch, windows, word_hashes
 
 SHINGLE = 5
-SLACK = 3
-#: Text bytes of the sample that orders the bits, and the documents of it that make a bit frequent.
-SAMPLE_BYTES, FREQUENT = 16_000_000, 4
+SLACK = 2
+#: One document of SAMPLE orders the bits; so many of the sample make a bit frequent, or very frequent.
+SAMPLE, FREQUENT = 8, (3, 48)
+#: Rounds in which documents meet few others, and how many. What they leave is compared pair by pair.
+STAR_ROUNDS, MEETINGS = 1, 4
 
 _SIGNATURE = pa.schema([
     ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sum_hash", pa.int64()), ("xor_hash", pa.int64()),
@@ -78,7 +82,7 @@ def _folded(bits: np.ndarray, n: int) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-def _signatures(batches, shingle: int, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _signatures(batches, shingle: int, frequent: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches, split=_lower_split):
         rows = []
         for (doc_id,), shingles in zip(block.keys, _sets(block, shingle)):
@@ -87,9 +91,7 @@ def _signatures(batches, shingle: int, frequent: np.ndarray, counts: np.ndarray)
                 rows.append((doc_id, 0, 0, 0, b"", []))
                 continue
             bits = _odd_bits(shingles)
-            at = np.searchsorted(frequent, bits)
-            at[at == len(frequent)] = 0
-            often = np.where(frequent[at] == bits, counts[at], 0) if len(frequent) else np.zeros(len(bits), np.int64)
+            often = sum(passes(f, bits).astype(np.int8) for f in frequent)
             first = bits[np.lexsort((bits, often))][: n // 4 + SLACK]
             spread = mixed(shingles)
             rows.append((
@@ -106,16 +108,12 @@ def _sampled_bits(batches, shingle: int) -> Iterator[pa.RecordBatch]:
         yield record_batch(schema, bits_to_long(np.concatenate(found)) if found else [])
 
 
-def _frequent_bits(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits that FREQUENT sampled documents hold, with their counts. At most SAMPLE_BYTES / FREQUENT
-    shingles can be, whatever the corpus."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = min(1_000_000, SAMPLE_BYTES * 1_000_000 // max(size, 1) + 1)
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < share)
-    found = (
-        sample.mapInArrow(lambda it: _sampled_bits(it, shingle), "bit long").groupBy("bit").count().filter(F.col("count") >= FREQUENT).toPandas()
-    ).sort_values("bit")
-    return found["bit"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+def _frequent_bits(texts: DataFrame, shingle: int) -> list[np.ndarray]:
+    """Filters of the bits that so many sampled documents hold."""
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SAMPLE)) == 0)
+    counted = sample.mapInArrow(lambda it: _sampled_bits(it, shingle), "bit long").groupBy("bit").count().filter(F.col("count") >= FREQUENT[0])
+    counted = written(counted, "frequent")
+    return [bit_filter(counted.filter(F.col("count") >= least).select("bit")) for least in FREQUENT]
 
 
 def _near_sketches(batches) -> Iterator[pa.RecordBatch]:
@@ -172,6 +170,35 @@ def _verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, shingle
     return near.join(of("a"), "a").join(of("b"), "b").mapInArrow(_similar, "a long, b long")
 
 
+#: Whether a key can be the first shared bit of two similar documents: sizes, and how many bits stand
+#: before it in each (all bits of its own; a bit for a collision is allowed).
+_FITS = (
+    "4L * least({0}.n, {1}.n) >= 3L * greatest({0}.n, {1}.n)"
+    " and 2L * ({0}.place - 1) <= (cast({0}.n as long) + {1}.n) div 7 + {0}.n - {1}.n"
+    " and 2L * ({1}.place - 1) <= (cast({0}.n as long) + {1}.n) div 7 + {1}.n - {0}.n"
+)
+
+
+def _placed(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Key rows with the component (``part``) of their document."""
+    return members.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("part")), "doc_id", "left").withColumn(
+        "part", F.coalesce("part", "doc_id"))
+
+
+def _meetings(placed: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b): for each document the MEETINGS documents of other components that most of
+    its keys offer it. A key offers the first document of its first component, and to that component the
+    last of its last."""
+    by_bit, one = Window.partitionBy("bit"), F.struct("part", "doc_id", "n", "place")
+    offered = (
+        placed.withColumn("low", F.min(one).over(by_bit)).withColumn("high", F.max(one).over(by_bit)).filter("low.part < high.part")
+        .select("doc_id", F.struct("n", "place").alias("own"), F.when(F.col("part") == F.col("low.part"), F.col("high")).otherwise(F.col("low")).alias("other"))
+        .filter(_FITS.format("own", "other")).groupBy("doc_id", F.col("other.doc_id").alias("b")).count()
+    )
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("count"), "b"))
+    return offered.withColumn("rank", rank).filter(F.col("rank") <= MEETINGS).select(F.col("doc_id").alias("a"), "b")
+
+
 def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_shingles and
     component_id, the smallest doc_id reachable over links of similarity 0.75 or more.
@@ -180,8 +207,8 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     with nothing. A null id has a null component. Rows that share an id are one document that links
     wherever one of their texts does."""
     texts = docs.select("doc_id", "text")
-    frequent, counts = _frequent_bits(texts, shingle)
-    signatures = written(texts.mapInArrow(lambda it: _signatures(it, shingle, frequent, counts), _SIGNATURE_DDL), "signatures")
+    frequent = texts.sparkSession.sparkContext.broadcast(_frequent_bits(texts, shingle))
+    signatures = written(texts.mapInArrow(lambda it: _signatures(it, shingle, frequent.value), _SIGNATURE_DDL), "signatures")
     known = signatures.filter("doc_id is not null and n_shingles > 0")
 
     # Equal sets: links to the smallest document, which alone goes on.
@@ -195,31 +222,25 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     by_bit = Window.partitionBy("bit")
     keys = known.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("bits").alias("place", "bit"))
     members = written(
-        keys.withColumn("first", F.min(F.struct("doc_id", "n", "place")).over(by_bit)).withColumn("last", F.max("doc_id").over(by_bit))
-        .filter("first.doc_id < last").drop("last").join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti"),
+        keys.withColumn("first", F.min("doc_id").over(by_bit)).withColumn("last", F.max("doc_id").over(by_bit)).filter("first < last")
+        .drop("first", "last").join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti"),
         "members",
     )
-    fits = "4L * least({0}.n, {1}.n) >= 3L * greatest({0}.n, {1}.n) and {0}.place + {1}.place <= (cast({0}.n as long) + {1}.n) div 7"
-    met = (
-        members.withColumn("own", F.struct("n", "place")).filter("doc_id <> first.doc_id").filter(fits.format("own", "first"))
-        .groupBy("doc_id", F.col("first.doc_id").alias("other")).count()
-        .groupBy(F.col("doc_id").alias("a")).agg(F.max_by("other", F.struct("count", -F.col("other"))).alias("b"))
-    )
-    links = _verified(met, signatures, texts, shingle)
-    stars = components(links.union(copies))
-
-    placed = members.drop("first").join(stars, "doc_id", "left").withColumn("part", F.coalesce("component_id", "doc_id")).drop("component_id")
-    mixed_keys = written(
-        placed.withColumn("low", F.min("part").over(by_bit)).withColumn("high", F.max("part").over(by_bit)).filter("low < high").drop("low", "high"),
-        "mixed",
-    )
+    stars = copies
+    for _ in range(STAR_ROUNDS):
+        placed = _placed(members, stars)
+        links = _verified(_meetings(placed), signatures, texts, shingle)
+        stars = components(stars.union(links)).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+
+    low, high = F.min("part").over(by_bit), F.max("part").over(by_bit)
+    mixed_keys = written(_placed(members, stars).withColumn("low", low).withColumn("high", high).filter("low < high").drop("low", "high"), "mixed")
     x, y = mixed_keys.alias("x"), mixed_keys.alias("y")
     rest = (
-        x.join(y, (F.col("x.bit") == F.col("y.bit")) & F.expr("x.doc_id < y.doc_id and x.part <> y.part") & F.expr(fits.format("x", "y")))
+        x.join(y, (F.col("x.bit") == F.col("y.bit")) & F.expr("x.doc_id < y.doc_id and x.part <> y.part") & F.expr(_FITS.format("x", "y")))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     )
     more = _verified(rest, signatures, texts, shingle)
-    whole = components(stars.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).union(more))
+    whole = components(stars.union(more))
     return signatures.select("doc_id", "n_shingles").join(whole, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -227,8 +248,8 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: of each component the smallest document
     stays, of rows that share an id the first by text. Rows without an id stay."""
-    first = similarity_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    known = docs.filter("doc_id is not null").join(first, F.col("doc_id") == F.col("first_id"), "left_semi")
+    first = similarity_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__first_id")).distinct()
+    known = docs.filter("doc_id is not null").join(first, F.col("doc_id") == F.col("__first_id"), "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
-    alone = known.select("*", F.row_number().over(order).alias("place_in_id")).filter("place_in_id = 1").drop("place_in_id")
+    alone = known.select("*", F.row_number().over(order).alias("__place")).filter("__place = 1").drop("__place")
     return alone.union(docs.filter("doc_id is null"))
