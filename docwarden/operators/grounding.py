@@ -39,15 +39,9 @@ SUPPORT_STOPWORDS = tuple("""
     county grant grants duke south north stpete street avenue resilience sustainability
 """.split())
 
-DEFAULT_CORRECTION = (
-    "These citations of your last reply could not be used:\n{rejection_lines}\n\n"
-    "Check every chunk of the reference material again. Cite a chunk only if its own text states "
-    "the fact, and set not_in_corpus to true only if no chunk does. Reply with the same JSON object."
-)
-
-
 def user_message(question: Column, chunks: Column) -> Column:
-    """Question and passages as data for the model, each passage tagged with its id only."""
+    """Question and passages as data for the model, each passage tagged with its id only. The headings
+    and separators are fixed values."""
     blocks = F.transform(chunks, lambda c: F.concat(F.lit("chunk_id="), c["chunk_id"], F.lit("\n"), c["chunk_text"]))
     return F.concat(
         F.lit("QUESTION:\n"), question,
@@ -195,11 +189,15 @@ def lookup_citations(answers: DataFrame, chunks: DataFrame, key: str = "query_id
 # --- model boundary ---------------------------------------------------------
 
 
+class RateLimited(Exception):
+    """What a model or embedding function raises when its service asks for fewer calls."""
+
+
 @dataclass(frozen=True)
 class RetryPolicy:
     """Which failures of a model or embedding call are worth another try, and how often."""
 
-    retryable: tuple[type[BaseException], ...] = (TimeoutError, ConnectionError)
+    retryable: tuple[type[BaseException], ...] = (RateLimited, TimeoutError, ConnectionError)
     max_attempts: int = 3
     base_backoff_seconds: float = 1.0
 
@@ -212,23 +210,30 @@ class RetryPolicy:
                     raise
                 time.sleep(self.base_backoff_seconds * 2 ** (attempt - 1))
 
+    @staticmethod
+    def kind(exc: BaseException) -> str:
+        """How a failure is reported: rate_limited, timeout or call_failed."""
+        return "rate_limited" if isinstance(exc, RateLimited) else "timeout" if isinstance(exc, TimeoutError) else "call_failed"
+
 
 def call_model(rows: DataFrame, model: Callable[[list[dict]], str], policy: RetryPolicy = RetryPolicy()) -> DataFrame:
-    """Adds ``content`` and ``call_error`` by calling ``model`` with each row's ``messages``
+    """Adds ``content``, ``call_error`` and its kind by calling ``model`` with each row's ``messages``
     (``array<struct<role, content>>``) in the tasks."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            content, errors = [], []
+            content, errors, kinds = [], [], []
             for messages in frame["messages"]:
                 try:
                     content.append(policy.call(model, [dict(m) for m in messages]))
                     errors.append(None)
+                    kinds.append(None)
                 except Exception as exc:
                     content.append(None)
                     errors.append(f"{type(exc).__name__}: {exc}")
-            yield frame.assign(content=content, call_error=errors)
+                    kinds.append(policy.kind(exc))
+            yield frame.assign(content=content, call_error=errors, call_kind=kinds)
 
-    added = [T.StructField("content", T.StringType()), T.StructField("call_error", T.StringType())]
+    added = [T.StructField(n, T.StringType()) for n in ("content", "call_error", "call_kind")]
     return rows.mapInPandas(run, T.StructType(rows.schema.fields + added))
 
 
@@ -253,7 +258,7 @@ def generate_answers(
     model: Callable[[list[dict]], str],
     *,
     system_prompt: str,
-    correction: str = DEFAULT_CORRECTION,
+    correction: str,
     policy: RetryPolicy = RetryPolicy(),
     max_grounding_attempts: int = 2,
 ) -> DataFrame:
@@ -265,14 +270,14 @@ def generate_answers(
     base = questions.select("query_id", "question", "chunks", F.array(system, first).alias("messages"))
     results = [validate_replies(
         base.where(F.size("chunks") == 0)
-        .withColumns({"content": F.lit(None).cast("string"), "call_error": F.lit(None).cast("string")})
+        .withColumns({n: F.lit(None).cast("string") for n in ("content", "call_error")})
     )]
     pending = base.where(F.size("chunks") > 0)
     for attempt in range(1, max_grounding_attempts + 1):
         replied = durable(call_model(pending, model, policy))
         checked = validate_replies(replied).withColumn(
-            "status", F.when(F.col("call_error").isNotNull(), "call_failed").otherwise(F.col("status"))
-        )
+            "status", F.coalesce("call_kind", "status")
+        ).drop("call_kind")
         if attempt == max_grounding_attempts:
             results.append(checked)
             break

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docwarden.functions.vectors import EMBEDDING_DIM, invalid_vector_reason
 from docwarden.operators.chunking import chunk_problem
+from docwarden.operators.grounding import RetryPolicy
 
 
 def one_per_key(rows: DataFrame, key: str, prefer: list[Column]) -> DataFrame:
@@ -38,10 +39,12 @@ def embed_changed(
     *,
     dim: int = EMBEDDING_DIM,
     batch_size: int = 64,
+    policy: RetryPolicy = RetryPolicy(),
 ) -> DataFrame:
     """Embeds the chunks that are new or changed. ``embed`` maps texts to vectors and runs in the
-    tasks, on up to ``batch_size`` texts at once; if it raises, each text of the batch is tried by
-    itself, so that one bad text fails alone. Adds ``embedding`` and ``error``; rows with an error,
+    tasks, on up to ``batch_size`` texts at once. What ``policy`` calls retryable is tried again with
+    growing pauses; if it lasts, a lost connection ends the job and anything else fails the batch. On
+    any other error each text of the batch is tried by itself, so that one bad text fails alone. Adds ``embedding`` and ``error``; rows with an error,
     or with a vector of the wrong shape, become ``failed``.
 
     A task that is run again calls ``embed`` again. Write the result, or checkpoint it, before
@@ -50,13 +53,15 @@ def embed_changed(
 
     def vectors_of(texts: list[str]) -> list[tuple]:
         try:
-            vectors = list(embed(texts))
+            vectors = list(policy.call(embed, texts))
             if len(vectors) != len(texts):
                 raise ValueError(f"expected {len(texts)} embeddings, got {len(vectors)}")
             return [(v, None) for v in vectors]
+        except ConnectionError:
+            raise
         except Exception as exc:
-            if len(texts) == 1:
-                return [(None, f"{type(exc).__name__}: {exc}")]
+            if len(texts) == 1 or isinstance(exc, policy.retryable):
+                return [(None, f"{type(exc).__name__}: {exc}")] * len(texts)
             return [vectors_of([t])[0] for t in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -47,10 +47,8 @@ _DECISION = ("command_id", "accepted", "refusal_code", "refusal_reason")
     {with_tables('users')} select user_id, disabled_at is null as active, disabled_at is null and is_platform_admin as platform_admin from users""")
 def users(spark, sf):
     people = derive(spark, sf, "users")
-    active = A.active_users(people).select("user_id", F.lit(True).alias("a"))
-    staff = A.platform_admins(people).select("user_id", F.lit(True).alias("p"))
-    j = people.select("user_id").join(active, "user_id", "left").join(staff, "user_id", "left")
-    return j.select("user_id", F.coalesce("a", F.lit(False)).alias("active"), F.coalesce("p", F.lit(False)).alias("platform_admin"))
+    active = F.col("disabled_at").isNull()
+    return people.select("user_id", active.alias("active"), (active & F.col("is_platform_admin")).alias("platform_admin"))
 
 
 @query("p18_s7_principals", f"""

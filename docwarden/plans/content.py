@@ -605,6 +605,37 @@ def answer_outcomes(spark, sf):
     )
 
 
+_SYSTEM = "Answer from the reference material, as JSON."
+_CORRECTION = "These citations could not be used:\n{rejection_lines}\nAnswer again."
+
+
+def _failing_model(messages: list[dict]) -> str:
+    """Fails by the length of the question: too many calls, no answer in time, no JSON, or otherwise."""
+    kind = len(messages[1]["content"].split("\n\nREFERENCE MATERIAL:\n", 1)[0].removeprefix("QUESTION:\n")) % 5
+    if kind == 1:
+        raise G.RateLimited("slow down")
+    if kind == 2:
+        raise TimeoutError("no answer")
+    if kind == 3:
+        raise ValueError("bad request")
+    first_id = messages[1]["content"].split("chunk_id=", 1)[1].split("\n", 1)[0]
+    return "no JSON" if kind == 4 else json.dumps({"answer": "a", "citations": [first_id], "not_in_corpus": False})
+
+
+@query("g10_p20_call_failures", f"""
+    WITH {_LINE_CHUNKS}, d AS (select doc_id, len(items) as n, length(items[1]) % 5 as kind from lines),
+    s AS (select doc_id, case when n = 0 then 'not_in_corpus' when kind = 0 then 'ok' when kind = 1 then 'rate_limited' when kind = 2 then 'timeout'
+        when kind = 3 then 'call_failed' else 'invalid' end as status from d)
+    select doc_id, status, cast(case status when 'rate_limited' then 429 when 'timeout' then 504 when 'call_failed' then 500 when 'invalid' then 502
+        else 200 end as bigint) as http_status from s""")
+def call_failures(spark, sf):
+    """Answers with their statuses when the model's calls fail."""
+    asked = _passages(spark, sf).select(F.col("doc_id").alias("query_id"), F.get("items", F.lit(0)).alias("question"), "chunks")
+    policy = G.RetryPolicy(max_attempts=2, base_backoff_seconds=0)
+    told = O.query_response(G.generate_answers(asked, _failing_model, system_prompt=_SYSTEM, correction=_CORRECTION, policy=policy))
+    return told.select(F.col("query_id").alias("doc_id"), "status", "http_status")
+
+
 def _stand_in_model(messages: list[dict]) -> str:
     """Answers by the length of the question: at once, after a correction, never, or not in JSON."""
     asked = messages[1]["content"]
@@ -623,7 +654,7 @@ def _stand_in_model(messages: list[dict]) -> str:
         case when n > 0 and kind in (0, 1) then doc_id || ':1' else '' end as citations from d""")
 def two_pass_answers(spark, sf):
     asked = _passages(spark, sf).select(F.col("doc_id").alias("query_id"), F.get("items", F.lit(0)).alias("question"), "chunks")
-    answers = G.generate_answers(asked, _stand_in_model, system_prompt="Answer from the reference material, as JSON.")
+    answers = G.generate_answers(asked, _stand_in_model, system_prompt=_SYSTEM, correction=_CORRECTION)
     return answers.select(F.col("query_id").alias("doc_id"), "status", F.array_join("citations", " ").alias("citations"))
 
 

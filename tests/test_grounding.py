@@ -104,7 +104,7 @@ def test_generation_retries_only_ungrounded_answers(spark):
     passages = [("c1", "some text")]
     rows = [(n, q, passages) for n, q in enumerate(["good", "SECOND", "NEVER", "BROKEN", "BOOM"])] + [(5, "nothing", [])]
     questions = spark.createDataFrame(rows, "query_id int, question string, chunks array<struct<chunk_id: string, chunk_text: string>>")
-    got = {r.query_id: r for r in G.generate_answers(questions, model, system_prompt="s").collect()}
+    got = {r.query_id: r for r in G.generate_answers(questions, model, system_prompt="s", correction="Again: {rejection_lines}").collect()}
     assert {q: r.status for q, r in got.items()} == {
         0: "ok", 1: "ok", 2: "ungrounded", 3: "invalid", 4: "call_failed", 5: "not_in_corpus"}
     assert "bad request" in got[4].call_error
@@ -153,7 +153,7 @@ def test_answering_end_to_end(spark):
         assert messages[1]["content"] == "QUESTION:\nfirst\n\nREFERENCE MATERIAL:\nchunk_id=a\nalpha text\n\n---\n\nchunk_id=b\nbeta text\n"
         return reply("ok", ["b", "a"])
 
-    out = G.answer_questions(found, questions.drop("embedding"), corpus.select("chunk_id", "chunk_text"), model, system_prompt="s")
+    out = G.answer_questions(found, questions.drop("embedding"), corpus.select("chunk_id", "chunk_text"), model, system_prompt="s", correction="Again: {rejection_lines}")
     got = {r.query_id: r for r in out.collect()}
     assert got[1].status == "ok" and got[1].citations == ["b", "a"]
     assert got[2].status == "not_in_corpus" and got[2].answer == G.NOT_IN_CORPUS_ANSWER
