@@ -212,7 +212,9 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     known = signatures.filter("doc_id is not null and n_shingles > 0")
 
     # Equal sets: links to the smallest document, which alone goes on.
-    same = known.groupBy("n_shingles", "sum_hash", "xor_hash").agg(F.min("doc_id").alias("b"))
+    # (Written, so that its keys are unique on a side of the join of its own and the other can be split.)
+    same = written(
+        known.groupBy("n_shingles", "sum_hash", "xor_hash").agg(F.min("doc_id").alias("b"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "same")
     copies = (
         known.select(F.col("doc_id").alias("a"), "n_shingles", "sum_hash", "xor_hash").join(same, ["n_shingles", "sum_hash", "xor_hash"])
         .filter("a <> b").select("a", "b").distinct()
