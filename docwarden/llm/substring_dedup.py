@@ -122,20 +122,22 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, with_text: bool = False)
     their removals. A null id is nobody's smaller id and loses nothing."""
     texts = docs.select("doc_id", "text")
     runs = texts.mapInArrow(lambda it: _prefix_runs(it, depth), _RUNS_DDL)
-    shared = (
-        runs.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("prefix")
+    # Aggregates are written before they are joined back: their keys are then unique on a side of its own,
+    # and a key with many rows on the other side can be split between tasks.
+    shared = written(
+        runs.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("prefix"), "prefixes"
     )
     below = written(runs.join(shared, "prefix"), "runs")
-    kinds = below.groupBy("prefix", "suffixes", "head", "tail").agg(F.min("doc_id").alias("low"))
+    kinds = written(below.groupBy("prefix", "suffixes", "head", "tail").agg(F.min("doc_id").alias("low")), "kinds")
     told = below.join(kinds, ["prefix", "suffixes", "head", "tail"])
     open_prefixes = kinds.groupBy("prefix").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("prefix")
     listed = (
         told.filter("doc_id = low").join(open_prefixes, "prefix").groupBy("doc_id").agg(F.collect_set(F.struct("first", "suffixes")).alias("runs"))
     )
     leaves = written(texts.join(listed, "doc_id").mapInArrow(lambda it: _leaves(it, depth), "doc_id long, head long, tail long, place int"), "leaves")
-    nodes = (
+    nodes = written(
         leaves.groupBy("head", "tail").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-        .select("head", "tail", "low")
+        .select("head", "tail", "low"), "nodes",
     )
     removed = (
         told.filter("doc_id > low").select("doc_id", "first", "suffixes")
