@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ from docwarden.llm.words import record_batch
 LENGTH, END, STEP = 2048, 1, 16
 #: Words whose ids a task remembers.
 REMEMBERED = 300_000
-#: A special token of the tokenizer that stands between words encoded together.
-SEPARATOR = "<|endoftext|>"
+#: The tokenizer's pre-tokens, what ends the last token of each, and words that go to it together (fixed values).
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+WORD_END = "</w>"
+PLAIN = regex.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
 #: Pieces of one class that are numbered together.
 BUCKET = 65_536
 
@@ -45,47 +48,64 @@ _PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens
 # Tokens
 
 class _Ids:
-    """Ids of space-separated words. White space ends a pre-token of the tokenizer, so that a text's
-    ids are those of its words on end; only words that are new are given to the tokenizer, many in one
-    text with a special token between them. Words are remembered in two generations: when the young one
-    is full it becomes the old one, and words still in use move back."""
+    """Ids of space-separated words, for a tokenizer that drops white space and ends every pre-token with
+    a token of its own kind (``WORD_END``): a text's ids are those of its words on end. Only words that
+    are new go to the tokenizer, many in one text; the pre-tokens of a word are counted to find its ids
+    again. Words of other than plain Latin characters, or with the marks of special tokens, go alone.
+
+    Words are remembered in two generations: when the young one is full it becomes the old one, and
+    words still in use move back."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(SEPARATOR)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(f" {SEPARATOR} ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == self.mark) if self.mark is not None else []
-        if len(cuts) != len(words) - 1:  # a word holds the separator, or the tokenizer has none
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-        return [raw[low:high] for low, high in zip([0, *(c + 4 for c in ends[:-1])], ends)]
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        last = np.cumsum([len(PRE_TOKEN.findall(w.lower())) for w in words])
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != last[-1] or cuts[-1] != len(ids):
+            return self._alone(words)
+        raw, upto = ids.tobytes(), [0, *(4 * cuts[last - 1]).tolist()]
+        return [raw[low:high] for low, high in zip(upto, upto[1:])]
+
+    def _learn(self, words: set[str]) -> None:
+        young, plain, other = self.young, [], []
+        for word in words:
+            if word in self.old:
+                young[word] = self.old[word]
+            elif PLAIN.fullmatch(word) and "<|" not in word:
+                plain.append(word)
+            else:
+                other.append(word)
+        for low in range(0, len(plain), 512):
+            part = plain[low : low + 512]
+            young.update(zip(part, self._together(part)))
+        if other:
+            young.update(zip(other, self._alone(other)))
 
     def of(self, texts: list[str]) -> list[bytes]:
+        get = self.young.get
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        young, old = self.young, self.old
-        missing = set().union(*words)
-        missing.difference_update(young)
-        new = []
-        for word in missing:
-            if word in old:
-                young[word] = old[word]
-            else:
-                new.append(word)
-        for low in range(0, len(new), 512):
-            part = new[low : low + 512]
-            young.update(zip(part, self._encoded(part)))
-        get = young.__getitem__
-        found = [b"".join(map(get, w)) for w in words]
-        if len(young) > REMEMBERED:
-            self.young, self.old = {}, young
-        return found
+        found = [list(map(get, w)) for w in words]
+        gaps = [[k for k, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        self._learn({w[k] for w, g in zip(words, gaps) for k in g})
+        for w, f, g in zip(words, found, gaps):
+            for k in g:
+                f[k] = get(w[k])
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        return [b"".join(f) for f in found]
 
 
 _tokenizers: dict[str, _Ids] = {}
@@ -148,13 +168,16 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
         return np.zeros((0, 0), np.int64), np.zeros(0, np.int64)
     basis = np.diag(room // sizes).astype(float)  # a column per pattern
     inverse = np.diag(1.0 / np.diag(basis))
-    uses = inverse @ demand
+    # Products are written as sums: the matrices are small, and threads of a linear algebra library only
+    # get in each other's way on a busy driver.
+    times_vector = lambda matrix, vector: (matrix * vector).sum(axis=1)
+    uses = times_vector(inverse, demand)
     fair, lean = sizes / room, 0.9  # prices that no pattern beats; how far pricing leans on them
-    bound = max(float(fair @ demand), 1e-9)
+    bound = max(float((fair * demand).sum()), 1e-9)
     for turn in range(rounds):
         prices = inverse.sum(axis=0)
         value, pattern = _best_pattern(lean * fair + (1 - lean) * prices, sizes, room)
-        if prices @ pattern <= 1 + 1e-6:  # the leaning prices miss: lean less
+        if (prices * pattern).sum() <= 1 + 1e-6:  # the leaning prices miss: lean less
             if lean == 0:
                 break
             lean = lean - 0.3 if lean > 0.3 else 0.0
@@ -164,7 +187,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
         if uses.sum() <= (1 + gap) * bound:
             break
         lean = 0.9
-        change = inverse @ pattern
+        change = times_vector(inverse, pattern)
         ratio = np.where(change > 1e-9, uses / np.where(change > 1e-9, change, 1), np.inf)
         leaves = int(ratio.argmin())
         if not np.isfinite(ratio[leaves]):
@@ -173,12 +196,11 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
         row = inverse[leaves] / change[leaves]
         inverse -= np.outer(change, row)
         inverse[leaves] = row
-        uses = inverse @ demand if turn % 50 == 49 else uses - change * ratio[leaves]
-        if turn % 50 != 49:
-            uses[leaves] = ratio[leaves]
-        if turn % 200 == 199:
+        uses = uses - change * ratio[leaves]
+        uses[leaves] = ratio[leaves]
+        if turn % 100 == 99 and np.abs(times_vector(basis, uses) - demand).max() > 1e-6 * demand.max():
             inverse = np.linalg.inv(basis)
-            uses = inverse @ demand
+            uses = times_vector(inverse, demand)
         uses = np.maximum(uses, 0)
     times = np.floor(uses + 1e-6).astype(np.int64)
     patterns = basis.T.round().astype(np.int64)
