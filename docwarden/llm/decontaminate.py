@@ -9,8 +9,10 @@ dropped. A document is contaminated by an item when the windows of the remaining
 ``COVERAGE`` of the item's: a verbatim copy if all slot values are equal, else a re-parameterised one.
 
 Documents and benchmark are of any size. Before the join the tasks drop windows that pass no bit filter
-of the benchmark's windows, whose size is fixed. Items of one template count as one, reported by the
-smallest item_id with their number, so that copies of a question do not multiply the join.
+of the benchmark's windows, whose size is fixed. Windows are joined once per template, so that copies of
+a question do not multiply the join. Alignments that may cover enough are then judged for each distinct
+row of slot values of the template's items, and the item that fits best is reported: most windows, fewest
+changed values, smallest item_id.
 """
 
 from __future__ import annotations
@@ -43,11 +45,21 @@ _NUMBER_FORM = re.compile(rb"[$+-]?(?:\xe2\x82\xac|\xc2\xa3)?[0-9][0-9.,:/]*%?")
 _PUNCTUATION = b"\"'`.,;:!?()[]{}<>|*#&$_~-"
 _PLACEHOLDERS = np.array([xxh3_64_intdigest(b"\0" + k) for k in (b"number", b"unit", b"name")], np.uint64)
 
-_FOUND = pa.schema([
-    ("id", pa.int64()), ("template", pa.int64()), ("total", pa.int32()), ("place", pa.int32()), ("hash", pa.int64()),
-    ("slots", pa.list_(pa.string())),
+#: An item: the hashes of its template and of its plain words; by place, the template hash of each window
+#: (null: too few words); its slots' places and values.
+_ITEM = pa.schema([
+    ("id", pa.int64()), ("template", pa.int64()), ("vector", pa.int64()), ("size", pa.int32()), ("typed", pa.list_(pa.int64())),
+    ("plain", pa.list_(pa.int64())), ("slot_at", pa.list_(pa.int32())), ("slot_is", pa.list_(pa.string())),
 ])
-_FOUND_DDL = "id long, template long, total int, place int, hash long, slots array<string>"
+_ITEM_DDL = "id long, template long, vector long, size int, typed array<long>, plain array<long>, slot_at array<int>, slot_is array<string>"
+_FOUND = pa.schema([("id", pa.int64()), ("place", pa.int32()), ("hash", pa.int64()), ("slot_at", pa.list_(pa.int32())), ("slot_is", pa.list_(pa.string()))])
+_FOUND_DDL = "id long, place int, hash long, slot_at array<int>, slot_is array<string>"
+
+
+def _plain(word: bytes) -> bytes:
+    """A word in lower case without punctuation at its ends."""
+    core = word.strip(_PUNCTUATION)
+    return (core.lower() if core.isascii() else core.decode("utf-8", "replace").lower().encode()) or word
 
 
 class _Tokens:
@@ -75,9 +87,8 @@ class _Tokens:
             kind |= _STOP
         if not core:
             kind |= _EMPTY
-        plain = core.lower() if core.isascii() else core.decode("utf-8", "replace").lower().encode()
         self.known[word] = at = len(self.known)
-        self.new.append((xxh3_64_intdigest(plain or word), kind))
+        self.new.append((xxh3_64_intdigest(_plain(word)), kind))
         return at
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +105,8 @@ class _Tokens:
         return self.hashes[at], self.kinds[at]
 
 
-def _templates(block: Block, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of a block its template token's hash and whether it is a slot."""
+def _templates(block: Block, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of a block its template token's hash, its plain hash, and whether it is a slot."""
     hashes, kinds = tokens.of(block.words)
     first = np.zeros(len(hashes), bool)
     first[block.starts[block.counts > 0]] = True
@@ -106,97 +117,123 @@ def _templates(block: Block, tokens: _Tokens) -> tuple[np.ndarray, np.ndarray]:
     out = hashes.copy()
     for mark, kind in zip(_PLACEHOLDERS, (number, unit, name)):
         out[kind] = mark
-    return out, number | unit | name
+    return out, hashes, number | unit | name
+
 
+def _slots(block: Block, slots: np.ndarray, at: int, end: int) -> tuple[list[int], list[str]]:
+    """Offsets and values of the slots among the words from ``at`` to ``end``."""
+    places = (np.flatnonzero(slots[at:end]) + at).tolist()
+    return [j - at for j in places], [_plain(block.words[j]).decode("utf-8", "replace") for j in places]
 
-def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], whole: bool, found: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Windows of template tokens with their slots. ``whole``: of benchmark items, where one shorter
-    than the window is one window; else windows of every length in ``sizes``, through the filter."""
+
+def _items(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Benchmark items with all their windows. One shorter than the window is one window."""
     tokens = _Tokens()
     for block in blocks(batches, block_words=1 << 16):
-        template, slots = _templates(block, tokens)
+        template, plain, slots = _templates(block, tokens)
+        rows = []
+        for (item_id,), start, end in zip(block.keys, block.starts.tolist(), block.ends.tolist()):
+            if end > start and item_id is not None:
+                n = end - start
+                size = min(n, window)
+                filled = np.r_[0, np.cumsum(slots[start:end])]
+                enough = 2 * (filled[size:] - filled[:-size]) <= size
+                typed, exact = (bits_to_long(windows(x[start:end], size)).tolist() for x in (template, plain))
+                whole = (int(bits_to_long(windows(x[start:end], n))[0]) for x in (template, plain))
+                rows.append((item_id, *whole, size, [h if e else None for h, e in zip(typed, enough)], exact, *_slots(block, slots, start, end)))
+        if rows:
+            yield record_batch(_ITEM, *map(list, zip(*rows)))
+
+
+def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows of template tokens, of every length in ``sizes``, that pass the filter, with their slots."""
+    tokens = _Tokens()
+    for block in blocks(batches, block_words=1 << 16):
+        template, plain, slots = _templates(block, tokens)
         filled = np.r_[0, np.cumsum(slots)]
         ids, owner = [k[0] for k in block.keys], block.owners()
         rows = []
 
-        def add(places, size, hashes):
-            enough = 2 * (filled[places + size] - filled[places]) <= size
-            for at, value in zip(places[enough].tolist(), bits_to_long(hashes[enough]).tolist()):
+        def add(places, hashes, size):
+            for at, value in zip(places.tolist(), bits_to_long(hashes).tolist()):
                 k = owner[at]
-                rows.append((
-                    ids[k], totals[k][0], totals[k][1], at - int(block.starts[k]), value,
-                    [f"{j - at}:{block.words[j].decode('utf-8', 'replace')}" for j in range(at, at + size) if slots[j]] if filled[at + size] > filled[at] else [],
-                ))
-
-        if whole:
-            totals = []
-            for start, end in zip(block.starts.tolist(), block.ends.tolist()):
-                n = end - start
-                size = min(n, sizes[0])
-                usable = sum(2 * (filled[p + size] - filled[p]) <= size for p in range(start, end - size + 1)) if n else 0
-                totals.append((int(windows(template[start:end], n).view(np.int64)[0]) if n else 0, int(usable)))
-            for start, end, k in zip(block.starts, block.ends, range(len(ids))):
-                if end > start and ids[k] is not None:
-                    size = int(min(end - start, sizes[0]))
-                    places = np.arange(start, end - size + 1)
-                    add(places, size, windows(template[start:end], size))
-        else:
-            totals = [(0, 0)] * len(ids)
-            for size in sizes:
-                places = block.window_starts(size)
-                if len(places):
-                    hashes = windows(template, size)[places]
-                    hit = passes(found, hashes)
-                    add(places[hit], size, hashes[hit])
+                rows.append((ids[k], at - int(block.starts[k]), value, *(_slots(block, slots, at, at + size) if size else ([], []))))
+
+        for size in sizes:
+            places = block.window_starts(size)
+            if len(places):
+                hashes = windows(template, size)[places]
+                held = filled[places + size] - filled[places]
+                hit = passes(found, hashes) & (2 * held <= size)
+                add(places[hit], hashes[hit], size)
         if rows:
             yield record_batch(_FOUND, *map(list, zip(*rows)))
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """One row per contaminated document (doc_id, text) and benchmark template (item_id, text): doc_id,
-    item_id (the smallest of the template), n_items, n_windows, n_matched, n_slots and n_changed (slot
-    values of the item, and those of them that differ), kind (``verbatim`` or ``reparameterised``).
+    """One row per contaminated document (doc_id, text) and benchmark item (item_id, text) that fits best
+    where it stands: doc_id, item_id (the smallest of equal items), n_items (of its template), n_windows,
+    n_matched, n_slots and n_changed (slot values of the item, and those of them that differ), kind
+    (``verbatim`` or ``reparameterised``).
 
     Null and blank texts, null ids and items without a usable window take no part. Rows that share an id
     are one document or item. Other columns are ignored."""
     spark = docs.sparkSession
-    items = written(
-        benchmark.select("item_id", "text").mapInArrow(lambda it: _windows(it, [window], True, None), _FOUND_DDL), "items"
+    items = written(benchmark.select("item_id", "text").mapInArrow(lambda it: _items(it, window), _ITEM_DDL), "items")
+    usable = F.filter(F.sequence(F.lit(0), F.size("typed") - 1), lambda p: F.get("typed", p).isNotNull())
+    templates = items.groupBy("template").agg(
+        F.countDistinct("id").alias("n_items"), F.any_value("size").alias("size"), F.any_value(usable).alias("usable"),
     )
-    least = items.groupBy("template").agg(F.min("id").alias("item_id"), F.countDistinct("id").alias("n_items"))
-    known = (
-        items.join(least, (items["template"] == least["template"]) & (items["id"] == least["item_id"]))
-        .select("item_id", "n_items", F.col("total").alias("n_windows"), F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"))
-        .dropDuplicates(["item_id", "item_place", "hash"])
+    vectors = items.groupBy("template", "vector").agg(
+        F.min("id").alias("item_id"), F.any_value("plain").alias("exact"), F.any_value("slot_at").alias("item_at"), F.any_value("slot_is").alias("item_is"),
     )
-    shorter = [r["n"] for r in benchmark.select(F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("n"))
-               .filter(F.col("n").between(1, window - 1)).distinct().collect()]  # fewer than ``window`` lengths
-    shared = spark.sparkContext.broadcast(bit_filter(items.select("hash")))
-    sizes = [window, *sorted(shorter)]
+    known = written(items.select("template", F.posexplode("typed").alias("item_place", "hash")).filter("hash is not null").distinct(), "known")
+    sizes = [window, *sorted(r["size"] for r in items.filter(F.col("size") < window).select("size").distinct().collect())]  # fewer than ``window`` more
+    shared = spark.sparkContext.broadcast(bit_filter(known.select("hash")))
     own = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(
-        lambda it: _windows(it, sizes, False, shared.value), _FOUND_DDL).select(F.col("id").alias("doc_id"), "place", "hash", "slots")
-    pairs = F.transform(
-        F.arrays_zip("item_slots", "slots"),
-        lambda p: F.struct(F.regexp_replace(p["item_slots"], "^[0-9]+:", "").alias("of"), F.regexp_replace(p["slots"], "^[0-9]+:", "").alias("is")),
+        lambda it: _windows(it, sizes, shared.value), _FOUND_DDL).withColumnRenamed("id", "doc_id")
+    slotted = F.size("slot_at") > 0
+    values = F.zip_with("slot_at", "slot_is", lambda at, value: F.struct((at + F.col("item_place")).alias("at"), value.alias("is")))
+    aligned = written(
+        own.join(known, "hash").groupBy("doc_id", "template", (F.col("place") - F.col("item_place")).alias("shift")).agg(
+            F.collect_set(F.when(~slotted, F.struct(F.col("item_place").alias("place"), "hash"))).alias("plain"),
+            F.collect_set(F.when(slotted, F.col("item_place"))).alias("typed"),
+            F.array_distinct(F.flatten(F.collect_set(F.when(slotted, values)))).alias("slots"),
+        ),
+        "aligned",
     )
-    aligned = (
-        own.join(known, "hash").filter(F.size("slots") == F.size("item_slots"))
-        .select("doc_id", "item_id", "n_items", "n_windows", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", pairs.alias("pairs"))
-        .groupBy("doc_id", "item_id", "n_items", "n_windows", "shift")
-        .agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-        .filter(F.size(F.array_distinct(F.col("pairs.of"))) == F.size("pairs"))
+    likely = (
+        aligned.groupBy("doc_id", "template").agg(F.array_distinct(F.flatten(F.collect_set(F.array_union("plain.place", "typed")))).alias("places"))
+        .join(templates, "template").filter(F.size("places") >= F.lit(coverage) * F.size("usable")).select("doc_id", "template", "size")
     )
-    return (
-        aligned.groupBy("doc_id", "item_id", "n_items", "n_windows")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"),
-            F.max_by("pairs", F.struct(F.size("places"), -F.col("shift"))).alias("pairs"),
+    value = F.map_from_arrays("item_at", "item_is")
+    judged = (
+        aligned.join(likely, ["doc_id", "template"]).join(vectors, "template").withColumn("value", value)
+        .withColumn("same", F.transform(F.filter("plain", lambda p: F.get("exact", p["place"]) == p["hash"]), lambda p: p["place"]))
+        .withColumn("pairs", F.array_distinct(F.transform("slots", lambda s: F.struct(F.element_at("value", s["at"]).alias("of"), s["is"].alias("is")))))
+        .filter(F.size(F.array_distinct("pairs.of")) == F.size("pairs"))
+        .withColumn("places", F.array_union("same", "typed"))
+        .filter(F.size("places") > 0)
+        .withColumn("changed", F.size(F.filter("pairs", lambda p: p["of"] != p["is"])).cast("long"))
+    )
+    share = (
+        judged.groupBy("doc_id", "template", "item_id").agg(
+            F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
+            F.max_by(F.struct(F.size("pairs").cast("long").alias("n_slots"), "changed"), F.struct(F.size("places"), -F.col("changed"), -F.col("shift"))).alias("best"),
+            F.collect_list(F.struct("shift", F.size("places").alias("fits"), "changed")).alias("shifts"), F.sum("changed").alias("changes"),
         )
+        .join(templates, "template")
+        .withColumn("n_windows", F.size("usable").cast("long"))
+        .withColumn("n_matched", F.size("places").cast("long"))
         .filter(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
-        .select(
-            "doc_id", "item_id", "n_items", F.col("n_windows").cast("long").alias("n_windows"), "n_matched",
-            F.size("pairs").cast("long").alias("n_slots"), F.size(F.filter("pairs", lambda p: p["of"] != p["is"])).cast("long").alias("n_changed"),
-        )
+        .withColumn("n_slots", F.col("best.n_slots")).withColumn("n_changed", F.col("best.changed"))
+    )
+    reported = ["item_id", "n_items", "n_windows", "n_matched", "n_slots", "n_changed"]
+    order = F.struct("s.fits", "n_matched", -F.col("s.changed"), -F.col("changes"), F.bitwise_not("item_id"))
+    return (
+        share.withColumn("s", F.explode("shifts"))
+        .groupBy("doc_id", "template", "s.shift").agg(F.max_by(F.struct(*reported), order).alias("r"))
+        .select("doc_id", "r.*").distinct()
         .withColumn("kind", F.when(F.col("n_changed") == 0, "verbatim").otherwise("reparameterised"))
     )
 

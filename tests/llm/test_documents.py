@@ -129,3 +129,15 @@ def test_contaminated_documents(spark, frame, odd_rows):
     left = decontaminate.without_contaminated(frame(rows), bench)
     assert left.count() == len(rows) - 4 and left.columns == frame(rows).columns
     assert decontaminate.contaminations(frame([]), bench).count() == 0 and decontaminate.contaminations(frame(rows), bench.limit(0)).count() == 0
+
+
+def test_every_item_of_a_template_is_judged(spark, frame):
+    text = "Each week our farmer packs {} ripe apples into one box and then buys {} green pears from the old shop near here today."
+    bench = spark.createDataFrame([(k, text.format(*v)) for k, v in ((1, (5, 5)), (2, (5, 7)), (3, (5, 7)), (4, (6, 6)))], "item_id long, text string")
+    rows = [(1, text.format(5, 7)), (2, text.format(6, 6)), (3, text.format(8, 9)), (4, text.format(8, 8)), (5, text.format(5, 7) + " So. " + text.format(6, 6))]
+    got = {(r.doc_id, r.item_id): (r.kind, r.n_items, r.n_slots, r.n_changed) for r in decontaminate.contaminations(frame(rows), bench).collect()}
+    assert got == {
+        (1, 2): ("verbatim", 4, 2, 0), (2, 4): ("verbatim", 4, 1, 0), (3, 2): ("reparameterised", 4, 2, 2), (4, 1): ("reparameterised", 4, 1, 1),
+        (5, 2): ("verbatim", 4, 2, 0), (5, 4): ("verbatim", 4, 1, 0),
+    }
+    assert decontaminate.without_contaminated(frame(rows), bench).count() == 0
