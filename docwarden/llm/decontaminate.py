@@ -2,11 +2,13 @@
 
 Every word becomes a template token: a number, a unit after a number, and a name (a capitalised word
 inside a sentence) become typed placeholders, their values kept as slots; any other word becomes itself
-in lower case without punctuation at its ends. Windows of ``WINDOW`` tokens, at least half of them
-words, are hash-joined between documents and benchmark. Along one alignment of a document with an item
-every slot value of the item must stand for one value of the document; alignments that break this are
-dropped. A document is contaminated by an item when the windows of the remaining alignments cover
-``COVERAGE`` of the item's: a verbatim copy if all slot values are equal, else a re-parameterised one.
+in lower case without punctuation at its ends. Windows of ``WINDOW`` tokens are hash-joined between
+documents and benchmark in two forms: as template tokens, if at least half of them are words, and as
+plain lower-case words, whatever they are. Along one alignment of a document with an item every slot
+value of the item must stand for one value of the document; of alignments that break this only plain
+windows count. A document is contaminated by an item when the windows of its alignments cover
+``COVERAGE`` of all the item's windows or of those usable as templates: a verbatim copy if all slot
+values are equal, else a re-parameterised one.
 
 Documents and benchmark are of any size. Before the join the tasks drop windows that pass no bit filter
 of the benchmark's windows, whose size is fixed. Windows are joined once per template, so that copies of
@@ -146,7 +148,7 @@ def _items(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 
 def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], found: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Windows of template tokens, of every length in ``sizes``, that pass the filter, with their slots."""
+    """Windows of every length in ``sizes`` that pass the filter: of template tokens with their slots, and of plain words."""
     tokens = _Tokens()
     for block in blocks(batches, block_words=1 << 16):
         template, plain, slots = _templates(block, tokens)
@@ -157,7 +159,7 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], found: np.ndar
         def add(places, hashes, size):
             for at, value in zip(places.tolist(), bits_to_long(hashes).tolist()):
                 k = owner[at]
-                rows.append((ids[k], at - int(block.starts[k]), value, *(_slots(block, slots, at, at + size) if size else ([], []))))
+                rows.append((ids[k], at - int(block.starts[k]), value, *(_slots(block, slots, at, at + size) if size else ([], []))))  # size 0: plain
 
         for size in sizes:
             places = block.window_starts(size)
@@ -166,6 +168,10 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int], found: np.ndar
                 held = filled[places + size] - filled[places]
                 hit = passes(found, hashes) & (2 * held <= size)
                 add(places[hit], hashes[hit], size)
+                filled_in = places[held > 0]  # other windows are the same in both forms
+                hashes = windows(plain, size)[filled_in]
+                hit = passes(found, hashes)
+                add(filled_in[hit], hashes[hit], 0)
         if rows:
             yield record_batch(_FOUND, *map(list, zip(*rows)))
 
@@ -174,20 +180,22 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """One row per contaminated document (doc_id, text) and benchmark item (item_id, text) that fits best
     where it stands: doc_id, item_id (the smallest of equal items), n_items (of its template), n_windows,
     n_matched, n_slots and n_changed (slot values of the item, and those of them that differ), kind
-    (``verbatim`` or ``reparameterised``).
+    (``verbatim`` or ``reparameterised``). The windows counted are all the item's or those usable as
+    templates, whichever are covered better.
 
-    Null and blank texts, null ids and items without a usable window take no part. Rows that share an id
-    are one document or item. Other columns are ignored."""
+    Null and blank texts and null ids take no part. Rows that share an id are one document or item. Other
+    columns are ignored."""
     spark = docs.sparkSession
     items = written(benchmark.select("item_id", "text").mapInArrow(lambda it: _items(it, window), _ITEM_DDL), "items")
     usable = F.filter(F.sequence(F.lit(0), F.size("typed") - 1), lambda p: F.get("typed", p).isNotNull())
     templates = items.groupBy("template").agg(
-        F.countDistinct("id").alias("n_items"), F.any_value("size").alias("size"), F.any_value(usable).alias("usable"),
+        F.countDistinct("id").alias("n_items"), F.any_value("size").alias("size"), F.any_value(usable).alias("usable"), F.any_value(F.size("plain")).alias("n_all"),
     )
     vectors = items.groupBy("template", "vector").agg(
         F.min("id").alias("item_id"), F.any_value("plain").alias("exact"), F.any_value("slot_at").alias("item_at"), F.any_value("slot_is").alias("item_is"),
     )
-    known = written(items.select("template", F.posexplode("typed").alias("item_place", "hash")).filter("hash is not null").distinct(), "known")
+    forms = [items.select("template", F.posexplode(form).alias("item_place", "hash")) for form in ("typed", "plain")]
+    known = written(forms[0].union(forms[1]).filter("hash is not null").distinct(), "known")
     sizes = [window, *sorted(r["size"] for r in items.filter(F.col("size") < window).select("size").distinct().collect())]  # fewer than ``window`` more
     shared = spark.sparkContext.broadcast(bit_filter(known.select("hash")))
     own = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(
@@ -204,15 +212,21 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     )
     likely = (
         aligned.groupBy("doc_id", "template").agg(F.array_distinct(F.flatten(F.collect_set(F.array_union("plain.place", "typed")))).alias("places"))
-        .join(templates, "template").filter(F.size("places") >= F.lit(coverage) * F.size("usable")).select("doc_id", "template", "size")
+        .join(templates, "template").filter(F.size("places") >= F.lit(coverage) * F.when(F.size("usable") > 0, F.size("usable")).otherwise(F.col("n_all")))
+        .select("doc_id", "template", "size")
     )
     value = F.map_from_arrays("item_at", "item_is")
     judged = (
         aligned.join(likely, ["doc_id", "template"]).join(vectors, "template").withColumn("value", value)
         .withColumn("same", F.transform(F.filter("plain", lambda p: F.get("exact", p["place"]) == p["hash"]), lambda p: p["place"]))
-        .withColumn("pairs", F.array_distinct(F.transform("slots", lambda s: F.struct(F.element_at("value", s["at"]).alias("of"), s["is"].alias("is")))))
-        .filter(F.size(F.array_distinct("pairs.of")) == F.size("pairs"))
-        .withColumn("places", F.array_union("same", "typed"))
+        .withColumn("copied", F.transform(
+            F.filter(F.map_entries("value"), lambda v: F.exists("same", lambda p: v["key"].between(p, p + F.col("size") - 1))),
+            lambda v: F.struct(v["value"].alias("of"), v["value"].alias("is")),
+        ))
+        .withColumn("pairs", F.array_distinct(F.concat(F.transform("slots", lambda s: F.struct(F.element_at("value", s["at"]).alias("of"), s["is"].alias("is"))), "copied")))
+        .withColumn("consistent", F.size(F.array_distinct("pairs.of")) == F.size("pairs"))
+        .withColumn("places", F.when(F.col("consistent"), F.array_union("same", "typed")).otherwise(F.col("same")))
+        .withColumn("pairs", F.when(F.col("consistent"), F.col("pairs")).otherwise(F.array_distinct("copied")))
         .filter(F.size("places") > 0)
         .withColumn("changed", F.size(F.filter("pairs", lambda p: p["of"] != p["is"])).cast("long"))
     )
@@ -223,8 +237,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             F.collect_list(F.struct("shift", F.size("places").alias("fits"), "changed")).alias("shifts"), F.sum("changed").alias("changes"),
         )
         .join(templates, "template")
-        .withColumn("n_windows", F.size("usable").cast("long"))
-        .withColumn("n_matched", F.size("places").cast("long"))
+        .withColumn("n_usable", F.size(F.array_intersect("places", "usable")))
+        .withColumn("by_usable", (F.size("usable") > 0) & (F.col("n_usable") * F.col("n_all") >= F.size("places") * F.size("usable")))
+        .withColumn("n_windows", F.when(F.col("by_usable"), F.size("usable")).otherwise(F.col("n_all")).cast("long"))
+        .withColumn("n_matched", F.when(F.col("by_usable"), F.col("n_usable")).otherwise(F.size("places")).cast("long"))
         .filter(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
         .withColumn("n_slots", F.col("best.n_slots")).withColumn("n_changed", F.col("best.changed"))
     )

@@ -141,3 +141,14 @@ def test_every_item_of_a_template_is_judged(spark, frame):
         (5, 2): ("verbatim", 4, 2, 0), (5, 4): ("verbatim", 4, 1, 0),
     }
     assert decontaminate.without_contaminated(frame(rows), bench).count() == 0
+
+
+def test_verbatim_copies_of_slots_and_lower_case(spark, frame):
+    people = "Today we ask the tall Anna and the small Boris why old Carl met young Dora in the town of Lund last week."
+    items = [(1, "2 4 8 16 32 64 128 256 512 1024 ?"), (2, "Which Famous English Author Wrote Seven Novels About Ancient Roman Emperors"), (3, people), (4, "7 7 1 2 3 4 5 6 7 8")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, "Well. " + t + " So it is.") for k, t in items] + [(10, people.lower()), (11, "3 6 9 12 15 18 21 24 27 30 ?"), (12, items[1][1].lower()),
+            (13, people.replace("Anna", "Eva").replace("Lund", "Oslo")), (14, "two four " + "w " * 30)]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminations(frame(rows), bench).collect()}
+    assert got == {(k, k): "verbatim" for k in (1, 2, 3, 4)} | {(10, 3): "verbatim", (12, 2): "verbatim", (13, 3): "reparameterised"}
+    assert {r.doc_id for r in decontaminate.without_contaminated(frame(rows), bench).collect()} == {11, 14}
