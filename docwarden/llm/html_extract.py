@@ -1,13 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a sequence of text nodes, each with its tag path (the names of its open elements, root
-to leaf). Per path are summed: characters, characters inside links, punctuation marks, and nodes. Two
-ratios, characters and punctuation per node, are smoothed over neighbouring paths of the page (1-2-1),
-fused (the sum of their logarithms), and paths are content whose fused ratio reaches a threshold between
-the page's mean and its largest value and that are not mostly links. The content container is the
-innermost element path that holds the largest part of the content, where an ``article`` or ``main`` that
-holds content wins. The page's text is that of the nodes in the container, without elements that name
-themselves as something else (menus, notices, adverts, forms, comments and the like).
+to leaf) and its container, the innermost element around it that can hold paragraphs; paths of different
+containers are different, though their names are the same. Per path are summed: characters, characters
+inside links, punctuation marks, and nodes. Two ratios, characters and punctuation per node, are smoothed
+over neighbouring paths of the page (1-2-1) and fused (the sum of their logarithms). Paths are content
+whose fused ratio reaches a share of the page's largest, before and after smoothing, and that are not
+mostly links. The page's text is that of the blocks on content paths, and of other blocks that are not
+mostly links: in the same container element as content, or between content or after a heading before it
+in an element around it, or in an element of the same tag path between those that hold it.
+
+Elements whose names, classes or roles say that they are something else (menus, notices, adverts, forms,
+comments and the like) are left out first, unless they hold much text (``_strong``).
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from pyspark.sql import DataFrame
 
 from docwarden.llm.words import record_batch
 
+#: Shares of the largest fused ratio that a content path reaches smoothed and by itself; and the text of an
+#: element that counts whatever its name: characters, and their share of the page (fixed values).
+SMOOTHED, ALONE, MUCH, MUCH_SHARE = 0.5, 0.4, 280, 0.25
 #: Element names and name parts of classes, ids and roles (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -34,9 +41,12 @@ SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
 }
-ELSEWHERE = frozenset(
-    "aside button canvas dialog footer form head iframe input label menu nav noscript object script select style svg template textarea title".split()
-)
+NEVER = frozenset("canvas head iframe input noscript object script select style svg template textarea title".split())
+ELSEWHERE = frozenset("aside button dialog footer form label menu nav".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that belong to the text around them, and those that hold paragraphs.
+PARTS = frozenset("blockquote caption center dd details dl dt fieldset figcaption figure header hr li menu ol optgroup option p pre summary table tbody td tfoot th thead tr ul br address".split()) | HEADINGS
+CONTAINERS = BLOCKS - PARTS | {"td", "th", "li", "blockquote"}
 ELSEWHERE_PARTS = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer gdpr login menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies respond "
@@ -52,7 +62,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-z][^\s/>]*)([^>]*)>",
     re.IGNORECASE | re.DOTALL,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，]")
@@ -63,42 +73,61 @@ _EXTRACTED_DDL = "page_id long, url string, text string, n_chars long, n_paths l
 
 def _elsewhere(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element says that it is not the page's text. ``inside``: of an article or main."""
-    if name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "article", "main") or name in HEADINGS:
         return False
     if name in ELSEWHERE or (name == "header" and not inside):
         return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for values in _NAMED.findall(attributes):
+    for kind, *values in _NAMED.findall(attributes):
         parts = {p.lower() for p in _PART.split("".join(values)) if p}
-        if parts & ELSEWHERE_PARTS or (not inside and parts & HEADS):
+        names = ELSEWHERE_PARTS if inside else ELSEWHERE_PARTS | HEADS
+        # Ids are often made of headings ("related-work"), so all their parts must say it.
+        if parts and (parts <= names if kind.lower() == "id" else parts & names):
             return True
     return False
 
 
-def _nodes(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, bool]]:
-    """Text nodes in page order: path, whether said to be elsewhere, whether in a link, text, and whether
-    a block border stands before it."""
+class _Element:
+    """An open or closed element, with the characters of text below it outside and inside of links."""
+
+    __slots__ = ("name", "above", "path", "never", "elsewhere", "inside", "link", "block", "container", "scope", "prose", "linked", "weak")
+
+    def __init__(self, name: str, attributes: str, above: _Element | None):
+        self.name, self.above = name, above
+        self.path = (*above.path, name) if above else ()
+        self.inside = bool(above) and (above.inside or above.name in ("article", "main"))
+        self.never = bool(above) and (above.never or name in NEVER or bool(attributes and _HIDDEN.search(attributes)))
+        self.elsewhere = bool(above) and _elsewhere(name, attributes, self.inside)
+        self.link = bool(above) and (above.link or name == "a")
+        self.block = self if not above or name in BLOCKS else above.block
+        self.container = self if not above or name in CONTAINERS else above.container
+        # Where its text stands: the innermost container that is not itself a part, as a list's item is.
+        self.scope = self if not above or name in CONTAINERS and name not in PARTS else above.scope
+        self.prose = self.linked = 0
+        self.weak: bool | None = None
+
+
+def _nodes(page: str) -> list[tuple[_Element, str, int, bool]]:
+    """Text nodes in page order: innermost element, text, its characters, and whether a block border
+    stands before it."""
     found: list[tuple] = []
-    stack: list[tuple[str, bool]] = []  # name, elsewhere
-    path: tuple[str, ...] = ()
+    root = _Element("", "", None)
+    stack, opened = [root], []
     border, at = True, 0
 
     def text(upto: int) -> None:
         nonlocal border
         if upto > at:
             raw = page[at:upto]
-            found.append((path, bool(stack) and stack[-1][1], "a" in path, entities.unescape(raw) if "&" in raw else raw, border))
+            raw = entities.unescape(raw) if "&" in raw else raw
+            found.append((stack[-1], raw, len(raw.strip()), border))
             border = False
 
     def close(names: set[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name in names:
                 del stack[k:]
                 return
-            if stack[k][0] in until:
+            if stack[k].name in until:
                 return
 
     for m in _TOKEN.finditer(page):
@@ -111,77 +140,127 @@ def _nodes(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, bool]]:
             continue
         border = border or name in BLOCKS
         if m[2] or m[5]:
-            if any(n == name for n, _ in stack):
-                close({name}, set())
+            close({name}, set())
         else:
             if name in CLOSES_P:
                 close({"p"}, {"td", "th", "table", "button", "object", "body", "article", "section", "div", "li", "blockquote"})
             if name in SIBLINGS:
                 close(*SIBLINGS[name])
             if name not in VOID:
-                attributes = m[4] if m[3] else m[7]
-                above = bool(stack) and stack[-1][1]
-                inside = "article" in path or "main" in path
-                stack.append((name, above or _elsewhere(name, attributes, inside)))
-        path = tuple(n for n, _ in stack)
+                stack.append(_Element(name, m[4] if m[3] else m[7], stack[-1]))
+                opened.append(stack[-1])
     text(len(page))
-    return found
+    for element, _, size, _ in found:
+        if not element.never:
+            element.prose, element.linked = (element.prose, element.linked + size) if element.link else (element.prose + size, element.linked)
+    for element in reversed(opened):
+        element.above.prose += element.prose
+        element.above.linked += element.linked
+    whole = root.prose
+    left, pending = [], False
+    for element, content, size, border in found:
+        pending = pending or border
+        if not element.never and not _weak(element, whole):
+            left.append((element, content, size, pending))
+            pending = False
+    return left
+
+
+def _strong(element: _Element, whole: int) -> bool:
+    """Whether an element holds so much text, not mostly links, that its name does not count."""
+    return element.prose >= MUCH and element.prose >= MUCH_SHARE * whole and element.prose >= 3 * element.linked
+
+
+def _weak(element: _Element, whole: int) -> bool:
+    """Whether an element, or one around it, says that it is elsewhere and holds too little to be the text."""
+    open_ones = []
+    while element and element.weak is None:
+        open_ones.append(element)
+        element = element.above
+    weak = bool(element) and element.weak
+    for e in reversed(open_ones):
+        weak = e.weak = weak or e.elsewhere and not _strong(e, whole)
+    return weak
 
 
 def _content_paths(nodes: list[tuple]) -> tuple[set, int]:
-    """Paths whose smoothed, fused ratios pass the threshold; and the number of paths."""
+    """Paths, with their containers, whose fused ratios pass; and the number of paths."""
     sums: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0])
-    for path, elsewhere, link, text, _ in nodes:
-        if not elsewhere and (size := len(text.strip())):
-            s = sums[path]
+    for element, text, size, _ in nodes:
+        if size:
+            s = sums[element.container, element.path]
             s[0] += size
-            s[1] += size if link else 0
+            s[1] += size if element.link else 0
             s[2] += len(_PUNCTUATION.findall(text))
             s[3] += 1
     paths = list(sums)  # in order of first appearance
     if not paths:
         return set(), 0
     ratios = [(s[0] / s[3], s[2] / s[3]) for s in sums.values()]
+    alone = [sum(map(math.log1p, r)) for r in ratios]
     fused = []
     for k in range(len(paths)):
         near = [(ratios[j], 2 if j == k else 1) for j in (k - 1, k, k + 1) if 0 <= j < len(paths)]
         weight = sum(w for _, w in near)
         fused.append(sum(math.log1p(sum(r[f] * w for r, w in near) / weight) for f in (0, 1)))
-    mean, most = sum(fused) / len(fused), max(fused)
-    least = mean + 0.25 * (most - mean) if len(fused) > 2 else 0.5 * most
-    return {p for p, f in zip(paths, fused) if f >= least and 2 * sums[p][1] <= sums[p][0]} or {paths[fused.index(most)]}, len(paths)
-
-
-def _container(nodes: list[tuple], content: set) -> tuple[str, ...]:
-    """The path of the element that holds the text."""
-    held: dict[tuple, int] = defaultdict(int)
-    total = 0
-    for path, elsewhere, _, text, _ in nodes:
-        if path in content and not elsewhere:
-            size = len(text.strip())
-            total += size
-            for k in range(len(path) + 1):
-                held[path[:k]] += size
-    named = [p for p in held if p and p[-1] in ("article", "main") and held[p] * 4 >= total]
-    if named:
-        return max(named, key=lambda p: (held[p], len(p)))
-    wide = [p for p in held if held[p] * 10 >= total * 9 and (not p or p[-1] in BLOCKS and p[-1] not in ("p", "li", "pre", "h1", "h2", "h3", "h4", "h5", "h6"))]
-    return max(wide, key=len, default=())
+    text = [k for k, p in enumerate(paths) if 2 * sums[p][1] <= sums[p][0]]
+    if not text:
+        return set(), len(paths)
+    # Of the paths that are not mostly links the largest; their mean would cut the shorter half of a page that is all text.
+    most, most_alone = max(fused[k] for k in text), max(alone[k] for k in text)
+    return {paths[k] for k in text if fused[k] >= SMOOTHED * most and alone[k] >= ALONE * most_alone}, len(paths)
 
 
 def extract_text(page: str) -> tuple[str, int, int]:
     """The text of a page, its number of paths, and of content paths."""
     nodes = _nodes(page)
     content, paths = _content_paths(nodes)
-    if not paths:
-        return "", 0, 0
-    root = _container(nodes, content)
+    # Blocks: runs of nodes with the same block element and no border between them.
+    runs: list[list] = []
+    for node in nodes:
+        if not runs or node[3] or runs[-1][0][0].block is not node[0].block:
+            runs.append([])
+        runs[-1].append(node)
+    taken, sparse = [], []
+    for run in runs:
+        size = sum(n[2] for n in run)
+        sparse.append(2 * sum(n[2] for n in run if n[0].link) <= size)
+        taken.append(sparse[-1] and any(n[2] and (n[0].container, n[0].path) in content for n in run))
+    # For each container around content: its first and last content.
+    scopes = [run[0][0].scope for run in runs]
+    spans: dict[_Element, list[int]] = {}
+    ends: dict[_Element, int] = {}
+    for held, order in ((spans, range(len(runs))), (ends, reversed(range(len(runs))))):
+        for k in order:
+            element = scopes[k] if taken[k] else None
+            while element and element not in held:
+                held[element] = [k, k] if held is spans else k
+                element = element.above and element.above.scope
+    for element, k in ends.items():
+        spans[element][1] = k
+    for k, run in enumerate(runs):
+        if scopes[k] in spans and sparse[k] and not HEADINGS.isdisjoint(run[0][0].path):
+            spans[scopes[k]][0] = min(spans[scopes[k]][0], k)
+    own = {scopes[k] for k in range(len(runs)) if taken[k]}
+    shapes = {(scopes[k].above and scopes[k].above.scope, runs[k][0][0].path) for k in range(len(runs)) if taken[k]}
+
+    def beside(k: int) -> bool:
+        """Whether a block that is not content belongs to the content around it."""
+        scope = scopes[k]
+        if scope in own:
+            return True
+        if scope not in spans:  # an element like its neighbours, which are content
+            scope = scope.above and scope.above.scope
+            if (scope, runs[k][0][0].path) not in shapes:
+                return False
+        return spans[scope][0] <= k <= spans[scope][1]
+
     parts: list[str] = []
     pending = False
-    for path, elsewhere, _, text, border in nodes:
-        pending = pending or border
-        if not elsewhere and path[: len(root)] == root:
-            parts.append(" " + text if pending else text)
+    for k, run in enumerate(runs):
+        pending = pending or run[0][3]
+        if taken[k] or sparse[k] and beside(k):
+            parts.extend([" " if pending else "", *(text for _, text, _, _ in run)])
             pending = False
     return " ".join("".join(parts).split()), paths, len(content)
 

@@ -95,3 +95,28 @@ def test_permutation_and_shards(spark, frame, odd_rows):
         sizes = [len(by[k]) for k in range(16)]
         assert max(sizes) - min(sizes) <= 1
     assert sharding.shard(frame([])).count() == 0
+
+
+PARAGRAPHS = [f"Paragraph {k} tells, at some length, what happened on that day; it has several marks, and it ends here." for k in range(8)]
+LONG = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+TEXT = " ".join(PARAGRAPHS)
+LINKS = "".join(f"<div><a href=/{k}>Topic {k}</a></div>" for k in range(9))
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    # Containers of the same tag names, without names of their own.
+    (f"<body><div><div>{LINKS}</div><div><h2>Head</h2>{LONG}</div><div><p>Archive</p><p>May</p><p>June</p></div></div></body>", "Head " + TEXT),
+    # Text beside an article.
+    (f"<body><article>{LONG}</article><div>{LONG}{LONG}</div></body>", " ".join([TEXT] * 3)),
+    # Names that say something else, on headings, ids made of headings, and around the whole text.
+    (f"<body><div class=search-page><h2 class=banner>Related work</h2>{LONG}</div></body>", "Related work " + TEXT),
+    (f"<body><form id=aspnetForm><nav>{LINKS}</nav><div>{LONG}</div></form></body>", TEXT),
+    (f"<article>{LONG}<section id=related-work><h2>More</h2><p>Others wrote, before us, of the same things.</p></section></article>", TEXT + " More Others wrote, before us, of the same things."),
+    # Short blocks and links between the paragraphs, and a notice of some length.
+    (f"<main>{LONG}<h3>So</h3><p>Yes</p><p>See <a href=x>this</a> here.</p>{LONG}<div class=cookie-notice>{PARAGRAPHS[0]}</div></main>", f"{TEXT} So Yes See this here. {TEXT}"),
+    (f"<p>{TEXT}</p><span class=ad>x</span>b, c", TEXT + " b, c"),
+    (f"<div>{LONG}<ul><li>one<li>two</ul><table><tr><td>1<td>2</table></div><div><div>{LINKS}</div></div>", TEXT + " one two 1 2"),
+    ("<body>" + "".join(f"<div><p>{p}</p></div><div><p>Yes.</p></div>" for p in PARAGRAPHS[:2]) + f"<div><p>{PARAGRAPHS[2]}</p></div><div><p>Tags</p></div>", " Yes. ".join(PARAGRAPHS[:3])),
+])
+def test_paths_decide_page_texts(page, text):
+    assert html_extract.extract_text(page)[0] == text
