@@ -1,13 +1,15 @@
 """Removal of passages that an earlier document already has.
 
-The suffixes of all documents (one per word, to a depth of ``depth`` words) form one truncated suffix
-tree, which is never held as a whole. It is split by prefixes of three lengths, each used only for the
-suffixes that the shorter one leaves open:
+The suffixes of all documents (one per word, to a depth of ``depth`` words) are grouped by hashes. No
+suffix tree is built, no subtrees and no inner nodes; the words below name what the groups would be in one
+truncated at ``depth``. Prefixes of three lengths are used, each for the suffixes that the shorter leaves
+open:
 
 1. A suffix's short prefix is the smallest hash among the ``depth // 2``-word runs that start in its
    first ``depth - depth // 2 + 1`` words. It is decided by the suffix's words alone, so equal suffixes
    fall under equal prefixes, and neighbouring suffixes mostly share theirs: one row per run of such
-   neighbours, about four per ``depth`` words, describes them all. A prefix that only one document has
+   neighbours, about four per ``depth`` words, describes them all; longer runs, as periodic texts have,
+   are cut. A prefix that only one document has
    is a leaf edge; no repeat lies below it and its suffixes go no further.
 2. Below a shared prefix, runs are told apart by all the words that their suffixes cover. A run whose
    words an earlier document has too is a maximal repeat of the whole run: all its suffixes go.
@@ -63,6 +65,10 @@ def _prefix_runs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.R
         prefix = _sliding_min(grams, depth - short + 1)[starts]
         owner = block.owners()[starts]
         new = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (owner[1:] != owner[:-1])])
+        # Longer runs (periodic texts) are cut, so that the hashes below cover every word of a run.
+        length = np.diff(np.r_[new, len(prefix)])
+        most = min(depth - short + 1, 3 * short - depth + 2)
+        new = np.flatnonzero((np.arange(len(prefix)) - np.repeat(new, length)) % most == 0)
         length = np.diff(np.r_[new, len(prefix)])
         # Short runs of words that together cover the words of a run, hashed in two ways.
         low, high = starts[new], starts[new] + length - 1 + depth - short

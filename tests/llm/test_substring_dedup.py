@@ -56,3 +56,15 @@ def test_kept_text_and_empty_table(frame):
     got = {r.doc_id: r.kept_text for r in remove_repeats(frame([(1, a), (2, "x " + a + " y")]), with_text=True).collect()}
     assert got == {1: a, 2: "x y"}
     assert remove_repeats(frame([])).count() == 0
+
+
+def test_periodic_texts_that_differ_in_one_word(frame):
+    rows = []
+    for k in range(60):
+        for j, rare in enumerate(("r s t", "q s t", "r s u", "r v t")):
+            a, b, c = rare.split()
+            line = [f"z{k}"] * 5
+            rows.append((4 * k + j, " ".join([*line, a, *line, b, *line, c, *line])))
+    rows += [(1000 + k, "0 " * 90 + f"{k} " + "0 " * 40) for k in range(4)]
+    for depth in (10, 11):
+        assert rows_of(remove_repeats(frame(rows), depth=depth)) == model(rows, depth)
