@@ -215,17 +215,16 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     # (Written, so that its keys are unique on a side of the join of its own and the other can be split.)
     same = written(
         known.groupBy("n_shingles", "sum_hash", "xor_hash").agg(F.min("doc_id").alias("b"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "same")
-    copies = (
-        known.select(F.col("doc_id").alias("a"), "n_shingles", "sum_hash", "xor_hash").join(same, ["n_shingles", "sum_hash", "xor_hash"])
-        .filter("a <> b").select("a", "b").distinct()
-    )
-    copies = written(copies, "copies")
+    digest = ["n_shingles", "sum_hash", "xor_hash"]
+    copied = written(known.select(F.col("doc_id").alias("a"), *digest).join(same, digest).filter("a <> b").distinct(), "copies")
+    copies = copied.select("a", "b").distinct()
 
     by_bit = Window.partitionBy("bit")
-    keys = known.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("bits").alias("place", "bit"))
+    # Only the copied set leaves: other texts under the same id keep their keys.
+    alone = known.join(copied.select(F.col("a").alias("doc_id"), *digest), ["doc_id", *digest], "left_anti")
+    keys = alone.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("bits").alias("place", "bit"))
     members = written(
-        keys.withColumn("first", F.min("doc_id").over(by_bit)).withColumn("last", F.max("doc_id").over(by_bit)).filter("first < last")
-        .drop("first", "last").join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti"),
+        keys.withColumn("first", F.min("doc_id").over(by_bit)).withColumn("last", F.max("doc_id").over(by_bit)).filter("first < last").drop("first", "last"),
         "members",
     )
     stars = copies

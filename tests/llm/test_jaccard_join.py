@@ -70,3 +70,9 @@ def test_components_of_long_chains_and_hubs(spark):
     pairs = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(139, 200), (5, 5), (None, 3)]
     got = {r.doc_id: r.component_id for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 140)}, 200: 100}
+
+
+def test_a_copied_text_leaves_other_texts_of_its_id(frame):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    got = similarity_components(frame([(3, a), (7, a), (7, b), (9, b + " tail"), (11, "c " + b), (20, "d e f g h i")]))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(3, 3), (7, 3), (9, 3), (11, 3), (20, 20)}
