@@ -21,9 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(folder: str, label: str) -> str:
+    return f"{folder}/tables/{label}-{uuid.uuid4().hex}"
+
+
+def written_to(folder: str, df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Writes ``df`` as Parquet, with writer options, into a new table below ``folder`` and reads it back."""
+    path = new_path(folder, label)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written_to(shared_folder(df.sparkSession), df, label)

@@ -1,8 +1,11 @@
-"""The queries op1 to op10: each operator over its whole table."""
+"""The queries op1 to op13: each operator over its whole table."""
 
 from __future__ import annotations
 
-from docwarden.llm import decontaminate, html_extract, jaccard_join, language_id, packing, quality, secret_scan, sharding, substring_dedup, url_filter
+from docwarden.llm import (
+    archives, clustering, decontaminate, html_extract, jaccard_join, language_id, packing, quality, secret_scan, sharding, substring_dedup,
+    token_alignment, url_filter,
+)
 from docwarden.llm.registry import query, table
 
 
@@ -60,3 +63,21 @@ def op6(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.selectExpr("page_id", "url", "cast((page_id * 7919) % 365 as int) as day")
     return url_filter.judged(captures, url_filter.log_of(pages))
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
+@query("op12_warc", archives.oracle_sql())
+def op12(spark, sf_dir):
+    return archives.read_back(spark, archives.archived(table(spark, sf_dir, "pages")))
+
+
+@query("op13_centroid_clustering", clustering.oracle_sql())
+def op13(spark, sf_dir):
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))

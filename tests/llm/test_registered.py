@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator_and_the_pipeline():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", list(registry.ORACLES))
