@@ -30,16 +30,12 @@ from docwarden.llm.durable import shared_folder, written_to
 BLOCK_LINKS, BLOCK_DOCS = 1 << 20, 1 << 14
 #: Texts tokenized together, in characters.
 TOGETHER = 1 << 18
-#: Characters of the units of text whose ids a task remembers for each tokenizer.
-REMEMBERED = 1 << 20
-#: Texts whose pre-tokens ``_PRE`` finds as the tokenizer does, and the pre-tokens of such texts (fixed values
-#: of the byte-level tokenizer, for Latin letters). Other texts go to the tokenizer whole.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xc0-ɏ]*")
-_OTHER_SIGNS = re.compile("[\xd7\xf7]")
-_LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_PRE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-_UNITS = re.compile(r" +[^ \n]*|\n+[^ \n]*")
-_SPACED_WORD = re.compile(rf" [{_LETTERS}]+")
+#: Characters of the units of text whose alignment a task remembers, and units that are aligned together.
+REMEMBERED, LEARNED = 1 << 21, 1 << 12
+#: Texts of which a unit is white space with what follows it up to the next white space. Other texts are
+#: aligned whole. (Fixed values: Latin letters and the signs, digits and white space of ASCII.)
+_PLAIN = re.compile(r"[\t\n\x20-\x7e\xc0-ɏ]*")
+_UNITS = re.compile(r"[ \n\t]+[^ \n\t]*")
 
 _DOCS_DDL = (
     "block long, is_list boolean, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -64,50 +60,10 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-#: Stands for the ids of text that a tokenizer does not give back.
-_LOSSY = -1
-
-
-class _Remembered:
-    """Ids of units of text, by their strings: a text's ids are those of its units on end. Only new units
-    go to the tokenizer. Units are remembered in two generations: when the young one is full it becomes the
-    old one, and units still in use move back."""
-
-    def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
-
-    def ids(self, units: list[list[str]]) -> list[np.ndarray]:
-        young, new = self.young, []
-        for unit in {u for us in units for u in us if u not in young}:
-            self.held += len(unit)
-            if unit in self.old:
-                young[unit] = self.old[unit]
-            else:
-                new.append(unit)
-        young.update(zip(new, (self._checked(unit, ids).tobytes() for unit, ids in zip(new, self.encoded(new)))))
-        get = young.__getitem__
-        out = [np.frombuffer(b"".join(map(get, us)), np.int32) for us in units]
-        if self.held > REMEMBERED:
-            self.young, self.old, self.held = {}, young, 0
-        return out
-
-    def _checked(self, text: str, ids: list[int]) -> np.ndarray:
-        """The ids, or ``_LOSSY`` if their bytes on end are not those of the text."""
-        same = b"".join(map(self.bytes_of.__getitem__, ids)) == text.encode()
-        return np.array(ids if same else [_LOSSY], np.int32)
-
-    def encoded(self, units: list[str]) -> list[list[int]]:
-        raise NotImplementedError
-
-
-class ByteLevel(_Remembered):
-    """Ids of texts by a byte-level BPE file. The strings of special tokens inside a text are plain text.
-    The units are the tokenizer's pre-tokens."""
+class ByteLevel:
+    """A byte-level BPE file. The strings of special tokens inside a text are plain text."""
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -118,35 +74,14 @@ class ByteLevel(_Remembered):
         for token, i in vocabulary.items():
             self.bytes_of[i] = bytes(map(signs.__getitem__, token)) if all(c in signs for c in token) else token.encode()
 
-    def encoded(self, units: list[str]) -> list[list[int]]:
-        out: dict[str, list[int]] = {u: [] for u in units}
-        spaced = [u for u in units if _SPACED_WORD.fullmatch(u)]
-        for low in range(0, len(spaced), 512):  # words with a space before them stay apart in one text
-            part = spaced[low : low + 512]
-            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            for word, i in zip(found.word_ids, found.ids):
-                out[part[word]].append(i)
-        alone = [u for u in units if not out[u]]
-        out.update(zip(alone, self.whole(alone)))
-        return list(out.values())
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(_PLAIN.fullmatch(t)) and not _OTHER_SIGNS.search(t) for t in texts]
-        known = iter(self.ids([_PRE.findall(t) for t, p in zip(texts, plain) if p]))
-        others = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
-        return [next(known) if p else self._checked(t, next(others)) for t, p in zip(texts, plain)]
-
-
-class Pieces(_Remembered):
-    """Ids of texts by a sentencepiece model. The units are spaces with what follows them up to the next
-    space or line end, and line ends with what follows; no piece may reach over such a border, else texts
-    go to the model whole."""
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
+class Pieces:
+    """A sentencepiece model. It puts a space before a text by itself."""
 
     def __init__(self, path: str):
-        super().__init__()
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
@@ -154,17 +89,12 @@ class Pieces(_Remembered):
         self.bytes_of = [
             bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode() for i, piece in enumerate(pieces)
         ]
-        self.space = self.model.piece_to_id("▁")
-        self.parts = not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces) and self.encoded(["\nx"])[0][0] != self.space
-
-    def encoded(self, units: list[str]) -> list[list[int]]:
-        found = self.model.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1) if units else []
-        return [[self.space] if u == " " else ids if u[0] == " " else ids[1:] for u, ids in zip(units, found)]
+        #: Whether no piece reaches from something else into white space.
+        self.cuts_at_space = not any("▁" in p.lstrip("▁") or any(c in p for c in "\n\t") for p in pieces)
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        if self.parts:
-            return self.ids([_UNITS.findall(" " + t) for t in texts])
-        return [self._checked(" " + t, ids) for t, ids in zip(texts, self.model.encode(texts, num_threads=1))] if texts else []
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text that starts with a space."""
+        return self.model.encode(text[1:])
 
 
 # One document
@@ -211,8 +141,49 @@ def written_order(cuts_a: np.ndarray, cuts_b: np.ndarray, n: int) -> tuple[np.nd
     return place_a, place_b, after
 
 
+class Alignment:
+    """The alignment of one text, which starts with a space."""
+
+    def __init__(self, tables: Aligner, text: str):
+        ids_a, ids_b, self.bytes = tables.a.ids(text), tables.b.ids(text), text.encode()
+        self.lossless = all(b"".join(map(t.bytes_of.__getitem__, ids)) == self.bytes for t, ids in ((tables.a, ids_a), (tables.b, ids_b)))
+        if not self.lossless:
+            return
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        self.ends_a, self.ends_b = np.cumsum(tables.long_a[a]), np.cumsum(tables.long_b[b])
+        ends_a, ends_b = self.ends_a.tolist(), self.ends_b.tolist()
+        self.cuts_a, self.cuts_b = map(np.array, slices(ends_a, ends_b))
+        place_a, place_b, named = written_order(self.cuts_a, self.cuts_b, len(a) + len(b))
+        named *= tables.ids
+        named[place_a] += a
+        named[place_b] += b
+        self.written = list(map(tables.names.__getitem__, named.tolist()))
+        left, right = links(self.cuts_a, self.cuts_b, ends_a, ends_b)
+        order = np.argsort(left, kind="stable")
+        self.left = left[order]
+        self.codes = a[self.left] * len(tables.long_b) + b[right[order]]
+
+    def parts(self, ends: np.ndarray) -> list[tuple[str, bytes, int]] | None:
+        """The alignments of the stretches of the text that end at the byte offsets ``ends`` (the last is the
+        text's), each as: its groups as written, its links' codes, its A tokens times 2**32 plus its groups.
+        None if some offset is no end of a group."""
+        group = np.searchsorted(self.ends_a[self.cuts_a - 1], ends)
+        if (self.ends_a[self.cuts_a - 1][group] != ends).any():
+            return None
+        upto_a, upto_b = self.cuts_a[group], self.cuts_b[group]
+        upto = np.append(0, upto_a + upto_b).tolist()
+        link = np.append(0, np.searchsorted(self.left, upto_a)).tolist()
+        size = (np.diff(upto_a, prepend=0) << 32) + np.diff(group + 1, prepend=0)
+        return [
+            ("".join(self.written[p:q])[:-1], self.codes[r:s].tobytes(), n)
+            for p, q, r, s, n in zip(upto, upto[1:], link, link[1:], size.tolist())
+        ]
+
+
 class Aligner:
-    """Both tokenizers with their tables."""
+    """Both tokenizers. Both cut plain texts at the borders of units, so that a text's alignment is that of
+    its units on end; units are aligned once, many in one text, and remembered in two generations: when the
+    young one is full it becomes the old one, and units still in use move back."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
@@ -220,28 +191,53 @@ class Aligner:
         self.long_b = np.array([len(x) for x in self.b.bytes_of], np.int64)
         self.ids = max(len(self.long_a), len(self.long_b))
         self.names = [f"{i}{mark}" for mark in ",|;" for i in range(self.ids)]
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+        self.held = 0
+
+    def _learn(self, units: set[str]) -> None:
+        worded, blank = [], []
+        for unit in units:
+            self.held += len(unit)
+            if unit in self.old:
+                self.young[unit] = self.old[unit]
+            elif unit.isspace():
+                blank.append([unit])  # white space on end would be another unit
+            else:
+                worded.append(unit)
+        for part in [worded[low : low + LEARNED] for low in range(0, len(worded), LEARNED)] + blank:
+            together = Alignment(self, " x" + "".join(part))
+            ends = 2 + np.cumsum([len(u.encode()) for u in part])
+            found = together.parts(np.append(2, ends)) if together.lossless and self.b.cuts_at_space else None
+            self.young.update(zip(part, found[1:] if found else [None] * len(part)))
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray]]:
         """Per text: tokens of A and B, groups, links, the groups' digest, and the code of each link
         (A's id times B's vocabulary size plus B's id)."""
-        some = [t for t in texts if t]
-        found = zip(self.a.of([" " + t for t in some]), self.b.of(some))
-        for text in texts:
-            yield self._document(*next(found)) if text else _NO_TOKENS
-
-    def _document(self, a: np.ndarray, b: np.ndarray):
-        if not len(a) or not len(b) or a.min() < 0 or b.min() < 0:
-            return _NO_TOKENS
-        ends_a, ends_b = np.cumsum(self.long_a[a]).tolist(), np.cumsum(self.long_b[b]).tolist()
-        cuts_a, cuts_b = map(np.array, slices(ends_a, ends_b))
-        place_a, place_b, named = written_order(cuts_a, cuts_b, len(a) + len(b))
-        named *= self.ids
-        named[place_a] += a
-        named[place_b] += b
-        groups = "".join(map(self.names.__getitem__, named.tolist()))[:-1]
-        left, right = links(cuts_a, cuts_b, ends_a, ends_b)
-        codes = a[left].astype(np.int64) * len(self.long_b) + b[right]
-        return len(a), len(b), len(cuts_a), len(codes), hashlib.sha256(groups.encode()).hexdigest(), codes
+        units = [_UNITS.findall(" " + t) if t and _PLAIN.fullmatch(t) else [] for t in texts]
+        young = self.young
+        self._learn({u for us in units for u in us if u not in young})
+        for text, us in zip(texts, units):
+            found = list(map(young.__getitem__, us))
+            if not found or None in found:
+                found = self._whole(text)
+            yield _result(found) if found else _NO_TOKENS
+        if self.held > REMEMBERED:
+            self.young, self.old, self.held = {}, young, 0
+
+    def _whole(self, text: str | None) -> list[tuple] | None:
+        if not text:
+            return None
+        alignment = Alignment(self, " " + text)
+        return alignment.parts(np.array([len(alignment.bytes)])) if alignment.lossless else None
+
+
+def _result(parts: list[tuple[str, bytes, int]]) -> tuple[int, int, int, int, str, np.ndarray]:
+    codes = np.frombuffer(b"".join([p[1] for p in parts]), np.int64)
+    n_a, n_groups = divmod(sum([p[2] for p in parts]), 1 << 32)
+    # A group of n and m tokens has n + m - 1 links.
+    n_b = len(codes) + n_groups - n_a
+    return n_a, n_b, n_groups, len(codes), hashlib.sha256(";".join([p[0] for p in parts]).encode()).hexdigest(), codes
 
 
 _NO_TOKENS = (0, 0, 0, 0, "", np.empty(0, np.int64))
