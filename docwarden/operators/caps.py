@@ -11,6 +11,12 @@ ORG_CAP = 20
 SENDER_CAP = 10
 GLOBAL_CAP = 30
 CAP_HOURS = 24
+# How each cap refuses.
+REFUSALS = {
+    "org": ("invitation_cap", "too many invitations today for this organization"),
+    "sender": ("invitation_cap", "you have sent too many invitations today"),
+    "global": ("invitation_cap", "invitations are limited right now; try again later"),
+}
 
 
 def recent(invitations: DataFrame, as_of) -> DataFrame:

@@ -43,12 +43,17 @@ GONE = "no such invitation"
 STALE_INVITATION = "that invitation can no longer be accepted"
 
 
-def decide(df: DataFrame, rules: list[tuple[Column, str, str]]) -> DataFrame:
-    """Applies refusal rules in order. A condition that is NULL does not refuse."""
+def refusal_of(rules: list[tuple[Column, str, str]]) -> Column:
+    """The first refusal whose condition holds, as ``(code, reason)``. A condition that is NULL does not refuse."""
     refusal = F.lit(None).cast("struct<code: string, reason: string>")
     for condition, code, reason in reversed(rules):
         refusal = F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(reason).alias("reason"))).otherwise(refusal)
-    judged = df.withColumn("_refusal", refusal)
+    return refusal
+
+
+def decide(df: DataFrame, rules: list[tuple[Column, str, str]]) -> DataFrame:
+    """Applies refusal rules in order."""
+    judged = df.withColumn("_refusal", refusal_of(rules))
     return judged.withColumns({
         "accepted": F.col("_refusal").isNull(),
         "refusal_code": F.col("_refusal.code"),
@@ -270,7 +275,7 @@ def revoke_support(commands: DataFrame, state: AccessState) -> DataFrame:
 # --- invitations -----------------------------------------------------------------
 
 
-def _gate(j: DataFrame, state: AccessState, as_of) -> tuple[DataFrame, list]:
+def gate(j: DataFrame, state: AccessState, as_of) -> tuple[DataFrame, list]:
     """Facts and rules of the invitation gate: authorization first, then the caps from the
     narrowest scope to the widest."""
     j = with_person(j, state.users, "actor", "_me")
@@ -286,16 +291,16 @@ def _gate(j: DataFrame, state: AccessState, as_of) -> tuple[DataFrame, list]:
         (~F.col("_me_active") | F.col("_me_platform"), PRIVILEGE, MAY_NOT_INVITE),
         (~V.valid_role(F.col("role")), INPUT, "unknown role"),
         (~grants_role("_me", F.col("role")), PRIVILEGE, MAY_NOT_INVITE),
-        (F.col("_org_recent") >= caps.ORG_CAP, CAP, "too many invitations today for this organization"),
-        (F.col("_sender_recent") >= caps.SENDER_CAP, CAP, "you have sent too many invitations today"),
-        (F.col("_all_recent") >= caps.GLOBAL_CAP, CAP, "invitations are limited right now; try again later"),
+        (F.col("_org_recent") >= caps.ORG_CAP, *caps.REFUSALS["org"]),
+        (F.col("_sender_recent") >= caps.SENDER_CAP, *caps.REFUSALS["sender"]),
+        (F.col("_all_recent") >= caps.GLOBAL_CAP, *caps.REFUSALS["global"]),
     ]
     return j, rules
 
 
 def invitation_gate(commands: DataFrame, state: AccessState, as_of) -> DataFrame:
     """``commands(command_id, actor, org_id, role)``: may this person invite for this role now?"""
-    j, rules = _gate(commands, state, as_of)
+    j, rules = gate(commands, state, as_of)
     return _only(decide(j, rules), commands)
 
 
@@ -316,7 +321,7 @@ def invite(commands: DataFrame, state: AccessState, as_of) -> DataFrame:
         "org_id", F.col("invited_user_id").alias("_target"), "role"
     ).agg(F.max_by(F.struct("invitation_id", "expires_at"), F.struct("invited_at", "invitation_id")).alias("_open"))
     j = j.join(opened, ["org_id", "_target", "role"], "left")
-    j, rules = _gate(j, state, as_of)
+    j, rules = gate(j, state, as_of)
     unknown = F.col("_target").isNull()
     rules += [
         (~V.valid_email(F.col("invited_email")), INPUT, "that is not a valid email address"),

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docwarden.functions import validation as V
 from docwarden.functions.temporal import at
-from docwarden.operators import access as A, audit, caps, commands as K, constraints, migrations as M, outcomes as O
+from docwarden.operators import access as A, admission, audit, caps, commands as K, constraints, migrations as M, outcomes as O
 from docwarden.plans.registry import query
-from docwarden.sources.derived import AS_OF, EARLY, GRANTS_AS_OF, derive, read, state, with_tables
+from docwarden.sources.derived import AS_OF, BATCH_AS_OF, EARLY, GRANTS_AS_OF, derive, read, state, with_tables
 
 # Invisible characters that names may not contain.
 ZERO_WIDTH, LINE_SEPARATOR, OVERRIDE = "\u200b", "\u2028", "\u202e"
@@ -536,6 +536,72 @@ def invite(spark, sf):
     return done.select(*_DECISION, "invited_email", "result", "invitation_id", "new_user")
 
 
+_BNOW = f"TIMESTAMP '{BATCH_AS_OF}'"
+_BAD_MAIL = f"length(mail) > 254 or not regexp_matches(mail, '{_STRICT}')"
+
+
+def _after(written: str) -> tuple[tuple[str, str, str], ...]:
+    """The refusals of a command that are not its own alone, after the list of structs ``written``."""
+    def count(condition):
+        return f"len(list_filter({written}, lambda x: {condition}))"
+
+    unknown = f"(target is null and {count('x.fresh and x.mail = f.mail')} = 0)"
+    return (
+        (f"coalesce(org_n, 0) + {count('x.org_id = f.org_id')} >= 20", "invitation_cap", "too many invitations today for this organization"),
+        (f"coalesce(sender_n, 0) + {count('x.actor = f.actor')} >= 10", "invitation_cap", "you have sent too many invitations today"),
+        (f"all_n + len({written}) >= 30", "invitation_cap", "invitations are limited right now; try again later"),
+        (_BAD_MAIL, "invalid_parameter_value", "that is not a valid email address"),
+        ("contains(display_name, chr(7))", "invalid_parameter_value", "that name is not acceptable"),
+        ("mail = my_email", "insufficient_privilege", "you cannot invite yourself"),
+        (f"{unknown} and account_id is null", "account_needed", "account_needed"),
+        (f"{unknown} and acct = 'not-an-id'", "invalid_parameter_value", "invalid account id"),
+        (f"{unknown} and (taken or {count('x.fresh and x.acct = f.acct')} > 0)", "check_violation", "that account could not be set up"),
+    )
+
+
+def _ours(written: str) -> str:
+    """The invitation that an earlier command of the batch opened for the same organization, person and role."""
+    return (f"list_filter({written}, lambda x: x.org_id = f.org_id and x.role = f.role and (x.user_id = f.target or x.fresh and x.mail = f.mail))[1].invitation_id")
+
+
+_WRITES = " and ".join(f"not coalesce({rule[0]}, false)" for rule in _after("s.w"))
+_PRIOR = "list_filter(l.w, lambda x: x.seq < f.seq)"
+
+
+@query("p9_u7_invite_batch", f"""
+    {with_tables('users', 'organizations', 'memberships', 'batch', 'batch_invitations', recursive=True)}, {_AUTH},
+    {_GATE_FACTS.replace(_EARLY, _BNOW).replace('from invitations', 'from batch_invitations')},
+    opened AS (select org_id, invited_user_id, role, arg_max(invitation_id, (invited_at, invitation_id)) as invitation_id,
+        arg_max(expires_at, (invited_at, invitation_id)) as until from batch_invitations where {_OPEN} group by org_id, invited_user_id, role),
+    n AS (select *, lower(trim(email)) as mail, lower(account_id) as acct from batch),
+    j AS (select c.*, t.user_id as target, me.email as my_email, k.cognito_sub is not null as taken, o.invitation_id as open_id, o.until, {_GATE_COLUMNS}
+        from n c left join users t on t.email = c.mail left join users me on me.user_id = c.actor left join users k on k.cognito_sub = c.acct
+        left join opened o on o.org_id = c.org_id and o.invited_user_id = t.user_id and o.role = c.role {_GATE_JOIN}),
+    f AS MATERIALIZED (select *, {_refusal(*_GATE_RULES[:4])}, substr(sha256('invitation' || chr(31) || command_id), 1, 32) as own_id from j),
+    fit AS MATERIALIZED (select * from f where refusal_code is null),
+    steps AS (
+        select 0 as n, '' as last, cast([] as struct(seq varchar, org_id varchar, actor varchar, role varchar, mail varchar, acct varchar, user_id varchar, fresh boolean, invitation_id varchar)[]) as w
+        union all
+        select n + 1, min(f.seq), list_append(any_value(s.w), arg_min(struct_pack(seq := f.seq, org_id := f.org_id, actor := f.actor, role := f.role, mail := f.mail, acct := f.acct,
+            user_id := f.target, fresh := f.target is null and len(list_filter(s.w, lambda x: x.fresh and x.mail = f.mail)) = 0, invitation_id := coalesce(f.open_id, f.own_id)), f.seq))
+        from steps s, fit f where f.seq > s.last and {_WRITES} and {_ours('s.w')} is null and not coalesce(f.until > {_BNOW}, false) group by n),
+    l AS (select arg_max(w, n) as w from steps),
+    d AS (select f.* exclude (refusal_code, refusal_reason), coalesce(f.refusal_code, x.refusal_code) as refusal_code, coalesce(f.refusal_reason, x.refusal_reason) as refusal_reason, x.ours, x.known
+        from f, lateral (select {_refusal(*_after(_PRIOR))}, {_ours(_PRIOR)} as ours,
+            f.target is not null or len(list_filter({_PRIOR}, lambda x: x.fresh and x.mail = f.mail)) > 0 as known from l) x)
+    select command_id, refusal_code is null as accepted, refusal_code, refusal_reason, mail as invited_email,
+        case when refusal_code is null then case when ours is not null or until > {_BNOW} then 'existing' when open_id is null then 'created' else 'renewed' end end as result,
+        case when refusal_code is null then coalesce(ours, open_id, own_id) end as invitation_id,
+        case when refusal_code is null then not known end as new_user,
+        case when refusal_code is null then case when ours is null and until > {_BNOW} then until else {_BNOW} + interval 14 day end end as expires_at from d""")
+def invite_batch(spark, sf):
+    """The batch in its order, each command after what the ones before it wrote."""
+    s = state(spark, sf)
+    s = A.AccessState(s.users, s.organizations, s.memberships, s.support_grants, derive(spark, sf, "batch_invitations"))
+    done = admission.admit(derive(spark, sf, "batch"), s, BATCH_AS_OF)
+    return done.select(*_DECISION, "invited_email", "result", "invitation_id", "new_user", "expires_at")
+
+
 _ANSWERS = """
     select 'x-' || invitation_id as command_id, invitation_id, case when invitation_id like '%6' then null when invitation_id like '%5' then invited_by
         else invited_user_id end as actor from {invitations}"""

@@ -18,6 +18,7 @@ AS_OF = "2024-01-20 12:00:00"
 EARLY = "2024-01-01 02:00:00"
 GRANTS_AS_OF = "1998-09-01 00:00:00"
 INGESTED_AT = "2024-02-01 00:00:00"
+BATCH_AS_OF = "2024-02-10 00:00:00"
 
 
 def _uuid(kind: str, key: str) -> str:
@@ -32,9 +33,15 @@ def _org(key: str) -> str:
     return _uuid("c", key)
 
 
+def _email(key: str) -> str:
+    return f"'customer-' || lpad(cast({key} as string), 9, '0') || '@example.org'"
+
+
 _ROLE_BY_LINE = """case l_linenumber when 1 then 'org_admin' when 2 then 'point_person' when 3 then 'contributor'
     when 4 then 'budget_owner' else 'authorized_approver' end"""
 _LINE_KEY = "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey"
+# Sent long enough before the batch's clock to have run out, or not.
+_BATCH_SENT = f"(case when l_partkey % 3 = 0 then TIMESTAMP_NTZ '{BATCH_AS_OF}' - interval 20 day else TIMESTAMP_NTZ '{BATCH_AS_OF}' - interval 2 day end)"
 _INVITED_ORG = _org("cast(regexp_extract(props, '[0-9]+', 0) as bigint)")
 
 SQL = {
@@ -119,6 +126,28 @@ SQL = {
             case when event_id % 20 = 0 then null when event_id % 30 = 10 then 'not-an-id' when event_id % 50 = 30 then {_uuid('b', 'user_id')}
                 else upper({_uuid('e', 'event_id')}) end as account_id
         from {{events}}""",
+    # One batch of invitations in order: organization by organization, person by person. An admin's line
+    # becomes twenty commands, so that each cap is crossed; the others become one.
+    "batch": f"""
+        select seq_of || lpad(cast(kind as string), 2, '0') as seq, 'q-' || line_key || '-' || kind as command_id, actor, org_id,
+            case when kind = 0 then 'bad address' when kind = 2 then {_email('cust')}
+                when kind between 3 and 7 then 'new-' || line_key || '-' || case when kind = 7 then 6 else kind end || '@example.org'
+                else {_email("part + case when kind in (8, 9) then 0 else kind end")} end as email,
+            case when kind = 10 then 'owner' when kind in (7, 11, 12, 13, 14, 15, 16, 17, 18, 19) then 'budget_owner' else 'contributor' end as role,
+            case when kind = 1 then 'Bell' || chr(7) else 'Somebody' end as display_name,
+            case when kind = 4 then 'not-an-id' when kind = 5 then {_uuid('b', 'cust')}
+                when kind = 6 then {_uuid('f', "line || lpad(cast(cust as string), 7, '0')")} end as account_id
+        from (select {_LINE_KEY} as line_key, l_linenumber as line, l_partkey as part, o_custkey as cust, {_org('l_suppkey')} as org_id,
+                case when l_linenumber = 7 and l_returnflag = 'A' then null else {_user('o_custkey')} end as actor,
+                lpad(cast(l_suppkey as string), 9, '0') || '-' || lpad(cast(o_custkey as string), 9, '0') || '-' || {_LINE_KEY} || '-' as seq_of,
+                explode(sequence(0, case when l_linenumber = 1 then 19 else 0 end)) as kind
+            from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey)""",
+    "batch_invitations": f"""
+        select 'b-' || {_LINE_KEY} as invitation_id, {_org('l_suppkey')} as org_id, {_user('l_partkey')} as invited_user_id, 'contributor' as role,
+            {_user('o_custkey')} as invited_by, {_BATCH_SENT} as invited_at, {_BATCH_SENT} + interval 14 day as expires_at,
+            CAST(null AS TIMESTAMP_NTZ) as accepted_at, case when l_partkey % 3 = 2 then {_BATCH_SENT} + interval 1 hour end as declined_at,
+            CAST(null AS TIMESTAMP_NTZ) as revoked_at, cast(null as string) as revoked_by
+        from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey""",
     "attempts": """
         select sha2(text, 256) as file_hash, doc_id as attempt_id, 'doc-' || doc_id || '.txt' as filename, 'text/plain' as content_type,
             TIMESTAMP_NTZ '2024-01-01 00:00:00' + interval 1 minute * doc_id as at,
@@ -166,6 +195,7 @@ def state(spark: SparkSession, sf_dir: str) -> AccessState:
 def oracle(name: str) -> str:
     """The same table for the checking database."""
     text = _SOURCE.sub(r"\1", SQL[name]).replace("TIMESTAMP_NTZ", "TIMESTAMP")
+    text = re.sub(r"explode\(sequence\((.*)\)\) as", r"unnest(generate_series(\1)) as", text)
     return re.sub(r"sha2\(((?:[^()]|\([^()]*\))*), 256\)", r"sha256(\1)", text)
 
 
