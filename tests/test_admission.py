@@ -9,7 +9,7 @@ import pytest
 from docwarden import schemas as S
 from docwarden.operators import admission, caps
 from docwarden.operators.access import AccessState
-from docwarden.plans import registry
+from docwarden.plans import access, registry  # noqa: F401  (access registers its queries)
 
 NOW = datetime(2026, 1, 15, 12)
 DAY = timedelta(days=1)
