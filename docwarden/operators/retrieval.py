@@ -2,12 +2,18 @@
 
 Shape of the work for a batch of questions over a very large corpus:
 
-* the questions are the small side. They are shipped to the tasks in blocks of at most
-  ``MAX_QUERY_ROWS``; a larger question set costs one more corpus pass per block;
-* each task scores its own corpus rows with one matrix product per Arrow batch and keeps only
-  its best K per question, so what leaves a task does not grow with the corpus;
-* the per-task winners are merged in two steps, first per (question, salt), then per question,
-  so that no single task receives the winners of every partition of the corpus.
+* each task scores its own corpus rows with one matrix product per Arrow batch and keeps only its best K
+  per question;
+* before that, the first rows of every task are scored alone. The K-th best of them is a lower bound of the
+  K-th best of all, so later rows below it never leave a task: what leaves all tasks together stays near K
+  rows per question, however many tasks there are;
+* tasks send ids and scores only. Vectors and other columns are fetched for the final winners by a join;
+* the winners of the tasks are merged in two steps, first per (question, salt), then per question, so that
+  no single task receives the winners of every partition of the corpus.
+
+Up to ``MAX_QUERY_ROWS`` questions are shipped to the tasks, and no corpus row is shuffled. More questions
+never pass through the driver: question groups and corpus splits are dealt to a grid of tasks, one for each
+group and split.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from docwarden.functions.vectors import dot
+from docwarden.sources.tables import written
 
 # The retrieval defaults.
 RELEVANCE_THRESHOLD = 0.5
@@ -26,9 +33,15 @@ DEDUP_THRESHOLD = 0.97
 CANDIDATE_POOL = 40
 MAX_CONTEXT_TOKENS = 6000
 
-# Rows of the question side sent to tasks at once: 4,096 vectors of 1,536 doubles are 50 MB.
+# Rows of the question side sent to all tasks: 4,096 vectors of 1,536 doubles are 50 MB.
 MAX_QUERY_ROWS = 4096
 
+# Questions of a group and corpus rows of a split in the grid of tasks, on average.
+GROUP_ROWS, SPLIT_ROWS = 1024, 16_384
+
+# Rows of each task that give the first lower bounds.
+SAMPLE_ROWS = 512
+
 # Parts into which one question's winners are split before the last merge.
 MAX_SALTS = 1024
 
@@ -50,82 +63,147 @@ def top_k(
 ) -> DataFrame:
     """The ``k`` nearest corpus rows of every question by cosine similarity.
 
-    ``queries(query_id, embedding)``, ``corpus(chunk_id, embedding, *carry)``; rows without an
-    embedding are not candidates, and a question without one has no hits. Ties go to the lower ``chunk_id``; a zero vector has NULL
-    similarity and ranks last. With ``keep_vectors_from``, rows below that similarity travel
-    without their vector, as no later step looks at it.
+    ``queries(query_id, embedding)``, ``corpus(chunk_id, embedding, *carry)``, where ``chunk_id`` names one
+    row; rows without an embedding are not candidates, and a question without one has no hits. Ties go to the
+    lower ``chunk_id``; a zero vector has NULL similarity and ranks last. With ``keep_vectors_from``, rows
+    below that similarity come without their vector, as no later step looks at it.
 
     Returns ``query_id, rank, chunk_id, similarity, embedding, *carry``.
     """
-    corpus = corpus.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *carry)
-    local = None
-    for block in _query_blocks(queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")):
-        part = _score(corpus, block, queries.schema["query_id"], k, keep_vectors_from)
-        local = part if local is None else local.unionByName(part)
-
+    # Written, so that the join below knows their size and the scores are worked out once.
+    hits = written(nearest(queries, corpus, k), "hits")
+    found = hits.join(corpus.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", *carry), "chunk_id")
+    if keep_vectors_from is not None:
+        found = found.withColumn("embedding", F.when(F.col("similarity") >= keep_vectors_from, F.col("embedding")))
+    return found.select("query_id", "rank", "chunk_id", "similarity", "embedding", *carry)
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = CANDIDATE_POOL) -> DataFrame:
+    """``query_id, rank, chunk_id, similarity`` of :func:`top_k`, from the columns ``chunk_id`` and
+    ``embedding`` of ``corpus`` alone."""
+    return _merged(local_winners(queries, corpus, k), k)
+
+
+def local_winners(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """``query_id, similarity, chunk_id`` of the rows that leave the tasks: each task's best ``k`` per
+    question that reach the question's lower bound."""
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = corpus.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    if asked.limit(MAX_QUERY_ROWS + 1).count() <= MAX_QUERY_ROWS:
+        questions, kind = asked.toArrow(), asked.schema["query_id"].dataType
+        floors = _floors(_shipped(rows, questions, kind, None, k, SAMPLE_ROWS), k).toArrow()
+        return _shipped(rows, questions, kind, floors, k)
+    # Tasks of a partial read: a split's rows come from all over the corpus.
+    groups, splits = asked.count() // GROUP_ROWS + 1, corpus.count() // SPLIT_ROWS + 1
+    sample = rows.mapInArrow(_heads, rows.schema)
+    bounds = _floors(_grid(sample, asked.withColumn("floor", F.lit(None).cast("double")), groups, splits // 64 + 1, k), k)
+    return _grid(rows, asked.join(written(bounds, "floors"), "query_id", "left"), groups, splits, k)
+
+
+def _merged(local: DataFrame, k: int) -> DataFrame:
     best = [F.col("similarity").desc_nulls_last(), F.col("chunk_id")]
-    salts = min(MAX_SALTS, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salts = min(MAX_SALTS, int(local.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = local.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
     merged = _first_k(salted, Window.partitionBy("query_id", "_salt").orderBy(*best), k).drop("_salt", "rank")
-    final = _first_k(merged, Window.partitionBy("query_id").orderBy(*best), k)
-    return final.select("query_id", "rank", "chunk_id", "similarity", "embedding", *carry)
+    return _first_k(merged, Window.partitionBy("query_id").orderBy(*best), k).select("query_id", "rank", "chunk_id", "similarity")
+
+
+def _floors(sampled: DataFrame, k: int) -> DataFrame:
+    """``query_id, floor``: the k-th best score of a part of the corpus, where there is one."""
+    return _merged(sampled, k).where((F.col("rank") == k) & F.col("similarity").isNotNull()).select("query_id", F.col("similarity").alias("floor"))
 
 
 def _first_k(df: DataFrame, window, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(window).cast("long")).where(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
-    rows = queries.limit(MAX_QUERY_ROWS + 1).toArrow()
-    if rows.num_rows <= MAX_QUERY_ROWS:
-        yield rows
-        return
-    # Hash blocks are only even on average; half-filled blocks leave room for the largest.
-    blocks = 2 * queries.count() // MAX_QUERY_ROWS + 1
-    for b in range(blocks):
-        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+def _result_schema(query_type: T.DataType, corpus: DataFrame) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", query_type), T.StructField("similarity", T.DoubleType()), T.StructField("chunk_id", corpus.schema["chunk_id"].dataType),
+    ])
 
 
-def _score(corpus: DataFrame, block: pa.Table, query_field: T.StructField, k: int, keep_from: float | None) -> DataFrame:
-    ids = block.column("query_id").combine_chunks()
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first ``SAMPLE_ROWS`` rows of a task; the rest of its input is not read."""
+    left = SAMPLE_ROWS
+    for batch in batches:
+        yield batch.slice(0, left)
+        left -= batch.num_rows
+        if left <= 0:
+            return
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return np.array(vectors.to_pylist(), dtype=np.float64).reshape(len(vectors), -1 if len(vectors) else 0)
+
+
+def _shipped(corpus: DataFrame, questions: pa.Table, query_type: T.DataType, floors: pa.Table | None, k: int, first_rows: int | None = None) -> DataFrame:
+    """Winners of each corpus task, all questions being sent to every task."""
+    ids = questions.column("query_id").combine_chunks()
     if len(ids.unique()) != len(ids):
         raise ValueError("query_id must be unique")
-    matrix = np.array(block.column("embedding").to_pylist(), dtype=np.float64).reshape(len(ids), -1 if len(ids) else 0)
-    shipped = corpus.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    fields = [
-        T.StructField("query_id", query_field.dataType),
-        T.StructField("similarity", T.DoubleType()),
-        *corpus.schema.fields,
-    ]
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
+    known = dict(zip(floors.column("query_id").to_pylist(), floors.column("floor").to_pylist())) if floors is not None else {}
+    bounds = np.array([known.get(i, -np.inf) for i in ids.to_pylist()])
+    shipped = corpus.sparkSession.sparkContext.broadcast((ids, _matrix(questions.column("embedding")), bounds))
 
     def run(batches):
-        names, vectors = shipped.value
+        names, vectors, low = shipped.value
         if not len(names):
             return
-        best = _PartitionBest(vectors, k)
+        best, left = _PartitionBest(vectors, k, low), first_rows
         for batch in batches:
+            best.add(batch if left is None else batch.slice(0, left))
+            left = None if left is None else left - batch.num_rows
+            if left is not None and left <= 0:
+                break
+        yield from best.result(names)
+
+    return corpus.mapInArrow(run, _result_schema(query_type, corpus))
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
+def _grid(corpus: DataFrame, questions: DataFrame, groups: int, splits: int, k: int) -> DataFrame:
+    """Winners of each cell (question group, corpus split). Every question meets every split once."""
+    split, group = F.pmod(F.xxhash64("chunk_id"), F.lit(splits)), F.pmod(F.xxhash64("query_id"), F.lit(groups))
+    rows = corpus.select(split.alias("split"), _every(groups).alias("group"), "chunk_id", "embedding")
+    asked = questions.select(
+        _every(splits).alias("of_split"), group.alias("of_group"), "query_id", "embedding", "floor")
+
+    def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        ids = asked.column("query_id").combine_chunks()
+        if len(ids.unique()) != len(ids):
+            raise ValueError("query_id must be unique")
+        names = pa.schema([("query_id", ids.type), ("similarity", pa.float64()), ("chunk_id", rows.schema.field("chunk_id").type)])
+        if not len(ids) or not rows.num_rows:
+            return names.empty_table()
+        floors = asked.column("floor").fill_null(-np.inf).to_numpy()
+        best = _PartitionBest(_matrix(asked.column("embedding")), k, floors)
+        for batch in rows.select(["chunk_id", "embedding"]).to_batches():
             best.add(batch)
-        yield from best.result(names, keep_from)
+        return pa.Table.from_batches(best.result(ids), schema=names)
 
-    return corpus.mapInArrow(run, schema)
+    return rows.groupBy("split", "group").cogroup(asked.groupBy("of_split", "of_group")).applyInArrow(
+        cell, _result_schema(questions.schema["query_id"].dataType, corpus))
 
 
 class _PartitionBest:
-    """Best ``k`` rows per question among the batches of one task. Each row is stored once, however
-    many questions it serves."""
+    """Best ``k`` rows per question among the batches of one task, of those that reach ``floor``. Each row
+    is stored once, however many questions it serves."""
 
-    def __init__(self, vectors: np.ndarray, k: int):
+    def __init__(self, vectors: np.ndarray, k: int, floor: np.ndarray):
         self.k = k
+        self.given = floor
         self.vectors = vectors
         self.columns = np.ascontiguousarray(vectors.T)
         every = np.arange(len(vectors))
         self.squares = _ordered_dot(self.columns, every, self.columns, every)
         norms = np.sqrt(self.squares)
         self.unit = np.divide(vectors, norms[:, None], out=np.zeros_like(vectors), where=norms[:, None] > 0)
-        self.floor = np.full(len(vectors), -np.inf)
-        self.tables: list[pa.Table] = []
+        self.floor = floor
+        self.kind: pa.DataType | None = None
         self.ids = np.empty(0)
         self.query = np.empty(0, dtype=np.int64)
         self.row = np.empty(0, dtype=np.int64)
@@ -165,11 +243,10 @@ class _PartitionBest:
             sim = _ordered_dot(self.columns, q, columns, position) / np.sqrt(self.squares[q] * squares[position])
         sim[~np.isfinite(sim)] = -np.inf
 
-        taken = pa.Table.from_batches([batch]).take(pa.array(used))
-        new_ids = np.array(taken.column("chunk_id").to_pylist())
+        self.kind = batch.column("chunk_id").type
+        new_ids = np.array(batch.column("chunk_id").take(pa.array(used)).to_pylist())
         self.row = np.concatenate([self.row, len(self.ids) + position])
         self.ids = np.concatenate([self.ids, new_ids]) if len(self.ids) else new_ids
-        self.tables.append(taken)
         self.query = np.concatenate([self.query, q])
         self.sim = np.concatenate([self.sim, sim])
         self._trim()
@@ -193,25 +270,19 @@ class _PartitionBest:
         low = np.full(len(self.vectors), np.inf)
         np.minimum.at(low, self.query, self.sim)
         # A floor of -inf would let every later row through; -2 lies below every similarity.
-        self.floor = np.where(full, np.maximum(low, -2.0), -np.inf)
+        self.floor = np.maximum(self.given, np.where(full, np.maximum(low, -2.0), -np.inf))
 
     def _compact(self) -> None:
         used, self.row = np.unique(self.row, return_inverse=True)
-        self.tables = [pa.concat_tables(self.tables).take(pa.array(used)).combine_chunks()]
         self.ids = self.ids[used]
 
-    def result(self, names: pa.Array, keep_from: float | None) -> Iterator[pa.RecordBatch]:
-        if not self.tables:
+    def result(self, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        if not len(self.row):
             return
-        rows = pa.concat_tables(self.tables).take(pa.array(self.row))
-        if keep_from is not None:
-            wanted = pa.array(np.arange(len(self.sim)), mask=~(self.sim >= keep_from))
-            at = rows.schema.get_field_index("embedding")
-            rows = rows.set_column(at, "embedding", rows.column("embedding").combine_chunks().take(wanted))
         unknown = np.isneginf(self.sim)
-        rows = rows.add_column(0, "similarity", pa.array(np.where(unknown, 0.0, self.sim), mask=unknown))
-        rows = rows.add_column(0, "query_id", names.take(pa.array(self.query)))
-        yield from rows.combine_chunks().to_batches()
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(self.query)), pa.array(np.where(unknown, 0.0, self.sim), mask=unknown), pa.array(self.ids[self.row].tolist(), self.kind)],
+            names=["query_id", "similarity", "chunk_id"])
 
 
 def _first_of_each(group: np.ndarray, order: tuple, k: int) -> np.ndarray:

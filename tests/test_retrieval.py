@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,49 @@ def test_similarity_reads_only_what_it_needs(spark, tmp_path):
     spark.range(10).select(
         F.col("id").cast("string").alias("chunk_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"), F.lit("t").alias("chunk_text")
     ).write.parquet(path)
-    plan = R.top_k(spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>"), spark.read.parquet(path), 3)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "chunk_text" not in text and "IsNotNull(embedding)" in text and "WindowGroupLimit" in text
+    question = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
+    texts = [R.top_k(question, spark.read.parquet(path), 3)._jdf.queryExecution().executedPlan().toString(),
+             R.nearest(question, spark.read.parquet(path), 3)._jdf.queryExecution().executedPlan().toString()]
+    assert all("chunk_text" not in t and "IsNotNull(embedding)" in t for t in texts) and "WindowGroupLimit" in texts[1]
+
+
+def _random_vectors(n, seed, width=8):
+    return np.random.default_rng(seed).normal(size=(n, width)).astype(np.float32)
+
+
+def _as_rows(spark, vectors, name, parts):
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, f"{name} long, embedding array<float>").repartition(parts)
+
+
+def test_lower_bounds_keep_rows_in_their_tasks(spark, monkeypatch):
+    """Without bounds 40 tasks would send 400 rows a question; a tenth of the corpus bounds that to about ten times k."""
+    monkeypatch.setattr(R, "SAMPLE_ROWS", 50)
+    corpus, asked = _as_rows(spark, _random_vectors(20_000, 1), "chunk_id", 40), _as_rows(spark, _random_vectors(5, 2), "query_id", 1)
+    left = R.local_winners(asked, corpus, 10)
+    assert left.columns == ["query_id", "similarity", "chunk_id"]
+    sent = left.count()
+    assert 5 * 10 <= sent <= 5 * 150
+    monkeypatch.setattr(R, "SAMPLE_ROWS", 500)  # every row: the bound is the k-th best itself
+    assert R.local_winners(asked, corpus, 10).count() == 50
+
+
+def test_many_questions_never_pass_through_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(self):
+        raise AssertionError("collected")
+
+    questions, vectors = _random_vectors(10_000, 3), _random_vectors(3_000, 4)
+    asked, corpus = _as_rows(spark, questions, "query_id", 4), _as_rows(spark, vectors, "chunk_id", 4)
+    monkeypatch.setattr(DataFrame, "toArrow", refuse)
+    monkeypatch.setattr(R, "SPLIT_ROWS", 700)
+    got = R.nearest(asked, corpus, 5).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "similarity"))).alias("hits"))
+    rows = got.limit(20_000).collect()
+    a, b = questions.astype(float), vectors.astype(float)
+    scores = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
+    best = np.sort(scores, axis=1)[:, ::-1][:, :5]
+    assert len(rows) == 10_000
+    for r in rows:
+        assert [h.rank for h in r.hits] == [1, 2, 3, 4, 5]
+        assert np.allclose([h.similarity for h in r.hits], best[r.query_id]) and np.allclose([scores[r.query_id, h.chunk_id] for h in r.hits], best[r.query_id])
