@@ -28,6 +28,7 @@ ANSWER_STATUS = {
     "invalid": 502,
     "invalid_embedding": 502,
     "question_too_long": 400,
+    "blank_question": 422,
     "rate_limited": 429,
     "timeout": 504,
 }

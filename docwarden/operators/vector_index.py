@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -94,14 +95,17 @@ def relevant_hits(
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """The rows of :func:`retrieval.top_k` that pass ``threshold``, from the cells that can hold any."""
-    out = None
-    for block in R._query_blocks(queries.select("query_id", "embedding")):
-        vectors = np.array(block.column("embedding").to_pylist(), dtype=np.float64).reshape(block.num_rows, -1)
-        cells = cells_to_read(vectors, centroids, widths, threshold) if block.num_rows else []
-        part = queries.sparkSession.createDataFrame(block)
-        hits = R.top_k(part, index.where(F.col("cell").isin(cells)), k, carry=carry, keep_vectors_from=threshold)
-        out = hits if out is None else out.unionByName(hits)
-    return out.where(R.relevant(F.col("similarity"), threshold))
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def cells_of(batches):
+        for batch in batches:
+            vectors = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1 if batch.num_rows else 0)
+            cells = cells_to_read(vectors, centroids, widths, threshold) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([pa.array([int(c) for c in cells], pa.int32())], names=["cell"])
+
+    cells = [r["cell"] for r in asked.select("embedding").mapInArrow(cells_of, "cell int").distinct().collect()]  # at most all cells
+    hits = R.top_k(asked, index.where(F.col("cell").isin(cells)), k, carry=carry, keep_vectors_from=threshold)
+    return hits.where(R.relevant(F.col("similarity"), threshold))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docwarden.functions import text as X, validation as V, vectors
-from docwarden.operators import chunking as C, grounding as G, ingest as I, outcomes as O, retrieval as R, vector_index as VI
+from docwarden.operators import answering, chunking as C, grounding as G, ingest as I, outcomes as O, retrieval as R, vector_index as VI
 from docwarden.plans.registry import query
 from docwarden.sources import files, snapshots
 from docwarden.sources.derived import INGESTED_AT, derive, read, with_tables
@@ -658,6 +658,59 @@ def two_pass_answers(spark, sf):
     return answers.select(F.col("query_id").alias("doc_id"), "status", F.array_join("citations", " ").alias("citations"))
 
 
+def _stand_in_vector(texts: list[str]) -> list[list[float]]:
+    """A unit vector by the length of the text; some lengths fail, or give a vector of the wrong size."""
+    def one(text: str) -> list[float]:
+        if len(text) % 97 == 0:
+            raise G.RateLimited("slow down")
+        if len(text) % 97 == 1:
+            raise TimeoutError("no vector")
+        return [1.0] if len(text) % 97 == 2 else [float(i == len(text) % 64) for i in range(64)]
+
+    return [one(t) for t in texts]
+
+
+def _first_passage_model(messages: list[dict]) -> str:
+    """Answers with the words of the first passage; by the length of the question, cites it at once, after a
+    correction or never, or gives no JSON."""
+    question, passages = messages[1]["content"].removeprefix("QUESTION:\n").rsplit("\n\nREFERENCE MATERIAL:\n", 1)
+    first_id, rest = passages.split("chunk_id=", 1)[1].split("\n", 1)
+    kind = len(question) % 4
+    if kind == 3:
+        return "no JSON"
+    cited = first_id if kind == 0 or (kind == 1 and len(messages) > 2) else "nope"
+    return json.dumps({"answer": rest.split("chunk_id=", 1)[0], "citations": [cited], "not_in_corpus": False})
+
+
+# Questions by their place in the vector, of which there are as many as components.
+_BY_PLACE = _BUDGETED.replace(
+    "q AS (select cast(label as bigint) as query_id, arg_min(v, vec_id) as v from e group by label)",
+    "q AS (select i as query_id, list_transform(range(64), lambda j: case when i = j then 1.0::double else 0.0::double end) as v from range(64) t(i))")
+
+
+@query("g11_answer_query", f"""
+    WITH RECURSIVE {_BY_PLACE},
+    first AS (select query_id, arg_min(chunk_id, rank) as chunk_id from chosen join documents d on d.doc_id = chosen.chunk_id group by query_id),
+    asked AS (select doc_id, length(text) as n, trim(text, {_WS}) = '' as blank from documents),
+    told AS (select doc_id, f.chunk_id, case when blank then 'blank_question' when n > {X.EMBEDDING_MAX_CHARS} then 'question_too_long' when n % 97 = 0 then 'rate_limited'
+        when n % 97 = 1 then 'timeout' when n % 97 = 2 then 'invalid_embedding' when f.chunk_id is null then 'not_in_corpus'
+        when n % 4 in (0, 1) then 'ok' when n % 4 = 2 then 'ungrounded' else 'invalid' end as status
+        from asked left join first f on f.query_id = n % 64)
+    select doc_id, status, cast(case status when 'question_too_long' then 400 when 'blank_question' then 422 when 'rate_limited' then 429 when 'timeout' then 504
+        when 'invalid_embedding' then 502 when 'invalid' then 502 else 200 end as bigint) as http_status,
+        case when status = 'ok' then cast(chunk_id as varchar) else '' end as citations from told""")
+def answer_query(spark, sf):
+    """Every document as a question: embedded, answered from the passages that are near, and checked."""
+    docs = read(spark, sf, "documents")
+    corpus = _corpus(spark, sf).join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text")), "chunk_id", "left")
+    answers = answering.answer_query(
+        docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question")), corpus.where(F.col("embedding").isNotNull()),
+        _stand_in_vector, _first_passage_model, dim=64, policy=G.RetryPolicy(max_attempts=2, base_backoff_seconds=0),
+        retrieval={"threshold": THRESHOLD, "dedup_threshold": DEDUP}, system_prompt=_SYSTEM, correction=_CORRECTION)
+    told = O.query_response(answers)
+    return told.select(F.col("query_id").alias("doc_id"), "status", "http_status", F.coalesce(F.array_join("citations", " "), F.lit("")).alias("citations"))
+
+
 @query("j9_f8_citation_lookup", f"""
     {_REPLY_SQL}, cited AS (
         select doc_id, unnest(case when n = 0 then [] when kind in (0, 2) then [id1] when kind = 1 and supported then [idn]
