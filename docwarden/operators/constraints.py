@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docwarden import schemas as S
 from docwarden.functions.temporal import days
 from docwarden.functions.validation import ROLES
 
+SCHEMAS = {
+    "users": S.USERS, "organizations": S.ORGANIZATIONS, "org_memberships": S.ORG_MEMBERSHIPS, "support_access_grants": S.SUPPORT_ACCESS_GRANTS,
+    "org_invitations": S.ORG_INVITATIONS, "audit_log": S.AUDIT_LOG, "document_uploads": S.DOCUMENT_UPLOADS,
+}
+
 UPLOAD_STATUSES = ("processing", "completed", "failed")  # fixed values
 ORG_STATUSES = ("active", "suspended", "closed")  # fixed values
 
@@ -86,3 +94,61 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
     """Child rows whose reference finds no parent."""
     known = parent.select(F.col(key).alias(column))
     return child.where(F.col(column).isNotNull()).join(known, column, "left_anti")
+
+
+# What references point to, by table and column.
+REFERENCES = {
+    "organizations": {"created_by": "users"},
+    "org_memberships": {"org_id": "organizations", "user_id": "users", "granted_by": "users", "revoked_by": "users"},
+    "support_access_grants": {"org_id": "organizations", "support_user_id": "users", "consented_by": "users", "revoked_by": "users"},
+    "org_invitations": {"org_id": "organizations", "invited_user_id": "users", "invited_by": "users", "revoked_by": "users"},
+    "audit_log": {"actor_user_id": "users", "org_id": "organizations"},
+}
+KEYS = {"users": "user_id", "organizations": "org_id"}
+
+
+def required_columns(table: str) -> list[str]:
+    """Columns that may not be NULL, in the order of the table's schema."""
+    return re.findall(r"(\w+) [A-Z]+(?:<[A-Z, ]+>)? NOT NULL", SCHEMAS[table])
+
+
+def integrity(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, constraint_name, violations`` of every reference and every NOT NULL column, zero
+    included. A column that a frame does not have is not checked.
+
+    Each table is read once: a row becomes one tagged value per reference, per key it offers and per missing
+    value. One aggregation by (parent, value) then knows all keys that exist beside all references to them,
+    so there is one exchange whatever the number of constraints. Values are counted before they are
+    exchanged, so a key with very many references is one row per task."""
+    tag = "struct<parent: string, value: string, is_key: boolean, name: string>"
+    rows, names = None, []
+    for table, df in tables.items():
+        tags = []
+        if KEYS.get(table) in df.columns:
+            tags.append(_tag(df, KEYS[table], table, True, None))
+        for column, parent in REFERENCES.get(table, {}).items():
+            if column in df.columns and parent in tables:
+                names.append((table, f"{column}_references_{parent}"))
+                tags.append(_tag(df, column, parent, False, f"{table} {column}_references_{parent}"))
+        for column in required_columns(table):
+            if column in df.columns:
+                names.append((table, f"{column}_not_null"))
+                missing = F.struct(F.lit("").alias("parent"), F.lit(f"{table} {column}").alias("value"), F.lit(False).alias("is_key"),
+                                   F.lit(f"{table} {column}_not_null").alias("name"))
+                tags.append(F.when(df[column].isNull(), missing))
+        part = df.select(F.explode(F.array_compact(F.array(*[t.cast(tag) for t in tags]))).alias("t")).select("t.*")
+        rows = part if rows is None else rows.unionByName(part)
+    labels = [f"{t} {c}" for t, c in names]
+    counts = [F.count_if(F.col("name") == label).alias(str(n)) for n, label in enumerate(labels)]
+    by_value = rows.groupBy("parent", "value").agg(F.bool_or("is_key").alias("_known"), *counts)
+    lost = by_value.where(~F.col("_known")).agg(*[F.coalesce(F.sum(F.col(str(n))), F.lit(0)).alias(str(n)) for n in range(len(labels))])
+    listed = F.array(*[
+        F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("constraint_name"), F.col(str(n)).cast("long").alias("violations"))
+        for n, (t, c) in enumerate(names)
+    ])
+    return lost.select(F.explode(listed).alias("r")).select("r.*")
+
+
+def _tag(df: DataFrame, column: str, parent: str, is_key: bool, name: str | None) -> Column:
+    value = F.struct(F.lit(parent).alias("parent"), df[column].cast("string").alias("value"), F.lit(is_key).alias("is_key"), F.lit(name).cast("string").alias("name"))
+    return F.when(df[column].isNotNull(), value)

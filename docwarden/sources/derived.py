@@ -148,6 +148,10 @@ SQL = {
             CAST(null AS TIMESTAMP_NTZ) as accepted_at, case when l_partkey % 3 = 2 then {_BATCH_SENT} + interval 1 hour end as declined_at,
             CAST(null AS TIMESTAMP_NTZ) as revoked_at, cast(null as string) as revoked_by
         from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey""",
+    "audit_log": f"""
+        select 'l-' || event_id as audit_id, {_user('user_id')} as actor_user_id, 'invitation.create' as action, 'invitation' as object_type,
+            'i-' || event_id as object_id, {_INVITED_ORG} as org_id
+        from {{events}}""",
     "attempts": """
         select sha2(text, 256) as file_hash, doc_id as attempt_id, 'doc-' || doc_id || '.txt' as filename, 'text/plain' as content_type,
             TIMESTAMP_NTZ '2024-01-01 00:00:00' + interval 1 minute * doc_id as at,

@@ -64,3 +64,30 @@ def test_migration_ledger(spark):
     names = spark.createDataFrame([("0001_a",), ("0001_b",), ("12_c",), ("00x1_d",)], "version string")
     assert {r.version: r.problem for r in M.file_problems(names).collect()} == {
         "0001_b": "duplicate migration number", "12_c": "must start with a 4-digit number", "00x1_d": "must start with a 4-digit number"}
+
+
+def test_all_references_in_one_exchange(spark):
+    users = spark.createDataFrame([("u1", "s", "u1@x"), ("u2", None, "u2@x"), (None, "t", None)], "user_id string, cognito_sub string, email string")
+    orgs = spark.createDataFrame([("o1", "u1"), ("o2", "gone"), ("o3", None)], "org_id string, created_by string")
+    members = spark.createDataFrame(
+        [("m1", "o1", "u1", "gone", None), ("m2", "o9", "u1", "u2", "gone"), ("m3", None, "u8", "gone", "u1")] + [(f"h{k}", "o1", "u1", "u2", None) for k in range(50)],
+        "membership_id string, org_id string, user_id string, granted_by string, revoked_by string")
+    found = constraints.integrity({"users": users, "organizations": orgs, "org_memberships": members})
+    assert found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") == 1
+    got = {(r.table_name, r.constraint_name): r.violations for r in found.collect()}
+    assert {k: v for k, v in got.items() if v} == {
+        ("users", "user_id_not_null"): 1, ("users", "cognito_sub_not_null"): 1, ("users", "email_not_null"): 1,
+        ("organizations", "created_by_references_users"): 1, ("organizations", "created_by_not_null"): 1,
+        ("org_memberships", "org_id_references_organizations"): 1, ("org_memberships", "org_id_not_null"): 1, ("org_memberships", "user_id_references_users"): 1,
+        ("org_memberships", "granted_by_references_users"): 2, ("org_memberships", "revoked_by_references_users"): 1,
+    }
+    assert len(got) == 3 + 2 + 1 + 4 + 4
+    empty = constraints.integrity({"users": users.limit(0), "organizations": orgs.limit(0)})
+    assert {r.violations for r in empty.collect()} == {0}
+
+
+def test_every_constraint_is_broken_somewhere_in_the_registered_query(spark):
+    from docwarden.plans import access, registry  # noqa: F401
+
+    rows = registry.QUERIES["f12_all_references"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 49 and all(r.violations > 0 for r in rows)
