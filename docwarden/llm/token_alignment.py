@@ -31,7 +31,7 @@ BLOCK_LINKS, BLOCK_DOCS = 1 << 20, 1 << 14
 #: Texts tokenized together, in characters.
 TOGETHER = 1 << 18
 #: Characters of the units of text whose alignment a task remembers, and units that are aligned together.
-REMEMBERED, LEARNED = 1 << 21, 1 << 12
+REMEMBERED, LEARNED = 1 << 19, 1 << 12
 #: Texts of which a unit is white space with what follows it up to the next white space. Other texts are
 #: aligned whole. (Fixed values: Latin letters and the signs, digits and white space of ASCII.)
 _PLAIN = re.compile(r"[\t\n\x20-\x7e\xc0-ɏ]*")
@@ -214,6 +214,8 @@ class Aligner:
     def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, str, np.ndarray]]:
         """Per text: tokens of A and B, groups, links, the groups' digest, and the code of each link
         (A's id times B's vocabulary size plus B's id)."""
+        if self.held > REMEMBERED:
+            self.young, self.old, self.held = {}, self.young, 0
         units = [_UNITS.findall(" " + t) if t and _PLAIN.fullmatch(t) else [] for t in texts]
         young = self.young
         self._learn({u for us in units for u in us if u not in young})
@@ -222,8 +224,6 @@ class Aligner:
             if not found or None in found:
                 found = self._whole(text)
             yield _result(found) if found else _NO_TOKENS
-        if self.held > REMEMBERED:
-            self.young, self.old, self.held = {}, young, 0
 
     def _whole(self, text: str | None) -> list[tuple] | None:
         if not text:
