@@ -553,8 +553,12 @@ def invitation_gate(spark, sf):
     return K.invitation_gate(c, state(spark, sf), EARLY).select(*_DECISION)
 
 
+# A time at which no cap is reached; the batch below crosses them.
+_BNOW = f"TIMESTAMP '{BATCH_AS_OF}'"
+
+
 @query("p9_invite", f"""
-    {_base('invitations', 'invites')}, {_GATE_FACTS},
+    {_base('invitations', 'invites')}, {_GATE_FACTS.replace(_EARLY, _BNOW)},
     n AS (select *, lower(trim(email)) as mail, lower(account_id) as acct from invites),
     opened AS (select org_id, invited_user_id, role, arg_max(invitation_id, (invited_at, invitation_id)) as invitation_id,
         arg_max(expires_at, (invited_at, invitation_id)) as until from invitations where {_OPEN} group by org_id, invited_user_id, role),
@@ -570,15 +574,14 @@ def invitation_gate(spark, sf):
         ("target is null and acct = 'not-an-id'", "invalid_parameter_value", "invalid account id"),
         ("target is null and taken", "check_violation", "that account could not be set up"))} from j)
     select command_id, refusal_code is null as accepted, refusal_code, refusal_reason, mail as invited_email,
-        case when refusal_code is null then case when open_id is null then 'created' when until > {_EARLY} then 'existing' else 'renewed' end end as result,
+        case when refusal_code is null then case when open_id is null then 'created' when until > {_BNOW} then 'existing' else 'renewed' end end as result,
         case when refusal_code is null then coalesce(open_id, substr(sha256('invitation' || chr(31) || command_id), 1, 32)) end as invitation_id,
         case when refusal_code is null then target is null end as new_user from d""")
 def invite(spark, sf):
-    done = K.invite(derive(spark, sf, "invites"), state(spark, sf), EARLY)
+    done = K.invite(derive(spark, sf, "invites"), state(spark, sf), BATCH_AS_OF)
     return done.select(*_DECISION, "invited_email", "result", "invitation_id", "new_user")
 
 
-_BNOW = f"TIMESTAMP '{BATCH_AS_OF}'"
 _BAD_MAIL = f"length(mail) > 254 or not regexp_matches(mail, '{_STRICT}')"
 
 
