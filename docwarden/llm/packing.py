@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ from docwarden.llm.words import record_batch
 
 LENGTH, END, STEP = 2048, 1, 16
 #: Words whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Bytes of texts whose words are looked up together. A longer text is looked up alone.
+TOGETHER = 1 << 23
 #: The tokenizer's pre-tokens, what ends the last token of each, and words that go to it together (fixed values).
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 WORD_END = "</w>"
@@ -94,18 +97,26 @@ class _Ids:
         if other:
             young.update(zip(other, self._alone(other)))
 
-    def of(self, texts: list[str]) -> list[bytes]:
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and where each text's ids begin and the last one's end. Words are
+        encoded as a dictionary first: only distinct ones are looked up."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         get = self.young.get
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(get, w)) for w in words]
-        gaps = [[k for k, ids in enumerate(f) if ids is None] if None in f else () for f in found]
-        self._learn({w[k] for w, g in zip(words, gaps) for k in g})
-        for w, f, g in zip(words, found, gaps):
-            for k in g:
-                f[k] = get(w[k])
+        found = list(map(get, distinct))
+        if None in found:
+            self._learn({w for w, ids in zip(distinct, found) if ids is None})
+            found = list(map(get, distinct))
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
-        return [b"".join(f) for f in found]
+        table = np.frombuffer(b"".join(found), "<u4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, each = (np.cumsum(lengths) - lengths)[codes], lengths[codes]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = table[np.repeat(first - upto[:-1], each) + np.arange(upto[-1])]
+        offsets = words.offsets.to_numpy()
+        return ids, upto[offsets - offsets[0]]
 
 
 _tokenizers: dict[str, _Ids] = {}
@@ -115,17 +126,26 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Ite
     if path not in _tokenizers:
         _tokenizers.clear()
         _tokenizers[path] = _Ids(path)
-    ids, end = _tokenizers[path], np.array([END], "<u4").tobytes()
+    tokenizer = _tokenizers[path]
     for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for low in range(0, len(texts), 256):
+        texts = pc.fill_null(batch.column(1), "")
+        block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            ids, bounds = tokenizer.of(texts[low:high])
             rows = []
-            for copy, (doc_id, found) in enumerate(zip(doc_ids[low : low + 256], ids.of([t or "" for t in texts[low : low + 256]]))):
-                found += end
+            for doc_id, begin, end in zip(batch.column(0)[low:high].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                found = np.append(ids[begin:end], np.uint32(END)).tobytes()
                 total = len(found) // 4
+                copy = zlib.crc32(found)
+                if total <= length:
+                    rows.append((doc_id, 0, total, copy, total, copy))
+                    continue
                 for start in range(0, total, length):
-                    part = found[4 * start : 4 * (start + length)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), total, zlib.crc32(found)))
+                    piece = found[4 * start : 4 * (start + length)]
+                    rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total, copy))
             yield record_batch(_PIECES, *map(list, zip(*rows)))
 
 
