@@ -98,8 +98,8 @@ def failed_chunks(classified: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, changed: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """The next snapshot: rows of ``changed`` replace rows of ``existing`` with the same key, in
-    every column. Write it to a new location and switch over; see ``sources.snapshots``."""
+    """``existing`` after a batch: rows of ``changed`` replace rows with the same key, in every column.
+    ``sources.stores`` applies it to the shards of a stored table that a batch touches."""
     kept = existing.join(changed.select(key), key, "left_anti")
     return kept.select(existing.columns).unionByName(changed.select(existing.columns))
 

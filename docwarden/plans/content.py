@@ -10,6 +10,8 @@ from docwarden.functions import text as X, validation as V, vectors
 from docwarden.operators import answering, chunking as C, grounding as G, ingest as I, outcomes as O, retrieval as R, vector_index as VI
 from docwarden.plans.registry import query
 from docwarden.sources import files, snapshots
+from docwarden.sources.stores import KeyedTable, append_batch, appended
+from docwarden.sources.tables import new_folder
 from docwarden.sources.derived import INGESTED_AT, derive, read, with_tables
 from docwarden.functions.temporal import at
 
@@ -791,6 +793,57 @@ def upsert(spark, sf):
     return I.upsert(store, changed).select("chunk_id", "content_hash", "section_label")
 
 
+def _stored(spark: SparkSession, sf: str) -> KeyedTable:
+    """The store as a keyed table in the shared folder, with one batch of changes applied, twice as after
+    a failure."""
+    rows = derive(spark, sf, "store").select("chunk_id", "content_hash", "section_label")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    table = KeyedTable(spark, new_folder(spark, "store"), schema, "chunk_id", digits=1)
+    table.apply(rows, 0)
+    changed = _classified(spark, sf).where(F.col("outcome") != "skipped").select(*rows.columns)
+    table.apply(changed, 1)
+    table.finish(1)
+    return table
+
+
+@query("s8_u4_stored_batches", f"""
+    {_CLASSIFIED} select chunk_id, content_hash, section_label from classified where outcome <> 'skipped'
+    union all select s.chunk_id, s.content_hash, s.section_label from store s join classified c on c.chunk_id = s.chunk_id where c.outcome = 'skipped'""")
+def stored_batches(spark, sf):
+    """The written form of the upsert: shards rewritten by Spark's writer, read back."""
+    return _stored(spark, sf).read()
+
+
+@query("u11_archived_store", f"""
+    {_CLASSIFIED} select 'archive' as place, count(*) as n_rows, count(distinct content_hash) as hashes from classified
+    union all select 'store', 0, 0""")
+def archived_store(spark, sf):
+    table, old = _stored(spark, sf), new_folder(spark, "archive")
+    table.archive_to(old)
+    return _union_counts(("archive", spark.read.parquet(old)), ("store", table.read()))
+
+
+def _union_counts(*named) -> DataFrame:
+    parts = [df.agg(F.count("*").alias("n_rows"), F.countDistinct("content_hash").alias("hashes")).select(F.lit(place).alias("place"), "n_rows", "hashes")
+             for place, df in named]
+    return parts[0].unionByName(parts[1])
+
+
+@query("p15_appended_attempts", f"""
+    {with_tables('attempts')} select outcome, count(*) as n_rows, count(distinct attempt_id) as attempts
+    from attempts group by outcome""")
+def appended_attempts(spark, sf):
+    """Attempts appended batch by batch to rows that nothing can change; every batch comes twice."""
+    rows = derive(spark, sf, "attempts").select("attempt_id", "file_hash", "outcome")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    path = new_folder(spark, "attempts")
+    for batch in (0, 1, 0):
+        append_batch(rows.where(F.pmod(F.xxhash64("attempt_id"), F.lit(2)) == batch), path, batch)
+    kept = appended(spark, path, schema)
+    return kept.groupBy("outcome").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("attempt_id").alias("attempts"))
+
+
 @query("u5_upload_ledger", f"""
     {with_tables('attempts')},
     ordered AS (select *, row_number() over (partition by file_hash order by "at", attempt_id) as k,

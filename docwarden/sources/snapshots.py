@@ -1,71 +1,8 @@
-"""Tables kept as Parquet snapshots: a new snapshot is written beside the old one and becomes
-current by a single small marker write, so a job that dies half way leaves the table as it was."""
+"""Counts and listings of stored tables."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-
-class SnapshotTable:
-    """A table under ``root``. Snapshots are numbered folders; ``current`` holds the number of the
-    one to read, one line per switch, newest highest."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.schema = schema
-
-    def version(self) -> int:
-        try:
-            markers = self.spark.read.schema("version LONG").json(f"{self.root}/current")
-        except AnalysisException as exc:
-            if exc.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return 0
-        return markers.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-
-    def read(self) -> DataFrame:
-        """The current snapshot; no rows before the first write."""
-        version = self.version()
-        if not version:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v{version}")
-
-    def replace(self, rows: DataFrame) -> int:
-        """Writes ``rows`` as the next snapshot and makes it current."""
-        version = self.version() + 1
-        # A folder left by a writer that died before its marker is overwritten.
-        rows.write.mode("overwrite").parquet(f"{self.root}/v{version}")
-        marker = self.spark.range(1).select(F.lit(version).cast("long").alias("version"))
-        marker.coalesce(1).write.mode("append").json(f"{self.root}/current")
-        return version
-
-    def append(self, rows: DataFrame) -> None:
-        """Adds rows to the current snapshot, starting one if there is none."""
-        version = self.version()
-        if version:
-            rows.write.mode("append").parquet(f"{self.root}/v{version}")
-        else:
-            self.replace(rows)
-
-    def archive_to(self, other: "SnapshotTable") -> None:
-        """Moves every row to ``other`` and leaves this table empty, with the same schema."""
-        other.replace(self.read())
-        self.replace(self.spark.createDataFrame([], self.schema))
-
-
-class AppendOnlyTable:
-    """The audit trail: rows can be added and read, and there is nothing else to call."""
-
-    def __init__(self, table: SnapshotTable):
-        self._table = table
-
-    def read(self) -> DataFrame:
-        return self._table.read()
-
-    def append(self, rows: DataFrame) -> None:
-        self._table.append(rows)
+from pyspark.sql import DataFrame, functions as F
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -21,9 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder where nothing is yet."""
+    return f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: later plans know its size, and
     nothing before it runs twice."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

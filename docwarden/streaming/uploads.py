@@ -1,11 +1,9 @@
 """Uploads as a file stream: the micro-batch form of the background upload task.
 
 A batch reads the new files, refuses what may not be uploaded, skips files the ledger already
-shows as completed, chunks the rest, embeds what is new or changed, and replaces the store and the
-ledger by their next snapshots. Chunk ids depend only on file hash and position, so a batch that
-is run again after a failure changes nothing that it had already written.
-
-The store is written once per batch. Trigger accordingly (``availableNow`` or long intervals)."""
+shows as completed, chunks the rest, embeds what is new or changed, and rewrites the shards of the
+store and the ledger that it touches. Chunk ids depend only on file hash and position, so a batch that
+is run again after a failure changes nothing that it had already written."""
 
 from __future__ import annotations
 
@@ -19,7 +17,7 @@ from docwarden.functions.vectors import EMBEDDING_DIM
 from docwarden.operators import chunking as C, ingest as I
 from docwarden.operators.grounding import durable
 from docwarden.sources import files as S
-from docwarden.sources.snapshots import SnapshotTable
+from docwarden.sources.stores import KeyedTable
 
 _BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
@@ -72,18 +70,22 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def ingest_uploads(
     uploads: DataFrame,
-    store: SnapshotTable,
-    ledger: SnapshotTable,
+    store: KeyedTable,
+    ledger: KeyedTable,
     embed: Callable[[list[str]], list[list[float]]],
     now: str,
+    batch_id: int,
     *,
     embedding_model: str,
     dim: int = EMBEDDING_DIM,
     pdf_pages=None,
     docx_paragraphs=None,
 ) -> DataFrame:
-    """Ingests one batch of files (``binaryFile`` rows) and returns the uploads that were refused
-    (``filename, problem``)."""
+    """Ingests one batch of files (``binaryFile`` rows) under the batch id of the stream and returns the
+    uploads that were refused (``filename, problem``). What an interrupted run of the same batch had
+    begun to put into the store or the ledger is finished first."""
+    store.finish(batch_id)
+    ledger.finish(batch_id)
     described = S.describe_files(uploads)
     described = described.withColumn("kind", S.file_kind(F.col("filename"), F.lit(None).cast("string")))
     described = described.withColumn("problem", S.upload_problem(F.col("size"), F.col("kind")))
@@ -94,22 +96,23 @@ def ingest_uploads(
     wave = one.select(
         "file_hash", "filename", S.canonical_content_type(F.col("kind")).alias("content_type"), at(now).cast("timestamp").alias("at")
     )
-    current = ledger.read()
+    current = ledger.touched(wave)
     columns = current.columns
     begun = durable(I.begin_attempts(current, wave))
     processing = begun.where(F.col("status") == "processing").select(*columns)
 
     todo = one.join(processing.select("file_hash"), "file_hash", "left_semi")
     docs, unread = document_sections(todo, pdf_pages, docx_paragraphs)
+    docs = durable(docs)
     failures = unread.unionByName(C.empty_documents(docs).select("file_hash", "failure_reason"))
     chunks = C.chunk_documents(docs, ingested_at=at(now).cast("timestamp"))
-    existing = store.read()
+    existing = store.touched(chunks)
     embedded = durable(
         I.embed_changed(I.classify_changes(chunks, existing), embed, dim=dim)
         .withColumns({"embedding_model": F.lit(embedding_model), "embedded_at": at(now).cast("timestamp")})
     )
     changed = embedded.where(F.col("outcome") != "failed").select(existing.columns)
-    store.replace(I.upsert(existing, changed))
+    store.apply(changed, batch_id)
 
     # Every chunk of a file counts, also those that were already in the store.
     outcomes = chunks.select("file_hash", "chunk_id").join(embedded.select("chunk_id", "outcome"), "chunk_id", "left").select(
@@ -118,7 +121,7 @@ def ingest_uploads(
     finished = I.finish_attempts(processing, outcomes, at(now).cast("timestamp"))
     why = failures.groupBy("file_hash").agg(F.min("failure_reason").alias("_why"))
     finished = finished.join(why, "file_hash", "left").withColumn("failure_reason", F.coalesce("_why", "failure_reason")).select(*columns)
-    ledger.replace(I.upsert(current, finished, "file_hash"))
+    ledger.apply(finished, batch_id)
     return refused
 
 

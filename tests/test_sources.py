@@ -12,7 +12,7 @@ from docwarden import schemas
 from docwarden.functions import validation as V
 from docwarden.functions.vectors import cosine_similarity, dot, invalid_vector_reason
 from docwarden.sources import files as S
-from docwarden.sources.snapshots import AppendOnlyTable, SnapshotTable
+from docwarden.sources.stores import KeyedTable
 from docwarden.streaming import uploads as U
 
 
@@ -70,25 +70,6 @@ def test_oversize_documents_are_listed_not_gathered(spark):
     assert over.first().failure_reason == "extracted text is 5000 bytes, over 1000"
 
 
-def test_snapshots(spark, tmp_path):
-    t = SnapshotTable(spark, str(tmp_path / "t"), "id int, v string")
-    assert t.read().count() == 0
-    t.replace(spark.createDataFrame([(1, "a")], t.schema))
-    t.append(spark.createDataFrame([(2, "b")], t.schema))
-    t.replace(t.read().where("id > 1").unionByName(spark.createDataFrame([(3, "c")], t.schema)))
-    assert sorted(r.id for r in t.read().collect()) == [2, 3] and t.version() == 2
-    # A writer that died before switching over leaves nothing behind.
-    spark.createDataFrame([(9, "z")], t.schema).write.parquet(f"{t.root}/v3")
-    assert sorted(r.id for r in t.read().collect()) == [2, 3]
-    archive = SnapshotTable(spark, str(tmp_path / "a"), t.schema)
-    t.archive_to(archive)
-    assert t.read().count() == 0 and archive.read().count() == 2 and t.read().columns == ["id", "v"]
-    log = AppendOnlyTable(SnapshotTable(spark, str(tmp_path / "log"), t.schema))
-    log.append(spark.createDataFrame([(1, "x")], t.schema))
-    log.append(spark.createDataFrame([(2, "y")], t.schema))
-    assert log.read().count() == 2 and {m for m in dir(log) if not m.startswith("_")} == {"read", "append"}
-
-
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -133,13 +114,13 @@ def test_upload_stream(spark, tmp_path):
     (inbox / "bad.txt").write_text("poison")
     (inbox / "x.exe").write_text("x")
     (inbox / "empty.txt").write_text("")
-    store = SnapshotTable(spark, str(tmp_path / "store"), schemas.CHUNKS)
-    ledger = SnapshotTable(spark, str(tmp_path / "ledger"), schemas.DOCUMENT_UPLOADS)
+    store = KeyedTable(spark, str(tmp_path / "store"), schemas.CHUNKS, "chunk_id")
+    ledger = KeyedTable(spark, str(tmp_path / "ledger"), schemas.DOCUMENT_UPLOADS, "file_hash", digits=1)
     refused, batches = [], []
 
     def handle(batch, batch_id):
         batches.append(batch_id)
-        out = U.ingest_uploads(batch, store, ledger, embed, "2026-01-01 00:00:00", embedding_model="m", dim=2, pdf_pages=read_pages, docx_paragraphs=read_docx)
+        out = U.ingest_uploads(batch, store, ledger, embed, "2026-01-01 00:00:00", batch_id, embedding_model="m", dim=2, pdf_pages=read_pages, docx_paragraphs=read_docx)
         refused.extend(r.filename for r in out.collect())
 
     def run():
