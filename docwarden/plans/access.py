@@ -889,6 +889,47 @@ def audit_events(spark, sf):
     )
 
 
+_ORG_CHANGED = " , ".join(
+    f"""case when {c} is distinct from lag({c}) over w then '"{c}":[' || coalesce('"' || lag({c}) over w || '"', 'null') || ',' || coalesce('"' || {c} || '"', 'null') || ']' end"""
+    for c in audit.ORG_AUDITED)
+
+
+@query("p14_a4_organization_versions", f"""
+    {with_tables('organization_versions')}
+    select org_id, "at", actor as actor_user_id, case when version = 0 then 'org.create' else 'org.update' end as action,
+        case when not privileged then 'database' when system_job is not null then 'system' else 'operator' end as source,
+        case when privileged then system_job end as system_job,
+        case when version = 0 then legal_name end as created_name,
+        case when version > 0 then '{{' || concat_ws(',', {_ORG_CHANGED}) || '}}' end as changed
+    from organization_versions window w as (partition by org_id order by "at", version)""")
+def organization_versions(spark, sf):
+    """One event per version, with old and new values."""
+    pairs = audit.with_previous(derive(spark, sf, "organization_versions"), "org_id", audit.ORG_AUDITED)
+    events = audit.version_events(pairs, "org", "organization", "org_id", audit.ORG_AUDITED, ("legal_name", "status"), F.col("org_id"))
+    d = F.col("detail")
+    return events.select("org_id", "at", "actor_user_id", "action", d["source"].alias("source"), d["system_job"].alias("system_job"),
+                         d["legal_name"].alias("created_name"), d["changed"].alias("changed"))
+
+
+@query("p14_invitation_versions", f"""
+    {with_tables('invitation_versions')},
+    v AS (select *, lag(invited_at) over (partition by invitation_id order by "at", version) as before from invitation_versions),
+    e AS (select *, coalesce(before <> invited_at, false) as renewed, case when before is null or before <> invited_at then 'invitation.create'
+        when accepted_at is not null then 'invitation.accept' when declined_at is not null then 'invitation.decline'
+        when revoked_at is not null then 'invitation.revoke' end as action from v)
+    select invitation_id, "at", action, 'database' as source, case when renewed then 'true' end as renewed,
+        case when action = 'invitation.create' then invited_user_id end as target_user_id,
+        case when action = 'invitation.revoke' then case when revoked_by = invited_by then 'true' else 'false' end end as by_sender
+    from e where action is not null""")
+def invitation_versions(spark, sf):
+    """Creations, renewals and ends of invitations, with their details."""
+    pairs = audit.with_previous(derive(spark, sf, "invitation_versions"), "invitation_id", audit.INVITATION_VERSION)
+    d = F.col("detail")
+    return audit.invitation_version_events(pairs).select(
+        F.col("object_id").alias("invitation_id"), "at", "action", d["source"].alias("source"), d["renewed"].alias("renewed"),
+        d["target_user_id"].alias("target_user_id"), d["by_sender"].alias("by_sender"))
+
+
 @query("j11_w5_grants_from_invitations", f"""
     {with_tables('invitations')} select 'm-' || invitation_id as object_id, invited_user_id as actor_user_id,
         first_value(invitation_id) over (partition by org_id, invited_user_id, role, invited_by, accepted_at order by invited_at desc, invitation_id desc) as invitation_id

@@ -97,6 +97,30 @@ SQL = {
             case when event_id % 7 = 3 then ts + interval 3 day end as revoked_at,
             case when event_id % 7 = 3 then {_user('(user_id + event_id % 2)')} end as revoked_by
         from {{events}}""",
+    # Changes of organizations: two within an hour, two at one moment (the version orders them).
+    "organization_versions": f"""
+        select {_org('s_suppkey')} as org_id, v as version,
+            case when v >= 1 and s_suppkey % 3 = 0 then s_name || ' Ltd' else s_name end as legal_name,
+            case when v < 2 or s_suppkey % 2 = 0 then 'Office' end as display_name,
+            case when v >= 3 and s_suppkey % 5 = 0 then 'closed' else 'active' end as status,
+            case when s_suppkey % 4 = 0 then 'bill' end as billing_account_id,
+            case v when 0 then TIMESTAMP_NTZ '1994-06-01 00:00:00' when 1 then TIMESTAMP_NTZ '1994-06-01 00:20:00'
+                else TIMESTAMP_NTZ '1994-06-03 00:00:00' end as at,
+            case when v < 3 then {_user('s_nationkey')} end as actor,
+            v >= 2 as privileged, case when v = 3 then 'close-organizations' when v = 1 then 'not privileged' end as system_job
+        from (select *, explode(sequence(0, 3)) as v from {{supplier}}) as s""",
+    # Changes of invitations: some are renewed, then answered or not.
+    "invitation_versions": f"""
+        select 'i-' || event_id as invitation_id, {_org('(event_id % 50 + 1)')} as org_id, v as version, 'contributor' as role,
+            {_user('user_id')} as invited_user_id, {_user('(event_id % 9)')} as invited_by,
+            case when v >= 1 and event_id % 3 = 0 then ts + interval 1 day else ts end as invited_at,
+            case when v = 2 and event_id % 4 = 0 then ts + interval 2 day end as accepted_at,
+            case when v = 2 and event_id % 4 = 1 then ts + interval 2 day end as declined_at,
+            case when v = 2 and event_id % 4 = 2 then ts + interval 2 day end as revoked_at,
+            case when v = 2 and event_id % 4 = 2 then {_user('(event_id % 9 + event_id % 8 - 2)')} end as revoked_by,
+            case v when 0 then ts when 1 then ts + interval 1 day else ts + interval 2 day end as at,
+            {_user('(event_id % 9)')} as actor, false as privileged, cast(null as string) as system_job
+        from (select *, explode(sequence(0, 2)) as v from {{events}}) as e""",
     "requests": f"""
         select 'r-' || {_LINE_KEY} as command_id,
             case when l_linenumber = 7 and l_returnflag = 'A' then null else {_user('o_custkey')} end as actor,
