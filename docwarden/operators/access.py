@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docwarden.functions.temporal import at
 from docwarden.functions.validation import ROLES
+from docwarden.operators.ranking import ranked
 from docwarden.schemas import PRINCIPAL_COLUMNS
 
 # Roles that satisfy a question about an organization.
@@ -183,43 +184,41 @@ def list_organizations(state: AccessState, user_id: str, is_platform_admin: bool
 
 
 def list_member_organizations(state: AccessState) -> DataFrame:
-    """Everyone's own organizations, by name."""
+    """Everyone's own organizations; ``rank`` orders each person's by name."""
     orgs = state.organizations.select(*ORG_COLUMNS)
-    return member_organizations(state).join(orgs, "org_id").orderBy("user_id", "legal_name", "org_id")
+    return ranked(member_organizations(state).join(orgs, "org_id"), "user_id", [F.col("legal_name"), F.col("org_id")])
 
 
 def list_members(state: AccessState) -> DataFrame:
-    """Current memberships of every organization, by e-mail and role."""
+    """Current memberships; ``rank`` orders those of an organization by e-mail, role and id."""
     people = state.users.select("user_id", "email", "display_name")
     current = state.memberships.where(F.col("revoked_at").isNull())
-    return current.select("org_id", "membership_id", "user_id", "role", "granted_at").join(people, "user_id").orderBy(
-        "org_id", "email", "role"
-    )
+    listed = current.select("org_id", "membership_id", "user_id", "role", "granted_at").join(people, "user_id")
+    return ranked(listed, "org_id", [F.col("email"), F.col("role"), F.col("membership_id")])
 
 
 def list_support_grants(state: AccessState) -> DataFrame:
-    """Support grants of every organization, newest first."""
+    """Support grants; ``rank`` orders those of an organization, newest first."""
     people = state.users.select(F.col("user_id").alias("support_user_id"), "email")
     columns = ["org_id", "grant_id", "support_user_id", "reason", "starts_at", "expires_at", "revoked_at"]
-    return state.support_grants.select(*columns).join(people, "support_user_id").orderBy(
-        "org_id", F.col("starts_at").desc(), "grant_id"
-    )
+    listed = state.support_grants.select(*columns).join(people, "support_user_id")
+    return ranked(listed, "org_id", [F.col("starts_at").desc(), F.col("grant_id")])
 
 
 def list_open_invitations(state: AccessState, as_of) -> DataFrame:
-    """Open invitations of every organization, newest first. ``stale`` marks those whose sender
+    """Open invitations; ``rank`` orders those of an organization, newest first. ``stale`` marks those whose sender
     could no longer hand out the role, so that they cannot be accepted."""
     opened = state.invitations.where(invitation_is_open(as_of))
     invitee = state.users.select(F.col("user_id").alias("invited_user_id"), "email")
     sender = state.users.select(F.col("user_id").alias("invited_by"), F.col("email").alias("invited_by_email"))
     judged = with_authority(opened, authority(state), "invited_by", "_by")
-    return (
+    listed = (
         judged.withColumn("stale", ~grants_role("_by", F.col("role")))
         .join(invitee, "invited_user_id")
         .join(sender, "invited_by")
         .select("org_id", "invitation_id", "email", "role", "invited_by_email", "invited_at", "expires_at", "stale")
-        .orderBy("org_id", F.col("invited_at").desc(), "invitation_id")
     )
+    return ranked(listed, "org_id", [F.col("invited_at").desc(), F.col("invitation_id")])
 
 
 def readable_by(listing: DataFrame, state: AccessState, user_id: str, roles=ADMIN) -> DataFrame:
@@ -231,18 +230,18 @@ def readable_by(listing: DataFrame, state: AccessState, user_id: str, roles=ADMI
 
 
 def list_my_invitations(state: AccessState, as_of) -> DataFrame:
-    """Invitations that wait for a person, in active organizations, newest first."""
+    """Invitations that wait for a person, in active organizations; ``rank`` orders each person's, newest first."""
     opened = state.invitations.where(invitation_is_open(as_of))
     orgs = state.organizations.where(F.col("status") == "active").select("org_id", F.col("legal_name").alias("org_legal_name"))
     sender = state.users.select(
         F.col("user_id").alias("invited_by"), F.coalesce("display_name", "email").alias("invited_by_name")
     )
-    return (
+    listed = (
         opened.join(orgs, "org_id")
         .join(sender, "invited_by")
-        .orderBy("invited_user_id", F.col("invited_at").desc(), "invitation_id")
         .select("invited_user_id", "invitation_id", "org_legal_name", "role", "invited_by_name", "invited_at", "expires_at")
     )
+    return ranked(listed, "invited_user_id", [F.col("invited_at").desc(), F.col("invitation_id")])
 
 
 def other_admin_counts(state: AccessState) -> DataFrame:

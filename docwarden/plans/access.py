@@ -102,20 +102,20 @@ def visible_organizations(spark, sf):
 
 
 @query("p16_t2_member_organizations", f"""
-    {_base()} select a.user_id, o.org_id, o.legal_name, o.display_name, o.status, o.created_at from auth a join organizations o on o.org_id = a.org_id""")
+    {_base()} select a.user_id, o.org_id, o.legal_name, o.display_name, o.status, o.created_at, row_number() over (partition by a.user_id order by o.legal_name, o.org_id) as rank from auth a join organizations o on o.org_id = a.org_id""")
 def member_organizations(spark, sf):
     return A.list_member_organizations(state(spark, sf))
 
 
 @query("p16_j3_members", f"""
-    {with_tables('users', 'memberships')} select m.org_id, m.membership_id, m.user_id, m.role, m.granted_at, u.email, u.display_name
+    {with_tables('users', 'memberships')} select m.org_id, m.membership_id, m.user_id, m.role, m.granted_at, u.email, u.display_name, row_number() over (partition by m.org_id order by u.email, m.role, m.membership_id) as rank
     from memberships m join users u on u.user_id = m.user_id where m.revoked_at is null""")
 def members(spark, sf):
     return A.list_members(state(spark, sf))
 
 
 @query("p16_j4_support_grants", f"""
-    {with_tables('users', 'support_grants')} select g.org_id, g.grant_id, g.support_user_id, g.reason, g.starts_at, g.expires_at, g.revoked_at, u.email
+    {with_tables('users', 'support_grants')} select g.org_id, g.grant_id, g.support_user_id, g.reason, g.starts_at, g.expires_at, g.revoked_at, u.email, row_number() over (partition by g.org_id order by g.starts_at desc, g.grant_id) as rank
     from support_grants g join users u on u.user_id = g.support_user_id""")
 def support_grants(spark, sf):
     return A.list_support_grants(state(spark, sf))
@@ -124,7 +124,7 @@ def support_grants(spark, sf):
 @query("p16_j5_org_invitations", f"""
     {_base('invitations')} select i.org_id, invitation_id, u.email, i.role, s.email as invited_by_email, invited_at, expires_at,
         not exists (select 1 from active a where a.org_id = i.org_id and a.user_id = i.invited_by
-            and (a.role = 'org_admin' or (i.role <> 'org_admin' and a.role = 'point_person'))) as stale
+            and (a.role = 'org_admin' or (i.role <> 'org_admin' and a.role = 'point_person'))) as stale, row_number() over (partition by i.org_id order by invited_at desc, invitation_id) as rank
     from invitations i join users u on u.user_id = i.invited_user_id join users s on s.user_id = i.invited_by
     where {_OPEN} and expires_at > {_NOW}""")
 def org_invitations(spark, sf):
@@ -133,7 +133,7 @@ def org_invitations(spark, sf):
 
 @query("p16_j6_my_invitations", f"""
     {with_tables('users', 'organizations', 'invitations')}
-    select i.invited_user_id, invitation_id, o.legal_name as org_legal_name, i.role, coalesce(s.display_name, s.email) as invited_by_name, invited_at, expires_at
+    select i.invited_user_id, invitation_id, o.legal_name as org_legal_name, i.role, coalesce(s.display_name, s.email) as invited_by_name, invited_at, expires_at, row_number() over (partition by i.invited_user_id order by invited_at desc, invitation_id) as rank
     from invitations i join organizations o on o.org_id = i.org_id join users s on s.user_id = i.invited_by
     where o.status = 'active' and {_OPEN} and expires_at > {_NOW}""")
 def my_invitations(spark, sf):

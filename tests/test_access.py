@@ -202,9 +202,9 @@ def test_answering_invitations(spark):
 def test_stale_flag_and_lists(spark):
     s = world(spark, [("o1", "a", "org_admin"), ("o1", "b", "point_person")], [
         ("i1", "o1", "c", "contributor", "b", NOW - DAY, None), ("i2", "o1", "c", "org_admin", "b", NOW - 2 * DAY, None), ("i3", "o2", "c", "contributor", "a", NOW - DAY, None)])
-    assert [(r.invitation_id, r.stale) for r in A.list_open_invitations(s, AS_OF).collect()] == [("i1", False), ("i2", True), ("i3", True)]
-    assert [(r.invitation_id, r.invited_by_name) for r in A.list_my_invitations(s, AS_OF).collect()] == [("i1", "b@example.org"), ("i2", "b@example.org")]
-    assert [(r.email, r.role) for r in A.list_members(s).collect()] == [("a@example.org", "org_admin"), ("b@example.org", "point_person")]
+    assert [(r.invitation_id, r.stale) for r in A.list_open_invitations(s, AS_OF).orderBy("org_id", "rank").collect()] == [("i1", False), ("i2", True), ("i3", True)]
+    assert [(r.invitation_id, r.invited_by_name) for r in A.list_my_invitations(s, AS_OF).orderBy("invited_user_id", "rank").collect()] == [("i1", "b@example.org"), ("i2", "b@example.org")]
+    assert [(r.email, r.role) for r in A.list_members(s).orderBy("org_id", "rank").collect()] == [("a@example.org", "org_admin"), ("b@example.org", "point_person")]
 
 
 def test_reading_needs_a_role(spark):
