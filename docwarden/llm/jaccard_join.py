@@ -17,7 +17,8 @@ document and kept in bit filters of a fixed size; the order alone depends on it,
 
 *Verify.* Pairs are tested on the folded sketches, then on the sets themselves (64-bit hashes).
 
-Pairs of a key are not all made. In STAR_ROUNDS rounds a document meets only the few documents of other
+Bits that the same documents hold are one key (``_keys``), so a shared passage is met once, not once per
+shingle. Pairs of a key are not all made. In STAR_ROUNDS rounds a document meets only the few documents of other
 components that most of its keys offer; verified links are contracted to components. Then the keys that
 still hold two components give the remaining pairs, all of them, across components only.
 """
@@ -179,6 +180,20 @@ _FITS = (
 )
 
 
+def _keys(bits: DataFrame) -> DataFrame:
+    """Key rows (key, doc_id, n, place) from rows (doc_id, n, place, bit), without bits of one document.
+
+    Bits that the same documents hold, as those of one shared passage, become one key: the sum of the
+    hashes of its documents, with the first place that a document has for it. Sizes and first places let
+    through every pair that one of the bits does, and so do two sets of documents whose sums are equal."""
+    by_bit = Window.partitionBy("bit")
+    held = bits.withColumns({
+        "first": F.min("doc_id").over(by_bit), "last": F.max("doc_id").over(by_bit),
+        "key": F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).over(by_bit),
+    })
+    return held.filter("first < last").groupBy("key", "doc_id", "n").agg(F.min("place").alias("place"))
+
+
 def _placed(members: DataFrame, stars: DataFrame) -> DataFrame:
     """Key rows with the component (``part``) of their document."""
     return members.join(stars.select(F.col("a").alias("doc_id"), F.col("b").alias("part")), "doc_id", "left").withColumn(
@@ -189,9 +204,9 @@ def _meetings(placed: DataFrame) -> DataFrame:
     """Candidate pairs (a, b): for each document the MEETINGS documents of other components that most of
     its keys offer it. A key offers the first document of its first component, and to that component the
     last of its last."""
-    by_bit, one = Window.partitionBy("bit"), F.struct("part", "doc_id", "n", "place")
+    by_key, one = Window.partitionBy("key"), F.struct("part", "doc_id", "n", "place")
     offered = (
-        placed.withColumn("low", F.min(one).over(by_bit)).withColumn("high", F.max(one).over(by_bit)).filter("low.part < high.part")
+        placed.withColumn("low", F.min(one).over(by_key)).withColumn("high", F.max(one).over(by_key)).filter("low.part < high.part")
         .select("doc_id", F.struct("n", "place").alias("own"), F.when(F.col("part") == F.col("low.part"), F.col("high")).otherwise(F.col("low")).alias("other"))
         .filter(_FITS.format("own", "other")).groupBy("doc_id", F.col("other.doc_id").alias("b")).count()
     )
@@ -219,25 +234,22 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     copied = written(known.select(F.col("doc_id").alias("a"), *digest).join(same, digest).filter("a <> b").distinct(), "copies")
     copies = copied.select("a", "b").distinct()
 
-    by_bit = Window.partitionBy("bit")
     # Only the copied set leaves: other texts under the same id keep their keys.
     alone = known.join(copied.select(F.col("a").alias("doc_id"), *digest), ["doc_id", *digest], "left_anti")
-    keys = alone.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("bits").alias("place", "bit"))
-    members = written(
-        keys.withColumn("first", F.min("doc_id").over(by_bit)).withColumn("last", F.max("doc_id").over(by_bit)).filter("first < last").drop("first", "last"),
-        "members",
-    )
+    bits = alone.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("bits").alias("place", "bit"))
+    members = written(_keys(bits), "members")
     stars = copies
     for _ in range(STAR_ROUNDS):
         placed = _placed(members, stars)
         links = _verified(_meetings(placed), signatures, texts, shingle)
         stars = components(stars.union(links)).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
 
-    low, high = F.min("part").over(by_bit), F.max("part").over(by_bit)
+    by_key = Window.partitionBy("key")
+    low, high = F.min("part").over(by_key), F.max("part").over(by_key)
     mixed_keys = written(_placed(members, stars).withColumn("low", low).withColumn("high", high).filter("low < high").drop("low", "high"), "mixed")
     x, y = mixed_keys.alias("x"), mixed_keys.alias("y")
     rest = (
-        x.join(y, (F.col("x.bit") == F.col("y.bit")) & F.expr("x.doc_id < y.doc_id and x.part <> y.part") & F.expr(_FITS.format("x", "y")))
+        x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.doc_id < y.doc_id and x.part <> y.part") & F.expr(_FITS.format("x", "y")))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     )
     more = _verified(rest, signatures, texts, shingle)
