@@ -4,13 +4,16 @@ Base measures (words, repeats, symbols, lines) come from one pass over the texts
 are made of them. For every (language, source) and every language a quantile sketch is kept of each
 rate: a histogram with logarithmic bins (``SUB`` bins per doubling, so a relative error of at most
 1 / SUB, as in HDR histograms), which is a sum over rows and so merges in any order and grouping, with
-the same result every time. From the sketches come the fences: median plus ``SPREAD`` times the way
-from median to upper quartile, but never less than a floor under which a rate says nothing. Sketches
-replace fixed cutoffs: a source whose normal texts are tables gets fences for tables. The fences are
-joined back; a document beyond one of them goes.
+the same result every time. From the sketches come the fences: above the median by
+``SPREAD`` times the way to the upper quartile, or by a multiple of the way to a tail quantile (``RATES``),
+whichever is more. There is no fixed cutoff: a source whose normal texts are tables gets fences for tables.
 
-A group of fewer than ``LEAST`` documents uses its language's fences; one of fewer in its language, those
-of all documents.
+The fences of n documents are drawn toward those of the coarser group with a weight of ``PRIOR`` documents:
+those of a (language, source) toward its language's, those of a language toward those of all documents. So
+a small group has fences near its language's, and there is no size at which the rule changes.
+
+A document is judged by what its counts show at least (``_LEAST``: less two deviations of a count and 2),
+so that one symbol in a short text is no evidence. Beyond one of its group's fences it goes.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwarden.llm.durable import written
 from docwarden.llm.words import blocks, record_batch, windows, word_hashes
 
 #: Base rules (fixed values of the contract): fewer words than this, or a larger share of repeats in percent.
 LEAST_WORDS, MOST_REPEATS = 50, 50
-SUB, SPREAD, LEAST = 32, 6, 100
-#: Rates in thousandths (of words; of lines; of characters) with the floors of their fences.
-FLOORS = {"symbol_rate": 40, "repeat_rate": 400, "line_rate": 500, "length_rate": 9_000}
+SUB, SPREAD, PRIOR = 32, 6, 30
+#: Rates in thousandths (of characters, words, lines, and characters per word): tail quantile in percent, and
+#: how many times the way to it from the median makes a fence.
+RATES = {"symbol_rate": (95, 2), "repeat_rate": (95, 5), "line_rate": (95, 5), "length_rate": (90, 4)}
 
 _MEASURES = pa.schema([
     ("row_key", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
@@ -37,6 +42,8 @@ _MEASURES = pa.schema([
 _MEASURES_DDL = (
     "row_key long, doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 )
+#: What a count shows at least. SQL text.
+_LEAST = "greatest({0} - 2L * cast(ceil(sqrt({0})) as long) - 2L, 0L)"
 _SYMBOLS = b"#*$%&|<>"
 _CONTINUED = bytes(range(0x80, 0xC0))  # bytes that do not begin a code point
 _BLANK = b" \t\n\r\x0b\x0c"
@@ -78,8 +85,10 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _row_key():
-    """The same for equal rows only; rows may share an id, or have none."""
-    return F.xxhash64("doc_id", "lang", "source", "text")
+    """The same for equal rows only; rows may share an id, or have none. (Hashes pass over nulls, so these
+    are marked.)"""
+    columns = ("doc_id", "lang", "source", "text")
+    return F.xxhash64(*columns, *[F.isnull(c) for c in columns])
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -91,6 +100,10 @@ def measures(docs: DataFrame) -> DataFrame:
         "repeat_rate": per("n_repeat_words", "greatest(n_words, 1L)"),
         "line_rate": per("n_dup_lines", "greatest(n_lines, 1L)"),
         "length_rate": per("word_chars", "greatest(n_words, 1L)"),
+        "symbol_least": per(_LEAST.format("n_symbols"), "greatest(word_chars, 1L)"),
+        "repeat_least": per(_LEAST.format("n_repeat_words"), "greatest(n_words, 1L)"),
+        "line_least": per(_LEAST.format("n_dup_lines"), "greatest(n_lines, 1L)"),
+        "length_least": per("word_chars", "greatest(n_words, 1L)"),
         "base_failed": F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATS} * n_words"),
     })
 
@@ -108,7 +121,7 @@ def _upper(column: str) -> str:
 
 def sketches(measured: DataFrame, *groups: str) -> DataFrame:
     """(groups..., rate, bin, n): the sketches of the rates of rows that pass the base rules."""
-    rates = F.expr("stack({}, {}) as (rate, value)".format(len(FLOORS), ", ".join(f"'{r}', {r}" for r in FLOORS)))
+    rates = F.expr("stack({}, {}) as (rate, value)".format(len(RATES), ", ".join(f"'{r}', {r}" for r in RATES)))
     return (
         measured.filter("not base_failed").select(*groups, rates).withColumn("bin", F.expr(_bin("value")).cast("long"))
         .groupBy(*groups, "rate", "bin").agg(F.count("*").alias("n"))
@@ -121,39 +134,48 @@ def merged(parts: DataFrame, *groups: str) -> DataFrame:
 
 
 def fences(sketch: DataFrame, *groups: str) -> DataFrame:
-    """(groups..., n_docs, and a fence for each rate) from sketches."""
+    """(groups..., n_docs, and a fence for each rate) from sketches, of each group by itself."""
     by = Window.partitionBy(*groups, "rate")
+    tail = F.expr("case rate {} end".format(" ".join(f"when '{r}' then {q}" for r, (q, _) in RATES.items())))
+    times = F.expr("case rate {} end".format(" ".join(f"when '{r}' then {k}" for r, (_, k) in RATES.items())))
     at = lambda share: F.max(F.when((F.col("before") * 100 < F.col("total") * share) & (F.col("upto") * 100 >= F.col("total") * share), F.expr(_upper("bin"))))
     quantiles = (
         sketch.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("before", F.col("upto") - F.col("n")).withColumn("total", F.sum("n").over(by))
-        .groupBy(*groups, "rate").agg(F.max("total").alias("n_docs"), at(50).alias("middle"), at(75).alias("upper"))
-        .withColumn("fence", F.col("middle") + SPREAD * (F.col("upper") - F.col("middle")))
+        .groupBy(*groups, "rate").agg(F.max("total").alias("n_docs"), at(F.lit(50)).alias("middle"), at(F.lit(75)).alias("upper"), at(tail).alias("tail"))
+        .withColumn("fence", F.col("middle") + F.greatest(SPREAD * (F.col("upper") - F.col("middle")), times * (F.col("tail") - F.col("middle"))))
     )
     return quantiles.groupBy(*groups).agg(
-        F.max("n_docs").alias("n_docs"),
-        *[F.greatest(F.lit(floor), F.max(F.when(F.col("rate") == rate, F.col("fence")))).alias(f"{rate}_fence") for rate, floor in FLOORS.items()],
-    )
+        F.max("n_docs").alias("n_docs"), *[F.max(F.when(F.col("rate") == rate, F.col("fence"))).alias(f"{rate}_fence") for rate in RATES])
+
+
+def group_fences(measured: DataFrame) -> DataFrame:
+    """(lang, source, and a fence for each rate): one row per group that has a document which passes the base
+    rules; own fences, drawn toward the language's, and these toward those of all documents."""
+    fine = sketches(measured, "lang", "source")
+    middle = merged(fine, "lang")
+    # One row, of the sketch of all documents.
+    whole = fences(merged(middle))
+
+    def drawn(own: DataFrame, coarse: DataFrame, on: list, keep: list[str]) -> DataFrame:
+        toward = coarse.select(*[F.col(c).alias(f"coarse_{c}") for c in coarse.columns if c != "n_docs"])
+        joined = own.join(toward if on else F.broadcast(toward), on or F.lit(True))
+        weighed = [F.expr(f"(n_docs * {r}_fence + {PRIOR}L * coarse_{r}_fence) div (n_docs + {PRIOR}L)").alias(f"{r}_fence") for r in RATES]
+        return joined.select(*keep, *weighed)
+
+    languages = drawn(fences(middle, "lang"), whole, [], ["lang"])
+    return drawn(fences(fine, "lang", "source"), languages, [F.col("lang").eqNullSafe(F.col("coarse_lang"))], ["lang", "source"])
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang, source): row_key, the base measures, base_failed, kept, and
     the fences that applied. A null language or source is a group of its own, as in GROUP BY. Null and
     blank texts have no words and fail the base rules. Repeated rows count as often as they occur. Extra
-    columns are ignored; with no row that passes the base rules there are no fences and nothing is kept."""
-    measured = measures(docs)
-    fine = sketches(measured, "lang", "source")
-    middle = merged(fine, "lang")
-    levels = [fences(fine, "lang", "source"), fences(middle, "lang"), fences(merged(middle))]
-    names = [f"{r}_fence" for r in FLOORS]
-    for k, level in enumerate(levels):
-        groups = ("lang", "source")[: 2 - k]
-        renamed = level.select(*[F.col(g).alias(f"of_{g}") for g in groups], F.col("n_docs").alias(f"docs_{k}"), *[F.col(n).alias(f"{n}_{k}") for n in names])
-        # A group is (language, source), so its fences are one row; the whole's are a single row.
-        on = [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups] or [F.lit(True)]
-        measured = measured.join(renamed if groups else F.broadcast(renamed), on, "left").drop(*[f"of_{g}" for g in groups])
-    for n in names:
-        measured = measured.withColumn(n, F.expr(f"case when docs_0 >= {LEAST} then {n}_0 when docs_1 >= {LEAST} then {n}_1 else {n}_2 end"))
-    inside = " and ".join(f"{r} <= {r}_fence" for r in FLOORS)
+    columns are ignored. A group in which no row passes the base rules has no fences, and nothing of it is kept."""
+    measured = written(measures(docs), "measures")
+    names = [f"{r}_fence" for r in RATES]
+    limits = group_fences(measured).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    measured = measured.join(limits, [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in ("lang", "source")], "left")
+    inside = " and ".join(f"{r.replace('_rate', '_least')} <= {r}_fence" for r in RATES)
     return measured.withColumn("kept", F.expr(f"coalesce(not base_failed and {inside}, false)")).select(
         "row_key", "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *names)
 

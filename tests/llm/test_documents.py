@@ -1,6 +1,7 @@
 """Language identification, quality rules, secret scan, decontamination."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -75,6 +76,26 @@ def test_fences_follow_source_and_sketches_merge(frame):
     assert {tuple(r) for r in quality.merged(fine, "lang").collect()} == direct
 
 
+def test_groups_decide_their_fences(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality.judged(docs).filter("not base_failed").collect()
+    names = [f"{r}_fence" for r in quality.RATES]
+    fences = {(r.lang, r.source): tuple(r[n] for n in names) for r in got}
+    assert len(set(fences.values())) > len(fences) // 2
+    for k in range(len(names)):
+        assert len({f[k] for f in fences.values()}) > 10
+    # Of documents with equal measures some are kept and some go, by their group.
+    least = lambda n: max(0, n - 2 * math.ceil(math.sqrt(n)) - 2)
+    over = {r.doc_id: [f for f in fences.values() if 1000 * least(r.n_symbols) // r.word_chars > f[0] or 1000 * r.word_chars // r.n_words > f[3]] for r in got}
+    assert sum(0 < len(o) < len(fences) for o in over.values()) > 10 and {r.kept for r in got} == {True, False}
+
+
+def test_null_groups_are_told_apart(frame):
+    words = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, words, None, "x"), (1, words, "x", None)]
+    assert len({r.row_key for r in quality.judged(frame(rows)).collect()}) == 2
+
+
 BASE = {
     "assign": (re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),

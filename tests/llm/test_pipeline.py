@@ -29,11 +29,15 @@ def upper(value):
 
 
 def kept_by_rules(rows):
-    rates, failed = {}, {}
+    """A model of the quality rules that sorts values instead of merging sketches."""
+    rates, least, failed = {}, {}, {}
+    sure = lambda n: max(0, n - 2 * math.ceil(math.sqrt(n)) - 2)
     for doc_id, text, *_ in rows:
         words, chars, symbols, dup, repeats, bad = base_measures(text)
         lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
-        rates[doc_id] = (1000 * symbols // max(chars, 1), 1000 * repeats // max(words, 1), 1000 * dup // max(lines, 1), 1000 * chars // max(words, 1))
+        of = [(symbols, chars), (repeats, words), (dup, lines)]
+        rates[doc_id] = (*[1000 * n // max(d, 1) for n, d in of], 1000 * chars // max(words, 1))
+        least[doc_id] = (*[1000 * sure(n) // max(d, 1) for n, d in of], 1000 * chars // max(words, 1))
         failed[doc_id] = bad
     groups = defaultdict(list)
     for doc_id, _, lang, source, _ in rows:
@@ -42,20 +46,17 @@ def kept_by_rules(rows):
                 groups[g].append(rates[doc_id])
 
     def fences(g):
-        columns = list(zip(*groups[g]))
-        out = []
-        for values, floor in zip(columns, quality.FLOORS.values()):
-            ordered = sorted(values)
-            mid, high = (upper(ordered[math.ceil(len(ordered) * q / 100) - 1]) for q in (50, 75))
-            out.append(max(floor, mid + quality.SPREAD * (high - mid)))
+        columns, out = list(zip(*groups[g])), []
+        coarse = fences(g[:-1]) if g else None
+        for k, (values, (tail, times)) in enumerate(zip(columns, quality.RATES.values())):
+            ordered, n = sorted(values), len(values)
+            mid, high, far = (upper(ordered[-(-n * q // 100) - 1]) for q in (50, 75, tail))
+            own = mid + max(quality.SPREAD * (high - mid), times * (far - mid))
+            out.append((n * own + quality.PRIOR * coarse[k]) // (n + quality.PRIOR) if g else own)
         return out
 
-    kept = []
-    for row in rows:
-        g = next(g for g in ((row[2], row[3]), (row[2],), ()) if len(groups[g]) >= quality.LEAST or g == ())
-        if not failed[row[0]] and all(r <= f for r, f in zip(rates[row[0]], fences(g))):
-            kept.append(row)
-    return kept
+    limits = {g: fences(g) for g in groups if len(g) == 2}
+    return [r for r in rows if not failed[r[0]] and all(x <= f for x, f in zip(least[r[0]], limits[r[2], r[3]]))]
 
 
 def holds(text, item):
