@@ -11,7 +11,8 @@ mostly links: in the same container element as content, or between content or af
 in an element around it, or in an element of the same tag path between those that hold it.
 
 Elements whose names, classes or roles say that they are something else (menus, notices, adverts, forms,
-comments and the like) are left out first, unless they hold much text (``_strong``).
+comments and the like) are left out first, however much text they hold. Only where no sentence stands
+outside of such elements is a name overruled, and only a name that layouts use too (``_innermost``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,9 +28,8 @@ from pyspark.sql import DataFrame
 
 from docwarden.llm.words import record_batch
 
-#: Shares of the largest fused ratio that a content path reaches smoothed and by itself; and the text of an
-#: element that counts whatever its name: characters, and their share of the page (fixed values).
-SMOOTHED, ALONE, MUCH, MUCH_SHARE = 0.5, 0.4, 280, 0.25
+#: Shares of the largest fused ratio that a content path reaches smoothed and by itself (fixed values).
+SMOOTHED, ALONE = 0.5, 0.4
 #: Element names and name parts of classes, ids and roles (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -47,10 +47,23 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that belong to the text around them, and those that hold paragraphs.
 PARTS = frozenset("blockquote caption center dd details dl dt fieldset figcaption figure header hr li menu ol optgroup option p pre summary table tbody td tfoot th thead tr ul br address".split()) | HEADINGS
 CONTAINERS = BLOCKS - PARTS | {"td", "th", "li", "blockquote"}
+#: Parts of names that say it wherever they stand.
 ELSEWHERE_PARTS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
-    "footer gdpr login menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies respond "
-    "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget alert complementary contentinfo dialog".split()
+    "adsense advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
+    "nav navbar navigation newsletter pagination popup promo promoted replies respond sidebar signup sponsored subscribe complementary contentinfo".split()
+)
+#: Parts that say it alone or with parts that only tell a box's shape or place.
+COMMON_PARTS = frozenset(
+    "ad ads alert banner dialog login menu modal notice pager related search share sharing social sponsor toolbar widget".split()
+)
+SHAPES = frozenset(
+    "area bar block bottom box btn button buttons card cards col column container content form group header icons inner item items left link links list "
+    "main outer page panel post posts articles stories right row section site slot tools top unit wrap wrapper".split()
+)
+#: Of these, those that are never overruled: layouts are not named after them.
+FIRM_PARTS = frozenset(
+    "ad ads adsense advert adverts advertisement advertising comment comments consent cookie cookies disqus footer gdpr nav navbar navigation "
+    "replies respond complementary contentinfo".split()
 )
 HEADS = frozenset(("header", "masthead"))
 
@@ -71,47 +84,72 @@ _EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text",
 _EXTRACTED_DDL = "page_id long, url string, text string, n_chars long, n_paths long, n_content_paths long"
 
 
-def _elsewhere(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element says that it is not the page's text. ``inside``: of an article or main."""
+def _elsewhere(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element says that it is not the page's text, and whether nothing overrules that.
+    ``inside``: of an article or main."""
     if name in ("html", "body", "article", "main") or name in HEADINGS:
-        return False
+        return False, False
     if name in ELSEWHERE or (name == "header" and not inside):
-        return True
+        return True, name != "form"  # some sites put the whole page into a form
+    said = firm = False
     for kind, *values in _NAMED.findall(attributes):
-        parts = {p.lower() for p in _PART.split("".join(values)) if p}
-        names = ELSEWHERE_PARTS if inside else ELSEWHERE_PARTS | HEADS
-        # Ids are often made of headings ("related-work"), so all their parts must say it.
-        if parts and (parts <= names if kind.lower() == "id" else parts & names):
-            return True
-    return False
+        # A class attribute holds several names; an id or a role is one.
+        for one in "".join(values).split() if kind.lower() == "class" else ["".join(values)]:
+            parts = {p.lower() for p in _PART.split(one) if p and not p.isdigit()}
+            plain = ELSEWHERE_PARTS if inside else ELSEWHERE_PARTS | HEADS
+            told = parts & (plain | COMMON_PARTS)
+            # Ids are often made of headings ("related-work"), so all their parts must say it.
+            if told and (parts <= told | SHAPES or kind.lower() != "id" and parts & plain):
+                said, firm = True, firm or bool(told & FIRM_PARTS)
+    return said, firm
 
 
 class _Element:
-    """An open or closed element, with the characters of text below it outside and inside of links."""
+    """An open or closed element. ``path`` is the number of its tag path in the page; ``elsewhere`` the innermost
+    element, itself or around it, that says it is not the page's text."""
 
-    __slots__ = ("name", "above", "path", "never", "elsewhere", "inside", "link", "block", "container", "scope", "prose", "linked", "weak")
+    __slots__ = ("name", "above", "path", "heading", "never", "elsewhere", "firm", "inside", "link", "block", "container", "scope", "parts", "sentences", "below")
 
-    def __init__(self, name: str, attributes: str, above: _Element | None):
+    def __init__(self, name: str, attributes: str, above: _Element | None, paths: dict):
         self.name, self.above = name, above
-        self.path = (*above.path, name) if above else ()
+        self.path = paths.setdefault((above.path if above else -1, name), len(paths))
+        self.heading = bool(above) and (above.heading or name in HEADINGS)
         self.inside = bool(above) and (above.inside or above.name in ("article", "main"))
         self.never = bool(above) and (above.never or name in NEVER or bool(attributes and _HIDDEN.search(attributes)))
-        self.elsewhere = bool(above) and _elsewhere(name, attributes, self.inside)
+        said, self.firm = _elsewhere(name, attributes, self.inside) if above else (True, False)
+        self.elsewhere = self if said else above.elsewhere
         self.link = bool(above) and (above.link or name == "a")
         self.block = self if not above or name in BLOCKS else above.block
         self.container = self if not above or name in CONTAINERS else above.container
         # Where its text stands: the innermost container that is not itself a part, as a list's item is.
         self.scope = self if not above or name in CONTAINERS and name not in PARTS else above.scope
-        self.prose = self.linked = 0
-        self.weak: bool | None = None
+        # Of an element that says it: those that say it below it, and characters of sentences in it, and in all of them.
+        self.parts: list[_Element] = []
+        self.sentences = self.below = 0
+
+
+def _innermost(root: _Element, said: list[_Element]) -> set[_Element]:
+    """The elements whose own text is the page's: the root, and where no sentence stands outside of elements
+    that say they are something else, the one of these with most, and so on inwards."""
+    for e in reversed(said):
+        e.below += e.sentences
+        if not e.firm:
+            e.above.elsewhere.parts.append(e)
+            e.above.elsewhere.below += e.below
+    taken, at = {root}, root
+    while not at.sentences and any(p.below for p in at.parts):
+        at = max(reversed(at.parts), key=lambda p: p.below)
+        taken.add(at)
+    return taken
 
 
 def _nodes(page: str) -> list[tuple[_Element, str, int, bool]]:
     """Text nodes in page order: innermost element, text, its characters, and whether a block border
     stands before it."""
     found: list[tuple] = []
-    root = _Element("", "", None)
-    stack, opened = [root], []
+    paths: dict[tuple, int] = {}
+    root = _Element("", "", None, paths)
+    stack, said, open_names = [root], [], Counter()
     border, at = True, 0
 
     def text(upto: int) -> None:
@@ -123,8 +161,11 @@ def _nodes(page: str) -> list[tuple[_Element, str, int, bool]]:
             border = False
 
     def close(names: set[str], until: set[str]) -> None:
+        if not any(open_names[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
+                open_names.subtract(e.name for e in stack[k:])
                 del stack[k:]
                 return
             if stack[k].name in until:
@@ -147,42 +188,24 @@ def _nodes(page: str) -> list[tuple[_Element, str, int, bool]]:
             if name in SIBLINGS:
                 close(*SIBLINGS[name])
             if name not in VOID:
-                stack.append(_Element(name, m[4] if m[3] else m[7], stack[-1]))
-                opened.append(stack[-1])
+                stack.append(_Element(name, m[4] if m[3] else m[7], stack[-1], paths))
+                open_names[name] += 1
+                if stack[-1].elsewhere is stack[-1]:
+                    said.append(stack[-1])
     text(len(page))
-    for element, _, size, _ in found:
-        if not element.never:
-            element.prose, element.linked = (element.prose, element.linked + size) if element.link else (element.prose + size, element.linked)
-    for element in reversed(opened):
-        element.above.prose += element.prose
-        element.above.linked += element.linked
-    whole = root.prose
+    for element, content, size, _ in found:
+        if not (element.never or element.link or element.heading) and _PUNCTUATION.search(content):
+            element.elsewhere.sentences += size
+    own = _innermost(root, said)
     left, pending = [], False
     for element, content, size, border in found:
         pending = pending or border
-        if not element.never and not _weak(element, whole):
+        if not element.never and element.elsewhere in own:
             left.append((element, content, size, pending))
             pending = False
     return left
 
 
-def _strong(element: _Element, whole: int) -> bool:
-    """Whether an element holds so much text, not mostly links, that its name does not count."""
-    return element.prose >= MUCH and element.prose >= MUCH_SHARE * whole and element.prose >= 3 * element.linked
-
-
-def _weak(element: _Element, whole: int) -> bool:
-    """Whether an element, or one around it, says that it is elsewhere and holds too little to be the text."""
-    open_ones = []
-    while element and element.weak is None:
-        open_ones.append(element)
-        element = element.above
-    weak = bool(element) and element.weak
-    for e in reversed(open_ones):
-        weak = e.weak = weak or e.elsewhere and not _strong(e, whole)
-    return weak
-
-
 def _content_paths(nodes: list[tuple]) -> tuple[set, int]:
     """Paths, with their containers, whose fused ratios pass; and the number of paths."""
     sums: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, 0])
@@ -239,7 +262,7 @@ def extract_text(page: str) -> tuple[str, int, int]:
     for element, k in ends.items():
         spans[element][1] = k
     for k, run in enumerate(runs):
-        if scopes[k] in spans and sparse[k] and not HEADINGS.isdisjoint(run[0][0].path):
+        if scopes[k] in spans and sparse[k] and run[0][0].heading:
             spans[scopes[k]][0] = min(spans[scopes[k]][0], k)
     own = {scopes[k] for k in range(len(runs)) if taken[k]}
     shapes = {(scopes[k].above and scopes[k].above.scope, runs[k][0][0].path) for k in range(len(runs)) if taken[k]}

@@ -1,5 +1,7 @@
 """HTML extraction, URL filter, packing, sharding."""
 
+import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -120,3 +122,52 @@ LINKS = "".join(f"<div><a href=/{k}>Topic {k}</a></div>" for k in range(9))
 ])
 def test_paths_decide_page_texts(page, text):
     assert html_extract.extract_text(page)[0] == text
+
+
+def test_names_hold_whatever_the_size():
+    article = "<p>The harbour town grew over two centuries, and its markets, once small, fed the coast.</p>" * 4
+    remarks = "<p>Great read, thanks for posting it, I have been there twice, and loved it very much.</p>" * 9
+    want = " ".join(["Harbour", *["The harbour town grew over two centuries, and its markets, once small, fed the coast."] * 4])
+    for other in (
+        f"<section class='comments'>{remarks}</section></article>", f"<div id=comments class=comment-list>{remarks}</div></article>",
+        f"<aside class=sidebar>{remarks}</aside></article>", f"</article><div class='post-comments'>{remarks}</div>", f"</article><footer>{remarks}</footer>",
+        f"</article><div class='related-posts'>{remarks}</div>", f"<div class='ad-slot-12'>{remarks}</div></article>",
+    ):
+        assert html_extract.extract_text(f"<html><body><nav><a href=/>Home</a></nav><article><h1>Harbour</h1>{article}{other}</body></html>")[0] == want, other
+
+
+def test_names_that_only_look_like_others():
+    for name in ("post social-science", "search-and-rescue", "alert-design-essay", "shared-history"):
+        assert html_extract.extract_text(f"<html><body><div class='{name}'><p>A short post, with few words.</p></div></body></html>")[0] == "A short post, with few words.", name
+    # A layout named after its sidebar holds all sentences; the sidebar in it does not count.
+    page = "<div class='content-sidebar-wrap'><div class=entry><p>First part, long enough.</p><p>Second part, as long.</p></div><div class=sidebar><p>Aside, too.</p></div></div>"
+    assert html_extract.extract_text(page)[0] == "First part, long enough. Second part, as long."
+    # Comments and footers are never the text, even where nothing else is.
+    assert html_extract.extract_text("<h1></h1><div class=comments><p>Nice, thanks.</p></div><footer><p>All rights, reserved.</p></footer>")[0] == ""
+
+
+def test_generated_pages_against_their_own_articles():
+    """Pages are put together from parts, so the text is known: that of the parts that belong to the article."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeioubcdfgklmnrst") for _ in range(rng.randrange(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randrange(9, 16))).capitalize() + ", " + word() + "."
+    for _ in range(60):
+        blocks = [" ".join(sentence() for _ in range(rng.randrange(2, 5))) for _ in range(rng.randrange(3, 9))]
+        tagged = [f"<p>{b}</p>" for b in blocks]
+        noise = [
+            f"<div class='{rng.choice(['comments', 'comment-list', 'sidebar', 'newsletter-box', 'related-posts', 'share-bar', 'cookie-notice'])}'>"
+            + "".join(f"<p>{sentence()}</p>" for _ in range(rng.randrange(1, 12))) + "</div>" for _ in range(3)
+        ] + [f"<aside><p>{sentence()}</p></aside>", f"<!-- {sentence()} --><script>{sentence()}</script>", f"<form>{sentence()}<input></form>"]
+        for part in noise:
+            tagged.insert(rng.randrange(len(tagged) + 1), part)
+        title = word().capitalize()
+        outside = f"<nav><ul>{''.join(f'<li><a href=/{word()}>{word()}</a></li>' for _ in range(9))}</ul></nav>"
+        page = f"<html><body>{outside}<article><h1>{title}</h1>{''.join(tagged)}</article><footer><p>{sentence()}</p></footer></body></html>"
+        assert html_extract.extract_text(page)[0] == " ".join([title, *blocks])
+
+
+def test_hostile_pages_take_linear_time():
+    start = time.process_time()
+    assert html_extract.extract_text("<div>" * 100_000 + "deep, text.")[0] == "deep, text."
+    html_extract.extract_text("<b>" * 100_000 + "</i>" * 100_000)
+    assert time.process_time() - start < 15
