@@ -2,19 +2,21 @@
 
 The retrieved passages of a question travel on its row as ``chunks array<struct<chunk_id,
 chunk_text>>``. Retrieval bounds them by its pool and token budget, so validation is a narrow
-projection. Python appears twice: for strict JSON parsing and for the model call."""
+projection. Python appears twice: for strict JSON parsing and for the model call. Both take rows a
+hundred at a time and only the column they read: Arrow would hand a worker ten thousand prompts at once."""
 
 from __future__ import annotations
 
 import json
 import tempfile
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from docwarden.sources.tables import written
+
 # Answers, support rule and its stop words.
 NOT_IN_CORPUS_ANSWER = (
     "This isn't addressed in the available corpus — no retrieved source "
@@ -103,12 +105,11 @@ def _parse_reply(content: str | None) -> tuple:
     return None, _clean(answer), flag, labels
 
 
-@F.pandas_udf(_PARSED)
-def parse_reply(content: pd.Series) -> pd.DataFrame:
+@F.udf(returnType=_PARSED, useArrow=False)
+def parse_reply(content: str | None) -> tuple:
     """Strict JSON reading. Spark's own JSON functions coerce types (a number becomes a string)
     and accept trailing text, so they cannot tell a valid reply from an invalid one."""
-    names = ["problem", "answer", "not_in_corpus", "citations"]
-    return pd.DataFrame([_parse_reply(c) for c in content], columns=names).astype(object)
+    return _parse_reply(content)
 
 
 def validate_replies(replies: DataFrame, stopwords: tuple[str, ...] = SUPPORT_STOPWORDS) -> DataFrame:
@@ -119,7 +120,8 @@ def validate_replies(replies: DataFrame, stopwords: tuple[str, ...] = SUPPORT_ST
     in vain, in order) and ``rejected`` (the same with reasons, without ids dropped only because
     the reply said it had no answer). A row without passages is answered without a model."""
     asked = F.size("chunks") > 0
-    parsed = replies.withColumn("_p", F.when(asked, parse_reply("content")))
+    # Not to be worked out again by every expression that reads it, which Spark may do with what is deterministic.
+    parsed = replies.withColumn("_p", parse_reply.asNondeterministic()(F.when(asked, F.col("content")))).withColumn("_p", F.when(asked, F.col("_p")))
 
     def is_known(cited):
         return cited["is_string"] & F.exists("chunks", lambda c: c["chunk_id"] == cited["value"])
@@ -216,25 +218,24 @@ class RetryPolicy:
         return "rate_limited" if isinstance(exc, RateLimited) else "timeout" if isinstance(exc, TimeoutError) else "call_failed"
 
 
+_REPLY = T.StructType([T.StructField(n, T.StringType()) for n in ("content", "call_error", "call_kind")])
+
+
 def call_model(rows: DataFrame, model: Callable[[list[dict]], str], policy: RetryPolicy = RetryPolicy()) -> DataFrame:
     """Adds ``content``, ``call_error`` and its kind by calling ``model`` with each row's ``messages``
-    (``array<struct<role, content>>``) in the tasks."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            content, errors, kinds = [], [], []
-            for messages in frame["messages"]:
-                try:
-                    content.append(policy.call(model, [dict(m) for m in messages]))
-                    errors.append(None)
-                    kinds.append(None)
-                except Exception as exc:
-                    content.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
-                    kinds.append(policy.kind(exc))
-            yield frame.assign(content=content, call_error=errors, call_kind=kinds)
-
-    added = [T.StructField(n, T.StringType()) for n in ("content", "call_error", "call_kind")]
-    return rows.mapInPandas(run, T.StructType(rows.schema.fields + added))
+    (``array<struct<role, content>>``) in the tasks. A row without messages is not a call. Only the
+    messages go to Python."""
+    @F.udf(returnType=_REPLY, useArrow=False)
+    def call(messages) -> tuple:
+        if messages is None:
+            return None, None, None
+        try:
+            return policy.call(model, [m.asDict() for m in messages]), None, None
+        except Exception as exc:
+            return None, f"{type(exc).__name__}: {exc}", policy.kind(exc)
+
+    replied = rows.withColumn("_reply", call.asNondeterministic()("messages"))
+    return replied.select(*rows.columns, "_reply.*")
 
 
 def _message(role: str, content: Column) -> Column:
@@ -264,45 +265,47 @@ def generate_answers(
 ) -> DataFrame:
     """Answers ``questions(query_id, question, chunks)``. Rows without passages never reach the
     model. Ungrounded answers, and only those, are asked again with the rejected citations named;
-    invalid replies are not."""
+    invalid replies are not.
+
+    Returns ``query_id, question`` and the columns of the call and of :func:`validate_replies`. A
+    question's prompts, replies and checks follow each other in one task, and only the results are
+    written down, once: passages and prompts, which are many times their size, are neither stored
+    nor returned."""
     system = _message("system", F.lit(system_prompt))
     first = _message("user", user_message(F.col("question"), F.col("chunks")))
-    base = questions.select("query_id", "question", "chunks", F.array(system, first).alias("messages"))
-    results = [validate_replies(
-        base.where(F.size("chunks") == 0)
-        .withColumns({n: F.lit(None).cast("string") for n in ("content", "call_error")})
-    )]
-    pending = base.where(F.size("chunks") > 0)
-    for attempt in range(1, max_grounding_attempts + 1):
-        replied = durable(call_model(pending, model, policy))
-        checked = validate_replies(replied).withColumn(
-            "status", F.coalesce("call_kind", "status")
-        ).drop("call_kind")
-        if attempt == max_grounding_attempts:
-            results.append(checked)
-            break
-        results.append(checked.where(F.col("status") != "ungrounded"))
-        again = checked.where(F.col("status") == "ungrounded")
+    asked = F.when(F.size("chunks") > 0, F.array(system, first))
+    rows = _checked(questions.select("query_id", "question", "chunks", asked.alias("messages")), model, policy)
+    for _ in range(1, max_grounding_attempts):
         note = F.replace(F.lit(correction), F.lit("{rejection_lines}"), rejection_lines(F.col("rejected")))
-        pending = again.select("query_id", "question", "chunks", F.concat(
-            "messages", F.array(_message("assistant", F.col("content")), _message("user", note))
-        ).alias("messages"))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.drop("messages")
-
-
-def answer_questions(retrieved: DataFrame, questions: DataFrame, passages: DataFrame, model, **options) -> DataFrame:
-    """Retrieval results to answers: gathers each question's passages in rank order and generates.
-    ``retrieved`` comes from :func:`docwarden.operators.retrieval.retrieve`; ``passages(chunk_id,
-    chunk_text)``."""
-    wanted = durable(retrieved.where(F.col("chunk_id").isNotNull()).select("query_id", "rank", "chunk_id"))
+        further = F.concat("messages", F.array(_message("assistant", F.col("content")), _message("user", note)))
+        rows = _checked(rows.select(
+            "query_id", "question", "chunks", F.when(F.col("status") == "ungrounded", further).alias("messages"), F.struct(*_RESULT).alias("_before"),
+        ), model, policy)
+        again = F.col("messages").isNotNull()
+        rows = rows.select("query_id", "question", "chunks", "messages", *(F.when(again, F.col(c)).otherwise(F.col(f"_before.{c}")).alias(c) for c in _RESULT))
+    return written(rows.drop("chunks", "messages"), "answers")
+
+
+_RESULT = ("content", "call_error", "status", "problem", "answer", "citations", "dropped", "rejected")
+
+
+def _checked(rows: DataFrame, model: Callable[[list[dict]], str], policy: RetryPolicy) -> DataFrame:
+    checked = validate_replies(call_model(rows, model, policy))
+    return checked.withColumn("status", F.coalesce("call_kind", "status")).drop("call_kind")
+
+
+def answer_questions(retrieved: DataFrame, questions: DataFrame, passages: DataFrame, model, *, shared_by: str = "query_id", **options) -> DataFrame:
+    """Retrieval results to answers: gathers passages in rank order and generates. ``retrieved`` comes
+    from :func:`docwarden.operators.retrieval.retrieve`; ``passages(chunk_id, chunk_text)``.
+
+    ``shared_by`` is the column of ``questions`` whose values ``retrieved`` has as ``query_id``: texts
+    are gathered and written once for all questions that share a value, and meet them at the call."""
+    wanted = written(retrieved.where(F.col("chunk_id").isNotNull()).select("query_id", "rank", "chunk_id"), "wanted")
     text = passages.join(wanted, "chunk_id")
     ordered = F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "chunk_text")))
-    packed = text.groupBy("query_id").agg(
+    packed = text.groupBy(F.col("query_id").alias(shared_by)).agg(
         F.transform(ordered, lambda c: F.struct(c["chunk_id"].cast("string").alias("chunk_id"), c["chunk_text"].alias("chunk_text"))).alias("chunks")
     )
-    asked = questions.join(packed, "query_id", "left")
+    asked = questions.join(written(packed, "contexts"), shared_by, "left")
     empty = F.array().cast("array<struct<chunk_id: string, chunk_text: string>>")
-    return generate_answers(durable(asked.withColumn("chunks", F.coalesce("chunks", empty))), model, **options)
+    return generate_answers(asked.withColumn("chunks", F.coalesce("chunks", empty)), model, **options)

@@ -1,6 +1,7 @@
 """Reply validation cases with their expected outcomes, and the two-pass generation."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,16 @@ def test_answering_end_to_end(spark):
     got = {r.query_id: r for r in out.collect()}
     assert got[1].status == "ok" and got[1].citations == ["b", "a"]
     assert got[2].status == "not_in_corpus" and got[2].answer == G.NOT_IN_CORPUS_ANSWER
+
+
+def test_python_gets_few_rows_at_once_and_no_passages_are_stored(spark, monkeypatch):
+    """Arrow would hand a worker up to 10,000 prompts at once, whatever their size."""
+    passages = [("c1", "w" * 200_000)]
+    questions = spark.createDataFrame(
+        [(n, "q", passages) for n in range(20)], "query_id int, question string, chunks array<struct<chunk_id: string, chunk_text: string>>")
+    called = G.call_model(questions.selectExpr("query_id", "array(named_struct('role', 'user', 'content', question)) as messages"), lambda m: "x")
+    plan = called._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "MapInPandas" not in plan
+    answers = G.generate_answers(questions, lambda m: reply("fine", ["nope" if len(m) == 2 else "c1"]), system_prompt="s", correction="{rejection_lines}")
+    assert [r.status for r in answers.collect()] == ["ok"] * 20
+    assert sum(os.path.getsize(f.removeprefix("file:")) for f in answers.inputFiles()) < 200_000
