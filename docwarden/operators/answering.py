@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docwarden.functions import text as X
 from docwarden.functions.vectors import EMBEDDING_DIM, invalid_vector_reason
 from docwarden.operators import retrieval as R
-from docwarden.operators.grounding import RetryPolicy, answer_questions, durable
+from docwarden.operators.grounding import RetryPolicy, answer_questions
+from docwarden.sources.tables import written
+
+_EMBEDDED = T.StructType([T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("failure", T.StringType())])
 
 
 def embed_questions(
@@ -24,7 +26,10 @@ def embed_questions(
         .when(F.length("question") > X.EMBEDDING_MAX_CHARS, "question_too_long")
     ).alias("status"))
 
-    def answer(question: str) -> tuple:
+    @F.udf(returnType=_EMBEDDED, useArrow=False)
+    def answer(question: str | None) -> tuple:
+        if question is None:
+            return None, None
         try:
             return [float(x) for x in policy.call(embed, [question])[0]], None
         except (TypeError, ValueError, IndexError):
@@ -32,12 +37,9 @@ def embed_questions(
         except Exception as exc:
             return None, policy.kind(exc)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [(None, s) if s else answer(q) for q, s in zip(frame["question"], frame["status"])]
-            yield frame.assign(status=[s for _, s in done], embedding=[v for v, _ in done])
-
-    embedded = asked.mapInPandas(run, T.StructType([*asked.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
+    called = F.when(F.col("status").isNull(), F.col("question"))
+    embedded = asked.withColumn("_answer", answer.asNondeterministic()(called)).select(
+        "query_id", "question", F.coalesce("status", "_answer.failure").alias("status"), F.col("_answer.embedding").alias("embedding"))
     wrong = F.col("status").isNull() & invalid_vector_reason(F.col("embedding"), dim).isNotNull()
     return embedded.withColumns({
         "status": F.when(wrong, "invalid_embedding").otherwise(F.col("status")), "embedding": F.when(~wrong, F.col("embedding")),
@@ -60,11 +62,15 @@ def answer_query(
     the model and checks its citations (:func:`grounding.generate_answers` with the options ``generation``).
 
     One row per question, with a status for each that could not be embedded as well. Neither texts nor
-    passages pass through the driver. Vectors are materialised before they are used, so that no question is
-    embedded once per use."""
-    embedded = durable(embed_questions(questions, embed, dim=dim, policy=policy))
+    passages pass through the driver. Vectors are written down before they are used, so that no question is
+    embedded once per use. Passages depend on the vector alone: each distinct one is searched once, and its
+    passages are gathered once for all its questions."""
+    embedded = embed_questions(questions, embed, dim=dim, policy=policy).withColumn("_vector", F.sha2(F.col("embedding").cast("string"), 256))
+    embedded = written(embedded, "embedded")
     fit = embedded.where(F.col("status").isNull())
-    found = R.retrieve(fit.select("query_id", "embedding"), corpus.select("chunk_id", "embedding", "est_tokens"), **(retrieval or {}))
-    answers = answer_questions(found, fit.select("query_id", "question"), corpus.select("chunk_id", "chunk_text"), model, policy=policy, **generation)
+    vectors = fit.groupBy(F.col("_vector").alias("query_id")).agg(F.any_value("embedding").alias("embedding"))
+    found = R.retrieve(vectors, corpus.select("chunk_id", "embedding", "est_tokens"), **(retrieval or {}))
+    answers = answer_questions(
+        found, fit.select("query_id", "question", "_vector"), corpus.select("chunk_id", "chunk_text"), model, shared_by="_vector", policy=policy, **generation)
     failed = embedded.where(F.col("status").isNotNull()).select("query_id", "question", "status")
     return answers.unionByName(failed, allowMissingColumns=True)

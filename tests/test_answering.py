@@ -46,3 +46,18 @@ def test_no_questions_and_no_passages(spark):
     assert answering.answer_query(questions.limit(0), corpus(spark), embed, model, **OPTIONS).count() == 0
     (row,) = answering.answer_query(questions, corpus(spark).limit(0), embed, model, **OPTIONS).collect()
     assert row.status == "not_in_corpus"
+
+
+def test_questions_with_one_vector_share_a_search(spark, monkeypatch):
+    asked = []
+    retrieve = answering.R.retrieve
+
+    def counted(queries, *args, **options):
+        asked.append(queries.count())
+        return retrieve(queries, *args, **options)
+
+    monkeypatch.setattr(answering.R, "retrieve", counted)
+    questions = spark.range(60).selectExpr("id as query_id", "concat(if(id % 3 = 0, 'bread ', 'stars '), id) as question")
+    got = answering.answer_query(questions, corpus(spark), embed, model, **OPTIONS).collect()
+    assert asked == [2] and len(got) == 60
+    assert all((r.status, r.citations) == (("ok", ["a"]) if r.query_id % 3 == 0 else ("not_in_corpus", [])) for r in got)
