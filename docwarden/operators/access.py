@@ -62,21 +62,24 @@ def platform_admins(users: DataFrame) -> DataFrame:
     return active_users(users).where("is_platform_admin")
 
 
-def active_memberships(state: AccessState) -> DataFrame:
+def active_memberships(state: AccessState, roles=None) -> DataFrame:
     """Memberships that count: not revoked, of an enabled person who is not a platform admin, in
-    an active organization."""
+    an active organization; with ``roles``, only those, and no others are exchanged."""
     people = active_users(state.users).where(~F.col("is_platform_admin")).select("user_id")
     orgs = state.organizations.where(F.col("status") == "active").select("org_id")
     current = state.memberships.where(F.col("revoked_at").isNull())
+    if roles is not None:
+        current = current.where(F.col("role").isin(*roles))
     return current.join(people, "user_id", "left_semi").join(orgs, "org_id", "left_semi")
 
 
-def authority(state: AccessState) -> DataFrame:
+def authority(state: AccessState, roles=None) -> DataFrame:
     """One row per (organization, person) with an active membership: ``is_admin``, ``is_inviter``
-    (admin or point person); presence means member."""
+    (admin or point person); presence means member. A caller that asks for admins or inviters alone
+    names their ``roles``; presence then says nothing of other roles."""
     def holds(roles):
         return F.bool_or(F.col("role").isin(*roles))
-    return active_memberships(state).groupBy("org_id", "user_id").agg(
+    return active_memberships(state, roles).groupBy("org_id", "user_id").agg(
         holds(ADMIN).alias("is_admin"), holds(INVITERS).alias("is_inviter")
     )
 

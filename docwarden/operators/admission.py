@@ -10,11 +10,17 @@ At one clock counts only grow, and the cap over all organizations bounds what a
 commands that could still write after what is already written, and takes those that do not stand in each
 other's way. It ends when no command could write. All other commands, any number, are then judged in one
 pass beside the few that wrote. Every wave writes something or is the last, so there are at most as many
-waves as the cap allows writes, whatever the size of the batch."""
+waves as the cap allows writes, whatever the size of the batch.
+
+Waves go through the first commands of the batch before they go through all of it, since a large batch
+fills the cap over all organizations early. A command after that place is refused by a cap whomever it
+invites, so persons, accounts and open invitations are looked up for those before it alone. Commands meet
+the rights of their (organization, actor) in one exchange; those are worked out per distinct pair."""
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
@@ -22,14 +28,16 @@ from docwarden.functions import validation as V
 from docwarden.functions.temporal import at, days
 from docwarden.functions.text import stable_id
 from docwarden.operators import caps
-from docwarden.operators.access import AccessState, invitation_is_open
+from docwarden.operators.access import INVITERS, AccessState, authority, invitation_is_open, with_authority, with_person
 from docwarden.operators.commands import (
-    ACCOUNT_NEEDED, CHECK, INPUT, MAX_GRANT_DAYS, PRIVILEGE, gate, refusal_of,
+    ACCOUNT_NEEDED, CHECK, INPUT, MAX_GRANT_DAYS, PRIVILEGE, gate_rules, refusal_of,
 )
-from docwarden.operators.grounding import durable
+from docwarden.sources.tables import written as stored
 
 #: Commands that one wave looks at.
 WAVE = 64
+#: The first commands are looked at in so many blocks of so many, before all that are left.
+BLOCKS, BLOCK = 4, 8192
 
 _WRITE = T.StructType([
     T.StructField(n, t) for n, t in (
@@ -47,41 +55,120 @@ def admit(commands: DataFrame, state: AccessState, as_of) -> DataFrame:
     Adds the columns of :func:`commands.invite`: ``accepted``, the refusal, ``invited_email``, ``result``
     (``created``, ``renewed``; ``existing`` writes nothing), ``invitation_id``, ``invited_user_id``,
     ``new_user``, ``expires_at``. Commands without a ``seq`` come first."""
-    facts = durable(_facts(commands, state, as_of))
-    written = _written(facts, as_of)
-    return _judged(facts, written, as_of).select(
+    recent = _recent(state, as_of)
+    placed = commands.withColumns({
+        "_place": F.struct(F.col("seq").cast("string").alias("seq"), F.col("command_id").cast("string").alias("command_id")),
+        "invited_email": V.normalized_email(F.coalesce("email", F.lit(""))), "_account": F.lower("account_id"),
+    })
+    written = _all_written(placed, state, recent, as_of)
+    closing = _closing(written, recent[2])
+    early = F.col("_early").isNotNull()
+    if closing is None:
+        undecided, decided = placed, _gated(placed, state, recent).where(early)
+    else:
+        undecided, decided = placed.where(F.col("_place") <= closing), _gated(placed, state, recent).where(early | (F.col("_place") > closing))
+    facts = _facts(_fit(undecided, state, recent, closing is not None), state, as_of)
+    judged = _judged(facts, written, as_of).unionByName(_judged(_without_facts(decided, facts), written, as_of))
+    return judged.select(
         *commands.columns, F.col("_refusal").isNull().alias("accepted"), F.col("_refusal.code").alias("refusal_code"),
         F.col("_refusal.reason").alias("refusal_reason"), "invited_email", *(
             F.when(F.col("_refusal").isNull(), F.col(f"_{c}")).alias(c) for c in ("result", "invitation_id", "invited_user_id", "new_user", "expires_at")),
     )
 
 
-def _facts(commands: DataFrame, state: AccessState, as_of) -> DataFrame:
-    """What does not depend on the rest of the batch, one row per command."""
+def _recent(state: AccessState, as_of) -> tuple[DataFrame, DataFrame, int]:
+    """Invitations of the last day by organization, by sender and overall, written so that joins know how few there are."""
+    by_org = caps.recent_counts(state.invitations, as_of, "org_id").withColumnRenamed("recent", "_org_recent")
+    by_sender = caps.recent_counts(state.invitations, as_of, "invited_by").select(F.col("invited_by").alias("actor"), F.col("recent").alias("_sender_recent"))
+    by_org = stored(by_org, "recent-org")
+    return by_org, stored(by_sender, "recent-sender"), by_org.agg(F.coalesce(F.sum("_org_recent"), F.lit(0))).first()[0]
+
+
+def _gated(placed: DataFrame, state: AccessState, recent: tuple) -> DataFrame:
+    """What depends on actor, organization and role alone: the counts before the batch, and ``_early``, the refusal."""
+    pairs = placed.select("org_id", "actor").distinct()
+    pairs = with_authority(with_person(pairs, state.users, "actor", "_me"), authority(state, INVITERS), "actor", "_me")
+    zero = F.lit(0).cast("long")
+    facts = pairs.join(recent[0], "org_id", "left").join(recent[1], "actor", "left").select(
+        F.col("org_id").alias("_pair_org"), F.col("actor").alias("_pair_actor"), "_me_active", "_me_platform", "_me_admin", "_me_inviter",
+        F.coalesce("_org_recent", zero).alias("_org_recent"), F.coalesce("_sender_recent", zero).alias("_sender_recent"))
+    j = placed.join(facts, F.col("org_id").eqNullSafe(F.col("_pair_org")) & F.col("actor").eqNullSafe(F.col("_pair_actor")))
+    return j.select(
+        *placed.columns, "_org_recent", "_sender_recent", F.lit(recent[2]).cast("long").alias("_all_recent"), refusal_of(gate_rules()[:-3]).alias("_early"))
+
+
+def _fit(placed: DataFrame, state: AccessState, recent: tuple, few: bool) -> DataFrame:
+    """The commands that are not refused early. Of ``few`` commands, only memberships of their organizations are read further."""
+    if few:
+        placed = stored(placed, "commands")
+        state = replace(state, memberships=_of_same_organizations(state.memberships, placed))
+    return stored(_gated(placed, state, recent).where(F.col("_early").isNull()), "fit")
+
+
+def _of_same_organizations(rows: DataFrame, commands: DataFrame) -> DataFrame:
+    return rows.join(commands.select("org_id").distinct(), "org_id", "left_semi")
+
+
+def _facts(fit: DataFrame, state: AccessState, as_of) -> DataFrame:
+    """Person, account and open invitation of each command, which do not depend on the rest of the batch."""
     people = state.users.select(F.col("email").alias("invited_email"), F.col("user_id").alias("_target"))
     accounts = state.users.select(F.col("cognito_sub").alias("_account"), F.lit(True).alias("_account_taken"))
     mine = state.users.select(F.col("user_id").alias("actor"), F.col("email").alias("_my_email"))
-    opened = state.invitations.where(invitation_is_open()).groupBy("org_id", F.col("invited_user_id").alias("_target"), "role").agg(
+    opened = _of_same_organizations(state.invitations.where(invitation_is_open()), fit).groupBy("org_id", F.col("invited_user_id").alias("_target"), "role").agg(
         F.max_by(F.struct("invitation_id", "expires_at", "invited_at", "invited_by"), F.struct("invited_at", "invitation_id")).alias("_open"))
-    j = commands.withColumns({"invited_email": V.normalized_email(F.coalesce("email", F.lit(""))), "_account": F.lower("account_id")})
-    j = j.join(people, "invited_email", "left").join(mine, "actor", "left").join(accounts, "_account", "left").join(opened, ["org_id", "_target", "role"], "left")
-    j, rules = gate(j, state, as_of)
+    j = fit.join(people, "invited_email", "left").join(mine, "actor", "left").join(accounts, "_account", "left").join(opened, ["org_id", "_target", "role"], "left")
     wrong_input = [
         (~V.valid_email(F.col("invited_email")), INPUT, "that is not a valid email address"),
         (~V.valid_display_name(F.col("display_name"), V.CONTROL), INPUT, "that name is not acceptable"),
         (F.col("invited_email") == F.col("_my_email"), PRIVILEGE, "you cannot invite yourself"),
     ]
-    zero = F.lit(0).cast("long")
     return j.select(
-        *commands.columns, "invited_email", "_account", "_target", "_open",
-        F.struct(F.col("seq").cast("string").alias("seq"), F.col("command_id").cast("string").alias("command_id")).alias("_place"),
-        *(F.coalesce(c, zero).alias(c) for c in ("_org_recent", "_sender_recent", "_all_recent")),
+        *fit.columns, "_target", "_open",
         F.coalesce(F.btrim("account_id") == "", F.lit(True)).alias("_no_account"), F.coalesce(F.col("_account").rlike(V.UUID), F.lit(False)).alias("_account_valid"),
-        F.coalesce("_account_taken", F.lit(False)).alias("_account_taken"), refusal_of(rules[:-3]).alias("_early"), refusal_of(wrong_input).alias("_wrong"),
+        F.coalesce("_account_taken", F.lit(False)).alias("_account_taken"), refusal_of(wrong_input).alias("_wrong"),
         F.coalesce(F.col("_open.invited_at") > at(as_of) - F.expr(f"INTERVAL {caps.CAP_HOURS} HOUR"), F.lit(False)).alias("_open_recent"),
     )
 
 
+def _without_facts(decided: DataFrame, facts: DataFrame) -> DataFrame:
+    """Commands whose refusal does not depend on :func:`_facts`, with its columns empty."""
+    return decided.select(*decided.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema if f.name not in decided.columns))
+
+
+def _after(place) -> Column:
+    return F.struct(F.lit(place["seq"]).cast("string").alias("seq"), F.lit(place["command_id"]).cast("string").alias("command_id"))
+
+
+def _closing(written: list[Row], recent: int) -> Column | None:
+    """The place behind which the cap over all organizations is full; None if it does not fill."""
+    counted = [w for w in written if w["moved_from"] is None]
+    if recent >= caps.GLOBAL_CAP:
+        return F.struct(F.lit(None).cast("string").alias("seq"), F.lit(None).cast("string").alias("command_id"))
+    return _after(counted[caps.GLOBAL_CAP - recent - 1]["place"]) if len(counted) >= caps.GLOBAL_CAP - recent else None
+
+
+def _all_written(placed: DataFrame, state: AccessState, recent: tuple, as_of) -> list[Row]:
+    """The commands that write, in order, block by block until the cap over all is full, then from all others."""
+    written: list[Row] = []
+    rest = placed
+    for n in range(BLOCKS + 1):
+        if _closing(written, recent[2]) is not None:
+            return written
+        few = n < BLOCKS
+        if few:
+            block = stored(rest.orderBy("_place").limit(BLOCK), "block")
+            last = block.agg(F.count("*").alias("n"), F.max("_place").alias("place")).first()
+            if not last["n"]:
+                return written
+        facts = stored(_facts(_fit(block if few else rest, state, recent, few), state, as_of), "facts")
+        written = _written(facts, written, as_of)
+        if few and last["n"] < BLOCK:
+            return written
+        if few:
+            rest = placed.where(F.col("_place") > _after(last["place"]))
+    return written
+
+
 def _literal(written: list[Row]) -> Column:
     def value(v, kind):
         if isinstance(kind, T.StructType):
@@ -132,15 +219,16 @@ def _judged(facts: DataFrame, written: list[Row], as_of) -> DataFrame:
     })
 
 
-def _written(facts: DataFrame, as_of) -> list[Row]:
-    """The commands that write, in order. At most ``GLOBAL_CAP`` of them can, except that a renewal
-    within a day of its first sending takes no new place; such a one ends its wave."""
-    written: list[Row] = []
+def _written(facts: DataFrame, before: list[Row], as_of) -> list[Row]:
+    """``before`` and the commands of ``facts``, which come after them, that write, in order. At most
+    ``GLOBAL_CAP`` of all can, except that a renewal within a day of its first sending takes no new place;
+    such a one ends its wave."""
+    written = list(before)
     after = None
     while True:
-        could = _judged(facts.where(F.col("_early").isNull()), written, as_of).where(F.col("_refusal").isNull() & (F.col("_result") != "existing"))
+        could = _judged(facts, written, as_of).where(F.col("_refusal").isNull() & (F.col("_result") != "existing"))
         if after is not None:
-            could = could.where(F.col("_place") > F.struct(F.lit(after["seq"]).alias("seq"), F.lit(after["command_id"]).alias("command_id")))
+            could = could.where(F.col("_place") > _after(after))
         rows = could.orderBy("_place").select(
             F.col("_place").alias("place"), "org_id", "actor", "role", F.col("invited_email").alias("email"), F.col("_account").alias("account"),
             F.col("_invited_user_id").alias("user_id"), F.col("_new_user").alias("new_user"), F.col("_invitation_id").alias("invitation_id"),

@@ -286,7 +286,11 @@ def gate(j: DataFrame, state: AccessState, as_of) -> tuple[DataFrame, list]:
     )
     overall = caps.recent(state.invitations, as_of).agg(F.count("*")).scalar()
     j = j.join(by_org, "org_id", "left").join(by_sender, "actor", "left").withColumn("_all_recent", overall)
-    rules = [
+    return j, gate_rules()
+
+
+def gate_rules() -> list:
+    return [
         (F.col("actor").isNull(), PRIVILEGE, NO_ACTOR),
         (~F.col("_me_active") | F.col("_me_platform"), PRIVILEGE, MAY_NOT_INVITE),
         (~V.valid_role(F.col("role")), INPUT, "unknown role"),
@@ -295,7 +299,6 @@ def gate(j: DataFrame, state: AccessState, as_of) -> tuple[DataFrame, list]:
         (F.col("_sender_recent") >= caps.SENDER_CAP, *caps.REFUSALS["sender"]),
         (F.col("_all_recent") >= caps.GLOBAL_CAP, *caps.REFUSALS["global"]),
     ]
-    return j, rules
 
 
 def invitation_gate(commands: DataFrame, state: AccessState, as_of) -> DataFrame:

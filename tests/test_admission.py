@@ -127,6 +127,28 @@ def test_batches_equal_one_by_one(spark, monkeypatch, seed):
     assert {r.accepted for r in done} == {True, False}
 
 
+@pytest.mark.parametrize("seed, block, blocks", [(0, 5, 3), (1, 40, 4), (4, 16, 0)])
+def test_blocks_of_the_batch_do_not_show(spark, monkeypatch, seed, block, blocks):
+    monkeypatch.setattr(admission, "BLOCK", block)
+    monkeypatch.setattr(admission, "BLOCKS", blocks)
+    test_batches_equal_one_by_one(spark, monkeypatch, seed)
+
+
+def test_persons_are_looked_up_for_commands_before_the_full_cap_only(spark, monkeypatch):
+    looked_up = []
+    facts = admission._facts
+
+    def counted(fit, *args):
+        looked_up.append(fit.count())
+        return facts(fit, *args)
+
+    monkeypatch.setattr(admission, "_facts", counted)
+    monkeypatch.setattr(admission, "BLOCK", 512)
+    done = registry.QUERIES["p9_u7_invite_batch"](spark, "/root/testdata/sf0.001")
+    refused_by_rights = done.where("refusal_code = 'insufficient_privilege' or refusal_reason = 'unknown role'").count()
+    assert max(looked_up) <= 512 < done.count() - refused_by_rights
+
+
 def test_an_empty_batch(spark):
     users, orgs, members, invitations = random_world(random.Random(1))
     state = AccessState(
