@@ -15,6 +15,7 @@ from docwarden.functions.temporal import at
 from docwarden.functions.validation import ROLES
 from docwarden.operators.ranking import ranked
 from docwarden.schemas import PRINCIPAL_COLUMNS
+from docwarden.sources.tables import written
 
 # Roles that satisfy a question about an organization.
 ADMIN = ("org_admin",)
@@ -259,3 +260,15 @@ def other_admin_counts(state: AccessState) -> DataFrame:
     return marked.join(totals, "org_id").select(
         "org_id", "membership_id", (F.col("_all") - own).cast("long").alias("other_admins")
     )
+
+
+def last_admins(state: AccessState) -> DataFrame:
+    """``org_id, _admins, _only_admin`` of organizations with at most one current admin membership of an
+    enabled person: how many (0 or 1), and that one's id. These are the organizations in which a current
+    admin membership can have no other beside it, so memberships need not meet their counts one by one."""
+    admins = state.memberships.where((F.col("role") == "org_admin") & F.col("revoked_at").isNull())
+    enabled = active_users(state.users).select("user_id", F.lit(1).alias("_enabled"))
+    marked = admins.select("org_id", "user_id", "membership_id").join(enabled, "user_id", "left")
+    totals = marked.groupBy("org_id").agg(
+        F.sum(F.coalesce("_enabled", F.lit(0))).alias("_admins"), F.min(F.when(F.col("_enabled") == 1, F.col("membership_id"))).alias("_only_admin"))
+    return written(totals.where(F.col("_admins") <= 1), "last-admins")

@@ -20,9 +20,10 @@ from docwarden.functions.temporal import at, days
 from docwarden.functions.text import stable_id
 from docwarden.operators import caps
 from docwarden.operators.access import (
-    AccessState, active_support, authority, grants_role, invitation_is_open, other_admin_counts,
+    ADMIN, AccessState, active_support, authority, grants_role, invitation_is_open, last_admins,
     platform_admins, with_authority, with_org_status, with_person,
 )
+from docwarden.sources.tables import written
 
 PRIVILEGE = "insufficient_privilege"
 CHECK = "check_violation"
@@ -203,24 +204,29 @@ def close_accepted(invitations: DataFrame, new_memberships: DataFrame, as_of) ->
 
 
 def revoke_memberships(commands: DataFrame, state: AccessState) -> DataFrame:
-    """``commands(command_id, actor, system_job, org_id, membership_id)``."""
+    """``commands(command_id, actor, system_job, org_id, membership_id)``.
+
+    What the membership decides becomes flags before the actor is looked up, so that a command meets its
+    actor without the columns behind them, and only admins' rights are worked out."""
     old = state.memberships.select(
         "org_id", "membership_id", F.lit(True).alias("_found"), F.col("user_id").alias("_member"),
-        F.col("role").alias("_role"), F.col("revoked_at").alias("_revoked_at"),
+        F.col("role").alias("_role"), F.col("revoked_at").isNotNull().alias("_revoked"),
+    )
+    j = commands.join(old, ["org_id", "membership_id"], "left").join(last_admins(state), "org_id", "left")
+    only = F.col("_admins").isNotNull() & ((F.col("_admins") == 0) | (F.col("_only_admin") == F.col("membership_id")))
+    j = j.select(
+        *commands.columns, F.col("_found").isNull().alias("_lost"), "_revoked", (F.col("_member") == F.col("actor")).alias("_self"),
+        privileged().alias("_job"), ((F.col("_role") == "org_admin") & only).alias("_last"),
     )
-    j = commands.join(old, ["org_id", "membership_id"], "left")
     j = with_person(j, state.users, "actor", "_me")
-    j = with_authority(j, authority(state), "actor", "_me")
-    j = j.join(other_admin_counts(state).select("membership_id", "other_admins"), "membership_id", "left")
-    job = privileged()
-    self_removal = (F.col("_member") == F.col("actor")) & F.col("_me_active")
+    j = with_authority(j, authority(state, ADMIN), "actor", "_me")
+    job = F.col("_job")
     rules = [
         (F.col("actor").isNull(), PRIVILEGE, NO_ACTOR),
-        (F.col("_found").isNull(), NOT_FOUND, "No such membership in this organization."),
-        (F.col("_revoked_at").isNotNull(), CHECK, "membership already revoked; grant a new one instead"),
-        (~job & ~(F.col("_me_admin") | self_removal), PRIVILEGE, "not allowed to remove this membership"),
-        (~job & (F.col("_role") == "org_admin") & (F.col("other_admins") == 0),
-         CHECK, "an organization must keep at least one active admin"),
+        (F.col("_lost"), NOT_FOUND, "No such membership in this organization."),
+        (F.col("_revoked"), CHECK, "membership already revoked; grant a new one instead"),
+        (~job & ~(F.col("_me_admin") | (F.col("_self") & F.col("_me_active"))), PRIVILEGE, "not allowed to remove this membership"),
+        (~job & F.col("_last"), CHECK, "an organization must keep at least one active admin"),
     ]
     return _only(decide(j, rules), commands)
 
@@ -492,19 +498,24 @@ def seat_org_admins(commands: DataFrame, state: AccessState) -> DataFrame:
         F.col("email").alias("_email"), F.col("user_id").alias("user_id"),
         F.col("disabled_at").isNull().alias("_enabled"), F.col("is_platform_admin").alias("_staff"),
     )
-    operators = platform_admins(state.users).select(F.col("email").alias("_operator"), F.col("user_id").alias("operator_id"))
+    # Written, so that its size is known: one operator gives very many commands, which stay where they are if it is small.
+    operators = written(platform_admins(state.users).select(F.col("email").alias("_operator"), F.lit(True).alias("_by_operator")), "operators")
+    seat = F.lower(F.btrim("org_id"))
     j = commands.withColumns({
         "_email": V.normalized_email(F.col("user_email")), "_operator": V.normalized_email(F.col("operator_email")),
-        "role": F.lit("org_admin"),
+        "_bad_org": ~F.coalesce(V.valid_uuid(seat), F.lit(False)), "_bad_email": ~V.valid_email(F.col("user_email")),
+        "_bad_reason": ~V.valid_job_reason(F.col("reason")), "_seat_id": seat,
     })
-    j = j.withColumn("_given_id", F.col("org_id")).withColumn("org_id", F.lower(F.btrim("org_id")))
-    j = with_org_status(j, state.organizations).join(person, "_email", "left").join(operators, "_operator", "left")
-    j = _with_held_role(j, state).withColumn("_seat_id", F.col("org_id")).withColumn("org_id", F.col("_given_id"))
+    status = state.organizations.select(F.col("org_id").alias("_seat_id"), F.col("status").alias("org_status"))
+    j = j.join(status, "_seat_id", "left").join(operators, "_operator", "left").join(person, "_email", "left")
+    held = state.memberships.where(F.col("revoked_at").isNull() & (F.col("role") == "org_admin")).select(
+        F.col("org_id").alias("_seat_id"), "user_id").distinct().withColumn("_held", F.lit(True))
+    j = j.join(held, ["_seat_id", "user_id"], "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
     rules = [
-        (~F.coalesce(V.valid_uuid(F.col("_seat_id")), F.lit(False)), INPUT, "--org must be the organization's id (a UUID)"),
-        (~V.valid_email(F.col("user_email")), INPUT, "not a plain email address"),
-        (F.col("operator_id").isNull(), PRIVILEGE, "--as is not an active platform admin"),
-        (~V.valid_job_reason(F.col("reason")), INPUT, "--reason must be a short sentence"),
+        (F.col("_bad_org"), INPUT, "--org must be the organization's id (a UUID)"),
+        (F.col("_bad_email"), INPUT, "not a plain email address"),
+        (F.col("_by_operator").isNull(), PRIVILEGE, "--as is not an active platform admin"),
+        (F.col("_bad_reason"), INPUT, "--reason must be a short sentence"),
         (F.col("org_status").isNull(), NOT_FOUND, "no such organization"),
         (F.col("org_status") != "active", CHECK, ORG_INACTIVE),
         (~F.coalesce("_enabled", F.lit(False)), CHECK, "has no active account (run create-user first)"),

@@ -259,3 +259,14 @@ def test_statuses(spark):
     df = spark.createDataFrame([(c,) for c in codes], "code string")
     got = {r.code: r.s for r in df.select("code", O.refusal_status(F.col("code")).alias("s")).collect()}
     assert got == {None: 204, **O.REFUSAL_STATUS, "other": 500}
+
+
+def test_last_admins_are_those_without_others(spark):
+    users = spark.createDataFrame([("u1", False), ("u2", False), ("u3", True)], "user_id string, off boolean").selectExpr(
+        "user_id", "if(off, timestamp_ntz'2020-01-01 00:00:00', null) as disabled_at")
+    rows = [("m1", "one", "u1"), ("m2", "one", "u3"), ("m3", "none", "u3"), ("m4", "two", "u1"), ("m5", "two", "u2"), ("m6", "lone", "u2")]
+    members = spark.createDataFrame(rows, "membership_id string, org_id string, user_id string").selectExpr("*", "'org_admin' as role", "cast(null as timestamp_ntz) as revoked_at")
+    state = A.AccessState(users, None, members)
+    last = members.join(A.last_admins(state), "org_id").where("_admins = 0 or _only_admin = membership_id")
+    alone = A.other_admin_counts(state).where("other_admins = 0")
+    assert {r.membership_id for r in last.collect()} == {r.membership_id for r in alone.collect()} == {"m1", "m3", "m6"}
