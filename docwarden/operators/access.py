@@ -101,7 +101,7 @@ def active_support(state: AccessState, as_of) -> DataFrame:
 
 def can_invite(requests: DataFrame, state: AccessState) -> DataFrame:
     """Adds ``can_invite`` to ``(org_id, user_id, role, ...)``: may this person hand out this role?"""
-    return with_authority(requests, authority(state), "user_id", "_by").withColumn(
+    return with_authority(requests, authority(state, INVITERS), "user_id", "_by").withColumn(
         "can_invite", grants_role("_by", F.col("role"))
     ).drop("_by_member", "_by_admin", "_by_inviter")
 
@@ -215,7 +215,7 @@ def list_open_invitations(state: AccessState, as_of) -> DataFrame:
     opened = state.invitations.where(invitation_is_open(as_of))
     invitee = state.users.select(F.col("user_id").alias("invited_user_id"), "email")
     sender = state.users.select(F.col("user_id").alias("invited_by"), F.col("email").alias("invited_by_email"))
-    judged = with_authority(opened, authority(state), "invited_by", "_by")
+    judged = with_authority(opened, authority(state, INVITERS), "invited_by", "_by")
     listed = (
         judged.withColumn("stale", ~grants_role("_by", F.col("role")))
         .join(invitee, "invited_user_id")

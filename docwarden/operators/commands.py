@@ -20,7 +20,7 @@ from docwarden.functions.temporal import at, days
 from docwarden.functions.text import stable_id
 from docwarden.operators import caps
 from docwarden.operators.access import (
-    ADMIN, AccessState, active_support, authority, grants_role, invitation_is_open, last_admins,
+    ADMIN, INVITERS, AccessState, active_support, authority, grants_role, invitation_is_open, last_admins,
     platform_admins, with_authority, with_org_status, with_person,
 )
 from docwarden.sources.tables import written
@@ -157,7 +157,7 @@ def insert_memberships(commands: DataFrame, state: AccessState, as_of) -> DataFr
         & (F.col("_inv.role") == F.col("role")) & (F.col("user_id") == F.col("actor"))
     )
     j = j.withColumns({"_match": F.coalesce(matches, F.lit(False)), "_inviter": F.col("_inv.invited_by")})
-    j = with_authority(j, authority(state), "_inviter", "_by")
+    j = with_authority(j, authority(state, INVITERS), "_inviter", "_by")
     j = _with_held_role(j, state)
     match, job = F.col("_match"), privileged()
     granter = F.when(match, F.col("_inviter")).otherwise(F.col("actor"))
@@ -197,10 +197,12 @@ def close_accepted(invitations: DataFrame, new_memberships: DataFrame, as_of) ->
         "org_id", F.col("user_id").alias("invited_user_id"), "role", F.col("granted_by").alias("invited_by"),
         F.lit(True).alias("_joined"),
     ).distinct()
-    j = invitations.join(keys, ["org_id", "invited_user_id", "role", "invited_by"], "left")
+    # Closed and expired ones stay as they are, so they do not meet the keys.
+    is_open = F.coalesce(invitation_is_open(as_of), F.lit(False))
+    j = invitations.where(is_open).join(keys, ["org_id", "invited_user_id", "role", "invited_by"], "left")
     kind = invitations.schema["accepted_at"].dataType
-    closes = F.col("_joined") & invitation_is_open(as_of)
-    return j.withColumn("accepted_at", F.when(closes, at(as_of).cast(kind)).otherwise(F.col("accepted_at"))).select(invitations.columns)
+    stamped = j.withColumn("accepted_at", F.when(F.col("_joined"), at(as_of).cast(kind)).otherwise(F.col("accepted_at")))
+    return stamped.select(invitations.columns).unionByName(invitations.where(~is_open))
 
 
 def revoke_memberships(commands: DataFrame, state: AccessState) -> DataFrame:
@@ -373,7 +375,7 @@ def accept_invitations(commands: DataFrame, state: AccessState, as_of) -> DataFr
         "org_id": F.col("_i.org_id"), "role": F.col("_i.role"), "user_id": F.col("actor"), "_inviter": F.col("_i.invited_by"),
     })
     j = with_org_status(j, state.organizations)
-    j = with_authority(j, authority(state), "_inviter", "_by")
+    j = with_authority(j, authority(state, INVITERS), "_inviter", "_by")
     j = _with_held_role(j, state)
     blocked = (
         F.col("_i").isNull() | ~F.col("_i.invited_user_id").eqNullSafe(F.col("actor")) | _closed() | (F.col("_i.expires_at") <= now)
