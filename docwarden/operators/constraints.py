@@ -119,36 +119,46 @@ def integrity(tables: dict[str, DataFrame]) -> DataFrame:
     Each table is read once: a row becomes one tagged value per reference, per key it offers and per missing
     value. One aggregation by (parent, value) then knows all keys that exist beside all references to them,
     so there is one exchange whatever the number of constraints. Values are counted before they are
-    exchanged, so a key with very many references is one row per task."""
-    tag = "struct<parent: string, value: string, is_key: boolean, name: string>"
-    rows, names = None, []
+    exchanged, so a key with very many references is one row per task. A row of counts is as wide as the
+    references to one parent: each has a slot there, and missing values count in the first slot of a parent
+    of their own."""
+    tag = "struct<parent: int, value: string, slot: int>"
+    parents, slots = list(tables), dict.fromkeys(tables, 0)
+    rows, found = None, []
     for table, df in tables.items():
         tags = []
         if KEYS.get(table) in df.columns:
-            tags.append(_tag(df, KEYS[table], table, True, None))
+            tags.append(_tag(df, KEYS[table], parents.index(table), _IS_KEY))
         for column, parent in REFERENCES.get(table, {}).items():
             if column in df.columns and parent in tables:
-                names.append((table, f"{column}_references_{parent}"))
-                tags.append(_tag(df, column, parent, False, f"{table} {column}_references_{parent}"))
+                place, slot = parents.index(parent), slots[parent]
+                slots[parent] += 1
+                found.append((table, f"{column}_references_{parent}", F.col("parent") == place, slot))
+                tags.append(_tag(df, column, place, slot))
         for column in required_columns(table):
             if column in df.columns:
-                names.append((table, f"{column}_not_null"))
-                missing = F.struct(F.lit("").alias("parent"), F.lit(f"{table} {column}").alias("value"), F.lit(False).alias("is_key"),
-                                   F.lit(f"{table} {column}_not_null").alias("name"))
+                label = f"{table} {column}"
+                found.append((table, f"{column}_not_null", (F.col("parent") == _MISSING) & (F.col("value") == label), 0))
+                missing = F.struct(F.lit(_MISSING).alias("parent"), F.lit(label).alias("value"), F.lit(0).alias("slot"))
                 tags.append(F.when(df[column].isNull(), missing))
         part = df.select(F.explode(F.array_compact(F.array(*[t.cast(tag) for t in tags]))).alias("t")).select("t.*")
         rows = part if rows is None else rows.unionByName(part)
-    labels = [f"{t} {c}" for t, c in names]
-    counts = [F.count_if(F.col("name") == label).alias(str(n)) for n, label in enumerate(labels)]
-    by_value = rows.groupBy("parent", "value").agg(F.bool_or("is_key").alias("_known"), *counts)
-    lost = by_value.where(~F.col("_known")).agg(*[F.coalesce(F.sum(F.col(str(n))), F.lit(0)).alias(str(n)) for n in range(len(labels))])
+    counts = [F.count_if(F.col("slot") == slot).alias(f"c{slot}") for slot in range(max(1, *slots.values()))]
+    by_value = rows.groupBy("parent", "value").agg(F.bool_or(F.col("slot") == _IS_KEY).alias("_known"), *counts)
+    lost = by_value.where(~F.col("_known")).agg(*[
+        F.coalesce(F.sum(F.when(of, F.col(f"c{slot}"))), F.lit(0)).alias(str(n)) for n, (_, _, of, slot) in enumerate(found)
+    ])
     listed = F.array(*[
         F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("constraint_name"), F.col(str(n)).cast("long").alias("violations"))
-        for n, (t, c) in enumerate(names)
+        for n, (t, c, _, _) in enumerate(found)
     ])
     return lost.select(F.explode(listed).alias("r")).select("r.*")
 
 
-def _tag(df: DataFrame, column: str, parent: str, is_key: bool, name: str | None) -> Column:
-    value = F.struct(F.lit(parent).alias("parent"), df[column].cast("string").alias("value"), F.lit(is_key).alias("is_key"), F.lit(name).cast("string").alias("name"))
+# In place of a slot: the value is a key of the parent. In place of a parent: the value names a column.
+_IS_KEY = _MISSING = -1
+
+
+def _tag(df: DataFrame, column: str, parent: int, slot: int) -> Column:
+    value = F.struct(F.lit(parent).alias("parent"), df[column].cast("string").alias("value"), F.lit(slot).alias("slot"))
     return F.when(df[column].isNotNull(), value)

@@ -86,6 +86,28 @@ def test_all_references_in_one_exchange(spark):
     assert {r.violations for r in empty.collect()} == {0}
 
 
+def test_rows_of_reference_counts_are_as_wide_as_one_parent_needs(spark):
+    users = spark.createDataFrame([("x1", "s", "e"), ("x2", "s", "e")], "user_id string, cognito_sub string, email string")
+    orgs = spark.createDataFrame([("x1", "x1"), ("x3", "x8")], "org_id string, created_by string")
+    members = spark.createDataFrame(
+        [("m1", "x1", "x2", "x3", "x8"), ("m2", "x2", "x8", "x8", None), ("m3", "x3", "x1", "x2", "x2")],
+        "membership_id string, org_id string, user_id string, granted_by string, revoked_by string")
+    log = spark.createDataFrame([("x8", "x8"), ("x1", "x2"), (None, "x3")], "actor_user_id string, org_id string")
+    found = constraints.integrity({"users": users, "organizations": orgs, "org_memberships": members, "audit_log": log})
+    assert {(r.table_name, r.constraint_name): r.violations for r in found.collect() if r.violations} == {
+        ("organizations", "created_by_references_users"): 1, ("org_memberships", "org_id_references_organizations"): 1,
+        ("org_memberships", "user_id_references_users"): 1, ("org_memberships", "granted_by_references_users"): 2,
+        ("org_memberships", "revoked_by_references_users"): 1, ("audit_log", "actor_user_id_references_users"): 1,
+        ("audit_log", "org_id_references_organizations"): 2,
+    }
+    node, widths = found._jdf.queryExecution().sparkPlan(), []
+    while node.children().size() == 1:
+        if node.nodeName() == "HashAggregate":
+            widths.append(node.output().size())
+        node = node.children().apply(0)
+    assert widths[-1] <= 2 + 1 + 5  # parent and value, whether it is a key, the references to users
+
+
 def test_every_constraint_is_broken_somewhere_in_the_registered_query(spark):
     from docwarden.plans import access, registry  # noqa: F401
 
