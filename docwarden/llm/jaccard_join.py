@@ -132,14 +132,16 @@ def _near_sketches(batches) -> Iterator[pa.RecordBatch]:
         yield record_batch(_PAIR, [a[k] for k in keep], [b[k] for k in keep])
 
 
+def _only(batches, listed: np.ndarray, inside: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows whose slot, the last column, is in the filter, or those whose slot is not; without it."""
+    for batch in batches:
+        hit = passes(listed, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+        yield batch.filter(pa.array(hit == inside)).select(range(batch.num_columns - 1))
+
+
 def _sets_of(batches, shingle: int, listed: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The sets of the documents whose slot is in the filter."""
-    def wanted():
-        for batch in batches:
-            hit = passes(listed, batch.column(2).to_numpy(zero_copy_only=False))
-            yield batch.filter(pa.array(hit)).select([0, 1])
-
-    for block in blocks(wanted(), split=_lower_split):
+    for block in blocks(_only(batches, listed), split=_lower_split):
         yield record_batch(_SET, [k[0] for k in block.keys], [s.tobytes() for s in _sets(block, shingle)])
 
 
@@ -180,6 +182,15 @@ _FITS = (
 )
 
 
+def _without(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows whose first columns are not a row of ``left``. Only rows that a filter of ``left`` lets pass
+    meet it in a join: the others, with their long lists of bits, are not exchanged."""
+    listed = rows.sparkSession.sparkContext.broadcast(bit_filter(left.select(F.xxhash64(*left.columns))))
+    slotted = rows.withColumn("slot", F.xxhash64(*left.columns))
+    others = slotted.mapInArrow(lambda it: _only(it, listed.value, False), rows.schema)
+    return others.union(slotted.mapInArrow(lambda it: _only(it, listed.value), rows.schema).join(left, left.columns, "left_anti"))
+
+
 def _keys(bits: DataFrame) -> DataFrame:
     """Key rows (key, doc_id, n, place) from rows (doc_id, n, place, bit), without bits of one document.
 
@@ -235,7 +246,7 @@ def similarity_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     copies = copied.select("a", "b").distinct()
 
     # Only the copied set leaves: other texts under the same id keep their keys.
-    alone = known.join(copied.select(F.col("a").alias("doc_id"), *digest), ["doc_id", *digest], "left_anti")
+    alone = _without(known.select("doc_id", *digest, "bits"), copied.select(F.col("a").alias("doc_id"), *digest))
     bits = alone.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("bits").alias("place", "bit"))
     members = written(_keys(bits), "members")
     stars = copies

@@ -1,6 +1,7 @@
 import random
 import re
 
+from docwarden.llm import jaccard_join
 from docwarden.llm.components import components
 from docwarden.llm.jaccard_join import one_of_each, similarity_components
 
@@ -76,3 +77,31 @@ def test_a_copied_text_leaves_other_texts_of_its_id(frame):
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     got = similarity_components(frame([(3, a), (7, a), (7, b), (9, b + " tail"), (11, "c " + b), (20, "d e f g h i")]))
     assert {(r.doc_id, r.component_id) for r in got.collect()} == {(3, 3), (7, 3), (9, 3), (11, 3), (20, 20)}
+
+
+def exchanged(plan):
+    """Rows written by all exchanges of an executed plan."""
+    name, inner = plan.nodeName(), []
+    if name == "AdaptiveSparkPlan":
+        inner = [plan.executedPlan()]
+    elif name.endswith("QueryStage"):
+        inner = [plan.plan()]
+    children = plan.children()
+    rows = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return rows + sum(map(exchanged, inner + [children.apply(i) for i in range(children.size())]))
+
+
+def test_bits_of_uncopied_documents_are_not_exchanged_to_leave_out_copies(spark, frame, monkeypatch):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(40))) for i in range(300)] + [(1000 + i, " ".join(f"w{i}_{k}" for k in range(40))) for i in range(4)]
+    rows += [(1000, "another text under the id of a copy"), (2000, "Another text under the id OF a copy !")]
+    seen, keys, limit = [], jaccard_join._keys, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(jaccard_join, "_keys", lambda bits: seen.append(bits) or keys(bits))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.doc_id, r.component_id) for r in similarity_components(frame(rows)).collect()}
+        held = {r.doc_id for r in seen[0].collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {(i, i) for i in range(300)} | {(1000 + i, i) for i in range(4)} | {(2000, 0)}  # it is near the other text of 1000
+    assert held == set(range(300)) | {1000, 2000}  # of the id 1000, the text that is no copy
+    assert exchanged(seen[0]._jdf.queryExecution().executedPlan()) < 30  # of 306 rows
