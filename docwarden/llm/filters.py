@@ -18,14 +18,15 @@ def slot(value: Column) -> Column:
 
 def bit_filter(values: DataFrame) -> np.ndarray:
     """The filter of all values of the one long column of ``values``: 2**BITS bits as bytes. The tasks
-    send whole parts of it, at most 2,048 of 4 kB."""
+    send whole parts of it, at most 2,048 of 4 kB. They come in one job (8 MB, whatever the input): an
+    iterator would run a job for each partition, one after the other."""
     place = slot(F.col(values.columns[0])) + 1
     parts = (
         values.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("part"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     )
     found = np.zeros((1 << BITS) // 8, np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():
         at = (row["part"] - 1) * (_PART // 8)
         found[at : at + _PART // 8] = np.frombuffer(row["bits"], np.uint8)
     return found

@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+
 from docwarden.llm import jaccard_join
 from docwarden.llm.components import components
+from docwarden.llm.filters import BITS, bit_filter
 from docwarden.llm.jaccard_join import one_of_each, similarity_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,3 +108,24 @@ def test_bits_of_uncopied_documents_are_not_exchanged_to_leave_out_copies(spark,
     assert got == {(i, i) for i in range(300)} | {(1000 + i, i) for i in range(4)} | {(2000, 0)}  # it is near the other text of 1000
     assert held == set(range(300)) | {1000, 2000}  # of the id 1000, the text that is no copy
     assert exchanged(seen[0]._jdf.queryExecution().executedPlan()) < 30  # of 306 rows
+
+
+def test_a_filter_is_fetched_in_one_job_however_many_partitions(spark):
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    context, group = spark.sparkContext, "a filter of 3,000 values"
+    values = [k * 0x9E3779B97F4A7C15 % 2**63 for k in range(3000)]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup(group, group)
+        found = bit_filter(spark.createDataFrame([(v,) for v in values], "value long"))
+        jobs = context.statusTracker().getJobIdsForGroup(group)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    held = np.zeros(2**BITS, bool)
+    held[np.array(values) % 2**BITS] = True
+    assert (np.unpackbits(found, bitorder="little") == held).all()
+    assert 1 <= len(jobs) <= 3  # the exchange's and the rows'
