@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+import docwarden.llm.components as linked
 from docwarden.llm import jaccard_join
 from docwarden.llm.components import components
 from docwarden.llm.filters import BITS, bit_filter
@@ -76,6 +77,28 @@ def test_components_of_long_chains_and_hubs(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 140)}, 200: 100}
 
 
+def test_components_take_no_round_for_stars_and_none_to_see_the_end(spark, monkeypatch):
+    rounds, written = [], linked.written
+    monkeypatch.setattr(linked, "written", lambda df, label: rounds.append(label) or written(df, label))
+
+    def found(pairs):
+        rounds.clear()
+        got = {r.doc_id: r.component_id for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        return got, rounds.count("stars")
+
+    assert found([]) == ({}, 0)
+    assert found([(1, 5), (5, 1), (7, 1), (3, 2), (3, 3)]) == ({5: 1, 7: 1, 3: 2}, 0)
+    assert found([(1, 2), (2, 3)]) == ({2: 1, 3: 1}, 1)
+    assert found([(1, 3), (2, 3)]) == ({2: 1, 3: 1}, 1)
+    rng = random.Random(5)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    root = list(range(60))
+    for a, b in pairs:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    assert found(pairs)[0] == {i: r for i, r in enumerate(root) if i != r}
+
+
 def test_a_copied_text_leaves_other_texts_of_its_id(frame):
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     got = similarity_components(frame([(3, a), (7, a), (7, b), (9, b + " tail"), (11, "c " + b), (20, "d e f g h i")]))
