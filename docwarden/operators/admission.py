@@ -14,13 +14,18 @@ waves as the cap allows writes, whatever the size of the batch.
 
 Waves go through the first commands of the batch before they go through all of it, since a large batch
 fills the cap over all organizations early. A command after that place is refused by a cap whomever it
-invites, so persons, accounts and open invitations are looked up for those before it alone. Commands meet
-the rights of their (organization, actor) in one exchange; those are worked out per distinct pair."""
+invites, so persons, accounts and open invitations are looked up for those before it alone, once.
+
+All commands meet the rights of their (organization, actor), but few need travel for that: the pairs that
+have rights are written down once, and a bit filter of them tells most other commands apart where they are
+read. What passes is exchanged, with the columns that its outcome still depends on. The filter only spares
+the exchange; the join decides."""
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
@@ -28,16 +33,18 @@ from docwarden.functions import validation as V
 from docwarden.functions.temporal import at, days
 from docwarden.functions.text import stable_id
 from docwarden.operators import caps
-from docwarden.operators.access import INVITERS, AccessState, authority, invitation_is_open, with_authority, with_person
+from docwarden.operators.access import INVITERS, AccessState, authority, invitation_is_open
 from docwarden.operators.commands import (
     ACCOUNT_NEEDED, CHECK, INPUT, MAX_GRANT_DAYS, PRIVILEGE, gate_rules, refusal_of,
 )
-from docwarden.sources.tables import written as stored
+from docwarden.sources.tables import written_alone as stored
 
 #: Commands that one wave looks at.
 WAVE = 64
-#: The first commands are looked at in so many blocks of so many, before all that are left.
+#: The first commands that rights do not refuse are looked at in so many blocks of so many, before all that are left.
 BLOCKS, BLOCK = 4, 8192
+#: Bits of the filter of known pairs (16 MB, whatever the input), and of one part of it (by bitmap_construct_agg).
+BITS, PART = 1 << 27, 1 << 15
 
 _WRITE = T.StructType([
     T.StructField(n, t) for n, t in (
@@ -56,23 +63,29 @@ def admit(commands: DataFrame, state: AccessState, as_of) -> DataFrame:
     (``created``, ``renewed``; ``existing`` writes nothing), ``invitation_id``, ``invited_user_id``,
     ``new_user``, ``expires_at``. Commands without a ``seq`` come first."""
     recent = _recent(state, as_of)
-    placed = commands.withColumns({
+    known = stored(_known(state, recent), "known")
+    bits = stored(_bits(known), "bits")
+    placed = _with_repeated(commands, state.users).withColumns({
         "_place": F.struct(F.col("seq").cast("string").alias("seq"), F.col("command_id").cast("string").alias("command_id")),
         "invited_email": V.normalized_email(F.coalesce("email", F.lit(""))), "_account": F.lower("account_id"),
+        "_org": F.when(V.valid_role(F.col("role")), F.col("org_id")),
     })
-    written = _all_written(placed, state, recent, as_of)
-    closing = _closing(written, recent[2])
-    early = F.col("_early").isNotNull()
-    if closing is None:
-        undecided, decided = placed, _gated(placed, state, recent).where(early)
-    else:
-        undecided, decided = placed.where(F.col("_place") <= closing), _gated(placed, state, recent).where(early | (F.col("_place") > closing))
-    facts = _facts(_fit(undecided, state, recent, closing is not None), state, as_of)
-    judged = _judged(facts, written, as_of).unionByName(_judged(_without_facts(decided, facts), written, as_of))
+    written, facts = _settled(placed, known, bits, state, recent, as_of)
+    late = _late(written, recent[2])
+    late = F.lit(False) if late is None else late
+    judged = _judged(facts.where(~late), written, as_of)
+    outcome = ("result", "invitation_id", "invited_user_id", "new_user", "expires_at")
+    columns = [*commands.columns, "invited_email", "_refusal", *(f"_{c}" for c in outcome)]
+    nothing = {f"_{c}": F.lit(None).cast(judged.schema[f"_{c}"].dataType) for c in outcome}
+    judged = judged.select(*columns)
+    marked = placed.withColumn("_late", late)
+    for rows, rights in _dealt(marked, _full(known, recent, written), bits):
+        gated = _gated(rows, rights).withColumn("_refusal", F.coalesce("_early", F.when(F.col("_late"), refusal_of([
+            (F.col("_org_full"), *caps.REFUSALS["org"]), (F.col("_sender_full"), *caps.REFUSALS["sender"]), (F.lit(True), *caps.REFUSALS["global"])]))))
+        judged = judged.unionByName(gated.where(F.col("_refusal").isNotNull()).withColumns(nothing).select(*columns))
     return judged.select(
         *commands.columns, F.col("_refusal").isNull().alias("accepted"), F.col("_refusal.code").alias("refusal_code"),
-        F.col("_refusal.reason").alias("refusal_reason"), "invited_email", *(
-            F.when(F.col("_refusal").isNull(), F.col(f"_{c}")).alias(c) for c in ("result", "invitation_id", "invited_user_id", "new_user", "expires_at")),
+        F.col("_refusal.reason").alias("refusal_reason"), "invited_email", *(F.when(F.col("_refusal").isNull(), F.col(f"_{c}")).alias(c) for c in outcome),
     )
 
 
@@ -84,25 +97,96 @@ def _recent(state: AccessState, as_of) -> tuple[DataFrame, DataFrame, int]:
     return by_org, stored(by_sender, "recent-sender"), by_org.agg(F.coalesce(F.sum("_org_recent"), F.lit(0))).first()[0]
 
 
-def _gated(placed: DataFrame, state: AccessState, recent: tuple) -> DataFrame:
-    """What depends on actor, organization and role alone: the counts before the batch, and ``_early``, the refusal."""
-    pairs = placed.select("org_id", "actor").distinct()
-    pairs = with_authority(with_person(pairs, state.users, "actor", "_me"), authority(state, INVITERS), "actor", "_me")
-    zero = F.lit(0).cast("long")
-    facts = pairs.join(recent[0], "org_id", "left").join(recent[1], "actor", "left").select(
-        F.col("org_id").alias("_pair_org"), F.col("actor").alias("_pair_actor"), "_me_active", "_me_platform", "_me_admin", "_me_inviter",
+def _able() -> Column:
+    """Whether a person is enabled and no platform admin."""
+    active = F.col("disabled_at").isNull()
+    return active & ~F.coalesce(active & F.col("is_platform_admin"), F.lit(False))
+
+
+def _known(state: AccessState, recent: tuple) -> DataFrame:
+    """The pairs of organization and person that may invite, and the persons that are able to do anything, with no
+    organization: a command whose role is unknown is refused by its person alone. Each comes once."""
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    rights = authority(state, INVITERS).join(recent[0], "org_id", "left").join(recent[1].withColumnRenamed("actor", "user_id"), "user_id", "left").select(
+        F.col("org_id").alias("_known_org"), F.col("user_id").alias("_known_person"), "is_admin", "is_inviter",
         F.coalesce("_org_recent", zero).alias("_org_recent"), F.coalesce("_sender_recent", zero).alias("_sender_recent"))
-    j = placed.join(facts, F.col("org_id").eqNullSafe(F.col("_pair_org")) & F.col("actor").eqNullSafe(F.col("_pair_actor")))
-    return j.select(
-        *placed.columns, "_org_recent", "_sender_recent", F.lit(recent[2]).cast("long").alias("_all_recent"), refusal_of(gate_rules()[:-3]).alias("_early"))
+    people = state.users.where(_able() & F.col("user_id").isNotNull()).select("user_id").distinct().select(
+        F.lit(None).cast("string").alias("_known_org"), F.col("user_id").alias("_known_person"), no.alias("is_admin"), no.alias("is_inviter"),
+        zero.alias("_org_recent"), zero.alias("_sender_recent"))
+    return rights.unionByName(people)
+
+
+def _with_repeated(commands: DataFrame, users: DataFrame) -> DataFrame:
+    """A command comes once for each of its actor's rows. Only persons that come more than once are joined for
+    that, if there are any; ``_able`` is theirs."""
+    rows = users.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.collect_list(_able()).alias("_rows")).where(F.size("_rows") > 1)
+    repeated = stored(rows.select(F.col("user_id").alias("_repeated"), F.explode("_rows").alias("_able")), "repeated")
+    if repeated.isEmpty():
+        return commands.withColumn("_able", F.lit(None).cast("boolean"))
+    return commands.join(repeated, F.col("actor") == F.col("_repeated"), "left").select(*commands.columns, "_able")
 
 
-def _fit(placed: DataFrame, state: AccessState, recent: tuple, few: bool) -> DataFrame:
-    """The commands that are not refused early. Of ``few`` commands, only memberships of their organizations are read further."""
-    if few:
-        placed = stored(placed, "commands")
-        state = replace(state, memberships=_of_same_organizations(state.memberships, placed))
-    return stored(_gated(placed, state, recent).where(F.col("_early").isNull()), "fit")
+def _bit(org: str, person: str) -> Column:
+    return F.xxhash64(org, person).bitwiseAND(F.lit(BITS - 1))
+
+
+def _bits(known: DataFrame) -> DataFrame:
+    """The bit filter of ``known``, in parts."""
+    place = known.select((_bit("_known_org", "_known_person") + 1).alias("place"))
+    return place.groupBy(F.bitmap_bucket_number("place").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
+
+
+def _dealt(placed: DataFrame, known: DataFrame, bits: DataFrame) -> list[tuple[DataFrame, DataFrame | None]]:
+    """The commands whose pair is not known, which need no join, and those whose pair may be, with ``known``."""
+    bit = _bit("_org", "actor")
+    at_bit = bit.bitwiseAND(F.lit(PART - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at_bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), at_bit.bitwiseAND(F.lit(7)))) != 0
+    tested = placed.join(F.broadcast(bits), F.floor(bit / PART) + 1 == F.col("_part"), "left").withColumn(
+        "_maybe", F.coalesce(F.col("actor").isNotNull() & is_set, F.lit(False)))
+    return [(tested.where("not _maybe").select(*placed.columns), None), (tested.where("_maybe").select(*placed.columns), known)]
+
+
+def _gated(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Adds ``_early``, the refusal that depends on actor, organization and role alone, and what ``known`` says of the pair."""
+    if known is None:
+        facts = {c: F.lit(None).cast(t) for c, t in (("_known_person", "string"), ("is_admin", "boolean"), ("is_inviter", "boolean"), ("_org_full", "boolean"), ("_sender_full", "boolean"))}
+        j = rows.withColumns(facts)
+    else:
+        j = rows.join(known, F.col("_org").eqNullSafe(F.col("_known_org")) & (F.col("actor") == F.col("_known_person")), "left")
+    no = F.lit(False)
+    flags = j.withColumns({
+        "_me_active": F.coalesce("_able", F.col("_known_person").isNotNull()), "_me_platform": no,
+        "_me_admin": F.coalesce("is_admin", no), "_me_inviter": F.coalesce("is_inviter", no),
+    })
+    return flags.withColumn("_early", refusal_of(gate_rules()[:-3]))
+
+
+def _full(known: DataFrame, recent: tuple, written: list[Row]) -> DataFrame:
+    """``known`` with what the caps of organization and sender say after all of the batch is written."""
+    by_org = Counter(w["org_id"] for w in written if w["moved_from"] is None)
+    by_sender = Counter(w["actor"] for w in written)
+    by_sender.subtract(w["moved_from"] for w in written if w["moved_from"] is not None)
+
+    def added(counts: Counter, key: str) -> Column:
+        if not counts:
+            return F.lit(0)
+        return F.coalesce(F.create_map(*(F.lit(x) for pair in counts.items() for x in pair))[F.col(key)], F.lit(0))
+
+    return known.select(
+        "_known_org", "_known_person", "is_admin", "is_inviter", (F.col("_org_recent") + added(by_org, "_known_org") >= caps.ORG_CAP).alias("_org_full"),
+        (F.col("_sender_recent") + added(by_sender, "_known_person") >= caps.SENDER_CAP).alias("_sender_full"))
+
+
+def _fit(rows: DataFrame, known: DataFrame, recent: tuple) -> DataFrame:
+    """The commands that are not refused early, with the counts before the batch."""
+    fit = _gated(rows, known).where(F.col("_early").isNull())
+    return stored(fit.select(*rows.columns, "_org_recent", "_sender_recent", F.lit(recent[2]).cast("long").alias("_all_recent"), "_early"), "fit")
+
+
+def _of_same_pairs(known: DataFrame, commands: DataFrame) -> DataFrame:
+    pairs = commands.select("_org", "actor").distinct()
+    return known.join(pairs, F.col("_known_org").eqNullSafe(F.col("_org")) & (F.col("_known_person") == F.col("actor")), "left_semi")
 
 
 def _of_same_organizations(rows: DataFrame, commands: DataFrame) -> DataFrame:
@@ -130,43 +214,60 @@ def _facts(fit: DataFrame, state: AccessState, as_of) -> DataFrame:
     )
 
 
-def _without_facts(decided: DataFrame, facts: DataFrame) -> DataFrame:
-    """Commands whose refusal does not depend on :func:`_facts`, with its columns empty."""
-    return decided.select(*decided.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema if f.name not in decided.columns))
-
-
 def _after(place) -> Column:
     return F.struct(F.lit(place["seq"]).cast("string").alias("seq"), F.lit(place["command_id"]).cast("string").alias("command_id"))
 
 
-def _closing(written: list[Row], recent: int) -> Column | None:
-    """The place behind which the cap over all organizations is full; None if it does not fill."""
+def _late(written: list[Row], recent: int) -> Column | None:
+    """Whether a command comes when the cap over all organizations is full; None if it does not fill."""
     counted = [w for w in written if w["moved_from"] is None]
     if recent >= caps.GLOBAL_CAP:
-        return F.struct(F.lit(None).cast("string").alias("seq"), F.lit(None).cast("string").alias("command_id"))
-    return _after(counted[caps.GLOBAL_CAP - recent - 1]["place"]) if len(counted) >= caps.GLOBAL_CAP - recent else None
+        return F.lit(True)
+    return F.col("_place") > _after(counted[caps.GLOBAL_CAP - recent - 1]["place"]) if len(counted) >= caps.GLOBAL_CAP - recent else None
 
 
-def _all_written(placed: DataFrame, state: AccessState, recent: tuple, as_of) -> list[Row]:
-    """The commands that write, in order, block by block until the cap over all is full, then from all others."""
+def _settled(placed: DataFrame, known: DataFrame, bits: DataFrame, state: AccessState, recent: tuple, as_of) -> tuple[list[Row], DataFrame]:
+    """The commands that write, in order, and the facts of all that rights do not refuse, up to where the cap over
+    all is full at least. Block by block from the first commands, then from all others."""
     written: list[Row] = []
-    rest = placed
-    for n in range(BLOCKS + 1):
-        if _closing(written, recent[2]) is not None:
-            return written
-        few = n < BLOCKS
-        if few:
-            block = stored(rest.orderBy("_place").limit(BLOCK), "block")
-            last = block.agg(F.count("*").alias("n"), F.max("_place").alias("place")).first()
-            if not last["n"]:
-                return written
-        facts = stored(_facts(_fit(block if few else rest, state, recent, few), state, as_of), "facts")
-        written = _written(facts, written, as_of)
-        if few and last["n"] < BLOCK:
-            return written
-        if few:
-            rest = placed.where(F.col("_place") > _after(last["place"]))
-    return written
+    found: list[DataFrame] = []
+
+    def settle(fit: DataFrame, state: AccessState) -> bool:
+        nonlocal written
+        found.append(stored(_facts(fit, state, as_of), "facts"))
+        written = _written(found[-1], written, as_of)
+        return _late(written, recent[2]) is not None
+
+    def blocks() -> DataFrame | None:
+        """What is left after the blocks, if anything can still write."""
+        rest, many = placed, BLOCKS * BLOCK
+        for _ in range(BLOCKS):
+            window = stored(rest.orderBy("_place").limit(many), "window")
+            last = window.agg(F.count("*").alias("n"), F.max("_place").alias("place")).first()
+            if last["n"] == many:  # more commands may have the last place
+                window = window.where(F.col("_place") < _after(last["place"]))
+            fit = _fit(window, _of_same_pairs(known, window), recent)
+            near = replace(state, invitations=stored(_of_same_organizations(state.invitations.where(invitation_is_open()), fit), "open"))
+            left = fit
+            while (end := left.orderBy("_place").limit(BLOCK).agg(F.max("_place").alias("place")).first()["place"]) is not None:
+                if settle(left.where(F.col("_place") <= _after(end)), near):
+                    return None
+                left = fit.where(F.col("_place") > _after(end))
+                if len(found) == BLOCKS:
+                    return placed.where(F.col("_place") > _after(end))
+            if last["n"] < many:
+                return None
+            rest = placed.where(F.col("_place") >= _after(last["place"]))
+        return rest
+
+    if _late(written, recent[2]) is None:
+        rest = blocks()
+        if rest is not None:
+            settle(_fit(*_dealt(rest, known, bits)[1], recent), state)
+    if not found:
+        none = placed.where(F.lit(False))
+        found.append(_facts(_fit(none, _of_same_pairs(known, none), recent), state, as_of))
+    return written, reduce(DataFrame.unionByName, found)
 
 
 def _literal(written: list[Row]) -> Column:

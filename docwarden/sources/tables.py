@@ -32,3 +32,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Whether the exchanges of a statement are removed when it ends.
+_REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_alone(df: DataFrame, label: str) -> DataFrame:
+    """As :func:`written`. The exchanges behind the table are removed from the disks at once, not when the
+    driver's memory happens to be collected: nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_REMOVED, None)
+    conf.set(_REMOVED, "true")
+    try:
+        return written(df, label)
+    finally:
+        conf.unset(_REMOVED) if before is None else conf.set(_REMOVED, before)

@@ -163,3 +163,52 @@ def test_the_registered_batch_meets_every_outcome(spark):
     assert sum(r["count"] for r in rows if r.result in ("created", "renewed")) == caps.GLOBAL_CAP
     reasons = Counter(r.refusal_reason for r in rows if r.refusal_reason)
     assert len(reasons) == 12 and all(text in reasons for _, text in caps.REFUSALS.values())
+
+
+def exchanged(done):
+    """Rows that the exchanges of a result wrote when it was collected."""
+    def of(node):
+        name = node.getClass().getSimpleName()
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        if inner is not None:
+            return of(inner)
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(of(node.children().apply(i)) for i in range(node.children().size()))
+    return of(done._jdf.queryExecution().executedPlan())
+
+
+def test_commands_of_people_without_rights_are_not_exchanged(spark, monkeypatch):
+    monkeypatch.setattr(admission, "BLOCK", 16)
+    users = [(f"u{i}", account(i), f"u{i}@x.org", None, False, None, NOW - 30 * DAY) for i in range(300)]
+    orgs = [("o0", "Org", None, "active", None, "u0", NOW - 30 * DAY)]
+    members = [("m0", "o0", "u0", "org_admin", "u1", NOW - 20 * DAY, None, None), ("m1", "o0", "u1", "contributor", "u0", NOW - 20 * DAY, None, None)]
+    state = AccessState(
+        spark.createDataFrame(users, NTZ(S.USERS)), spark.createDataFrame(orgs, NTZ(S.ORGANIZATIONS)), spark.createDataFrame(members, NTZ(S.ORG_MEMBERSHIPS)),
+        None, spark.createDataFrame([], NTZ(S.ORG_INVITATIONS)))
+    commands = [(f"{k:04d}", f"c{k}", f"u{k % 300}", "o0", f"u{k % 7 + 8}@x.org", "contributor", None, None) for k in range(3000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = admission.admit(spark.createDataFrame(commands, COMMANDS), state, NOW)
+        codes = Counter((r.actor == "u0", r.refusal_code, r.result) for r in done.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # u0 writes for seven people, then finds what was written.
+    assert codes == {(False, "insufficient_privilege", None): 2990, (True, None, "created"): 7, (True, None, "existing"): 3}
+    assert exchanged(done) < 1000
+
+
+def test_persons_that_come_twice_are_judged_by_each_row(spark):
+    users = [(f"u{i}", account(i), f"u{i}@x.org", None, False, off, NOW - 30 * DAY) for i, off in ((0, None), (0, NOW - DAY), (1, None), (1, None), (2, None))]
+    orgs = [("o0", "Org", None, "active", None, "u2", NOW - 30 * DAY)]
+    members = [("m0", "o0", "u0", "org_admin", "u1", NOW - 20 * DAY, None, None)]
+    state = AccessState(
+        spark.createDataFrame(users, NTZ(S.USERS)), spark.createDataFrame(orgs, NTZ(S.ORGANIZATIONS)), spark.createDataFrame(members, NTZ(S.ORG_MEMBERSHIPS)),
+        None, spark.createDataFrame([], NTZ(S.ORG_INVITATIONS)))
+    commands = [(str(k), f"c{k}", f"u{k % 3}", "o0", "bad", "owner" if k > 2 else "contributor", None, None) for k in range(6)]
+    done = admission.admit(spark.createDataFrame(commands, COMMANDS), state, NOW).collect()
+    refused, unknown = "not allowed to invite people to this organization", "unknown role"
+    # An address that is looked up meets the two rows of the actor once more.
+    assert Counter((r.command_id, r.refusal_reason) for r in done) == {
+        ("c0", "that is not a valid email address"): 2, ("c0", refused): 1, ("c1", refused): 2, ("c2", refused): 1,
+        ("c3", unknown): 1, ("c3", refused): 1, ("c4", unknown): 2, ("c5", unknown): 1}
